@@ -25,19 +25,14 @@ _RAD = math.pi / 180.0
 _TMP = ["_lw", "_phi", "_n", "_ds", "_m", "_l", "_dec", "_eq", "_noon"]
 
 
-def add_sun_times(
-    df: DataFrame,
-    date: Column | str,
-    lat: Column | str,
-    lon: Column | str,
-    keep: tuple[str, ...] = TWILIGHT,
-    prefix: str = "",
-) -> DataFrame:
-    """Append UTC timestamps of the named sun events of each row's (solar date, position).
+def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Append columns as generated output. A later filter on them then stays above this point; it
+    would otherwise be rewritten through every projection below, copying the whole formula."""
+    values = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(values)))
 
-    Null on days the sun does not cross the altitude. Intermediate terms are separate projections
-    so that each is evaluated once.
-    """
+
+def _sun_columns(df, date, lat, lon, keep, prefix="") -> DataFrame:
     day = F.datediff(col(date).cast("date"), F.lit("2000-01-01").cast("date")).cast("double")
     out = df.withColumns({"_lw": -col(lon) * _RAD, "_phi": col(lat) * _RAD})
     turn = F.col("_lw") / (2 * math.pi)
@@ -55,17 +50,37 @@ def add_sun_times(
     )
     # days since 2000-01-01 12:00 UTC of solar noon
     out = out.withColumn("_noon", F.col("_ds") + F.col("_eq"))
-    times = {}
+    ratios, times = {}, {}
     for name in keep:
         altitude, side = SUN_EVENTS[name]
         ratio = (F.lit(math.sin(altitude * _RAD)) - F.sin("_phi") * F.sin("_dec")) / (
             F.cos("_phi") * F.cos("_dec")
         )
-        half_day = F.when(F.abs(ratio) <= 1.0, F.acos(ratio)) / (2 * math.pi)
-        offset_days = F.col("_noon") + side * half_day
-        epoch_us = F.round((offset_days + 10957.5) * 86400.0 * US)
-        times[prefix + name] = from_micros(epoch_us)
-    return out.withColumns(times).drop(*_TMP)
+        ratios[f"_r{altitude}"] = ratio
+        cosine = F.col(f"`_r{altitude}`")
+        half_day = F.acos(F.when(F.abs(cosine) <= 1.0, cosine)) / (2 * math.pi)
+        epoch_us = (F.col("_noon") + side * half_day + 10957.5) * (86400.0 * US)
+        times[prefix + name] = from_micros(F.floor(epoch_us + 0.5))
+    out = out.withColumns(ratios).withColumns(times)
+    return out.drop(*_TMP, *ratios)
+
+
+def add_sun_times(
+    df: DataFrame,
+    date: Column | str,
+    lat: Column | str,
+    lon: Column | str,
+    keep: tuple[str, ...] = TWILIGHT,
+) -> DataFrame:
+    """Append UTC timestamps of the named sun events of each row's (solar date, position).
+
+    Null on days the sun does not cross the altitude. Intermediate terms are separate projections
+    so that each is evaluated once.
+    """
+    hidden = {name: f"_s_{name}" for name in keep}
+    out = _sun_columns(df, date, lat, lon, keep, "_s_")
+    out = _settled(out, {name: F.col(h) for name, h in hidden.items()})
+    return out.drop(*hidden.values())
 
 
 def sun_calendar(
@@ -112,7 +127,7 @@ def time_to_sun(
     shifts = {"_p_": -1, "_c_": 0, "_n_": 1}
     joined = df.withColumn("solar_date", solar_date(ts, lon))
     for tag, shift in shifts.items():
-        joined = add_sun_times(
+        joined = _sun_columns(
             joined, F.date_add("solar_date", shift), lat, lon, ("sunrise", "sunset"), tag
         )
     now = micros(ts)
@@ -124,7 +139,7 @@ def time_to_sun(
         out[event] = F.col(f"_c_{event}")
         out[f"ts_since_{name}"] = (now - before) / per_unit
         out[f"ts_to_{name}"] = (after - now) / per_unit
-    return joined.withColumns(out).drop(
+    return _settled(joined, out).drop(
         *[f"{tag}{event}" for tag in shifts for event in ("sunrise", "sunset")]
     )
 

@@ -64,7 +64,7 @@ def local_clock(ts: Column | str, shift_s: int = -21600) -> Column:
 
 def solar_date(ts: Column | str, lon: Column | str) -> Column:
     """Calendar date of local mean solar time, so that dusk belongs to the day it ends."""
-    offset = F.round(col(lon) / 15.0 * 3600.0 * US).cast("bigint")
+    offset = F.floor(col(lon) * (240.0 * US) + 0.5).cast("bigint")
     return F.to_date(from_micros(micros(ts) + offset))
 
 

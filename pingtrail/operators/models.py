@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from pingtrail.operators.quantiles import group_quantiles
+from pingtrail.session import checkpointed
 
 __all__ = [
     "bootstrap_slope", "breakpoint", "count_profile", "group_quantiles", "ols", "poisson_glm",
@@ -47,10 +48,12 @@ def poisson_glm(
     alone: one aggregate per level and step, however many levels there are. ``quasi`` scales errors
     by the square root of the Pearson dispersion.
     """
-    used = df.select(
-        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-        F.col(factor).cast("string").alias("g"),
-    ).dropna()
+    used = checkpointed(
+        df.select(
+            F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
+            F.col(factor).cast("string").alias("g"),
+        ).dropna()
+    )
 
     def per_level(beta: float) -> DataFrame:
         mu = F.exp(F.lit(beta) * F.col("x"))
@@ -71,7 +74,7 @@ def poisson_glm(
         if not step["info"]:
             raise ValueError("the slope is not identified within levels")
         move = step["score"] / step["info"]
-        # a long step can overflow exp(); halve the reach until it is moderate
+        # a long step could overflow exp()
         beta += max(-1.0, min(1.0, move))
         if abs(move) < tol * max(1.0, abs(beta)):
             break
@@ -114,13 +117,16 @@ def poisson_glm(
 
 
 def quantile_fit(
-    df: DataFrame, x: str, y: str, tau: float = 0.5, iters: int = 60, eps: float = 1e-6
+    df: DataFrame, x: str, y: str, tau: float = 0.5, iters: int = 60, eps: float = 1e-6,
+    tol: float = 1e-5,
 ) -> DataFrame:
     """One row (tau, intercept, slope): linear quantile regression by reweighted least squares.
 
-    Each step is one global aggregate of five sums.
+    Each step is one global aggregate of five sums over a checkpointed two-column table.
     """
-    used = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    used = checkpointed(
+        df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    )
     a = b = None
     for _ in range(iters):
         if a is None:
@@ -138,7 +144,7 @@ def quantile_fit(
         det = s["w"] * s["xx"] - s["x"] ** 2
         slope = (s["w"] * s["xy"] - s["x"] * s["y"]) / det
         intercept = (s["y"] - slope * s["x"]) / s["w"]
-        settled = a is not None and abs(slope - b) + abs(intercept - a) < 1e-9
+        settled = a is not None and abs(slope - b) + abs(intercept - a) < tol
         a, b = intercept, slope
         if settled:
             break

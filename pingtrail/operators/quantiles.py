@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 100_000
 
@@ -12,25 +12,31 @@ def group_quantiles(
 ) -> DataFrame:
     """(by.., tau, quantile): exact quantiles, linear interpolation between order statistics.
 
-    A mergeable sketch of fixed size brackets each wanted rank within 4 n / accuracy positions. Only
+    A mergeable sketch of fixed size brackets each wanted rank within 8 n / accuracy positions. Only
     values inside a bracket, collapsed to (value, count), are then ranked exactly; the rest are
     merely counted. Two passes of partial aggregates, and the ranked part is a small fixed share of
-    the rows.
+    the rows. Groups of at most ``accuracy`` rows are ranked whole.
     """
     data = df.select(*by, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    margin = 2.0 / accuracy
+    # sketch error 1 / accuracy, plus the neighbouring ranks of the interpolation
+    margin = 4.0 / accuracy
     probs = [p for t in taus for p in (max(t - margin, 0.0), min(t + margin, 1.0))]
     # the extremes are taken exactly, so that the outer brackets are surely closed
     sketch = data.groupBy(*by).agg(
         F.percentile_approx("v", probs, accuracy).alias("_p"),
         F.min("v").alias("_min"), F.max("v").alias("_max"), F.count(F.lit(1)).alias("_n"),
     )
+    whole = F.col("_n") <= accuracy
+
+    def edge(outer: bool, extreme: str, i: int) -> Column:
+        return F.col(extreme) if outer else F.when(whole, F.col(extreme)).otherwise(F.col("_p")[i])
+
     brackets = F.array(
         *[
             F.struct(
                 F.lit(float(t)).alias("tau"),
-                (F.col("_min") if t <= margin else F.col("_p")[2 * i]).alias("lo"),
-                (F.col("_max") if t >= 1 - margin else F.col("_p")[2 * i + 1]).alias("hi"),
+                edge(t <= margin, "_min", 2 * i).alias("lo"),
+                edge(t >= 1 - margin, "_max", 2 * i + 1).alias("hi"),
             )
             for i, t in enumerate(taus)
         ]

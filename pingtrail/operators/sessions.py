@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pingtrail.functions.timeutil import (
     cut, from_micros, micros, round_micros, round_time, us_of,
 )
-from pingtrail.operators.slicing import HOUR, with_neighbours, with_slice
+from pingtrail.operators.slicing import HOUR, with_halo, with_neighbours, with_slice
 from pingtrail.session import checkpointed
 
 
@@ -125,8 +125,8 @@ def near_simultaneous(
     """
     rounded = df.where(F.col("antBearing").isNotNull()).withColumn("ts", round_time("ts", 1))
     now = micros("ts")
-    seen = with_neighbours(
-        rounded, [key], "ts", _order(df, "ts"), 1,
+    seen = with_halo(
+        rounded, [key], "ts", _order(df, "ts"), max(back, fwd),
         lambda w: {
             "_back": now - micros(F.lag("ts").over(w)),
             "_fwd": now - micros(F.lead("ts").over(w)),
@@ -142,8 +142,8 @@ def run_of_three(
 ) -> DataFrame:
     """Rows within ``window`` of both neighbours, or of the second row before or after."""
     now = micros("ts")
-    seen = with_neighbours(
-        df, [key], "ts", _order(df, "ts"), 2,
+    seen = with_halo(
+        df, [key], "ts", _order(df, "ts"), window,
         lambda w: {
             "_b1": now - micros(F.lag("ts").over(w)),
             "_b2": now - micros(F.lag("ts", 2).over(w)),
@@ -202,8 +202,8 @@ def bursts(
     reduces to testing the first.
     """
     now = micros("ts")
-    seen = with_neighbours(
-        df, [key], "ts", _order(df, "ts"), 1,
+    seen = with_halo(
+        df, [key], "ts", _order(df, "ts"), max_gap,
         lambda w: {"_gap": now - micros(F.lag("ts").over(w))}, slice_s,
     )
     kept = seen.where(F.col("_gap") <= us_of(max_gap)).drop("_gap")
@@ -279,8 +279,8 @@ def burst_starts(
     ).distinct()
     links = _next_after_span(marks, key, span_us, slice_s)
     timed = marks.withColumn("_ts", from_micros("t"))
-    gaps = with_neighbours(
-        timed, [key], "_ts", [F.col("t").asc()], 1,
+    gaps = with_halo(
+        timed, [key], "_ts", [F.col("t").asc()], span,
         lambda w: {"_prev": F.lag("t").over(w)}, slice_s,
     )
     seeds = gaps.where(F.col("_prev").isNull() | (F.col("t") - F.col("_prev") > span_us))
@@ -331,3 +331,14 @@ def anchored_bursts(
         "recvDeployName",
         "max_sig",
     )
+
+
+def silences(
+    df: DataFrame, min_silence: float = 3 * 86400, key: str = "motusTagID", slice_s: float = HOUR
+) -> DataFrame:
+    """Last pings before at least ``min_silence`` s without any, with the next ping (null if none)."""
+    seen = with_neighbours(
+        df, [key], "ts", _order(df, "ts"), 1, lambda w: {"nxt": F.lead("ts").over(w)}, slice_s
+    )
+    quiet = micros("nxt") - micros("ts") >= us_of(min_silence)
+    return seen.where(F.col("nxt").isNull() | quiet)

@@ -39,19 +39,48 @@ def with_neighbours(
     """Append lag/lead columns of at most ``reach`` rows, exactly as over the whole key.
 
     ``order`` must start with ``ts`` ascending. Rows with ``reach`` neighbours on both sides inside
-    their slice are finished there. The others, at most 2 x ``reach`` per slice, form a short
-    sequence per key in which their true neighbours are still adjacent: the rows before a slice's
-    head are the previous slice's tail. Both branches read the same exchange.
+    their slice are finished there. For the first and last ``reach`` rows of a slice, the first and
+    last 2 x ``reach`` rows of all slices form a short sequence per key in which their neighbours
+    are still adjacent: a slice's head follows the previous slice's tail, and its own next rows are
+    kept too. Both branches read the same exchange.
     """
     near = Window.partitionBy(*key, "_slice").orderBy(*order)
     far = Window.partitionBy(*key).orderBy(*order)
     names = list(derive(near))
     one = F.lit(1)
-    edge = F.lag(one, reach).over(near).isNull() | F.lead(one, reach).over(near).isNull()
-    marked = with_slice(df, ts, slice_s).withColumns({**derive(near), "_edge": edge})
+
+    def ends(n: int) -> Column:
+        return F.lag(one, n).over(near).isNull() | F.lead(one, n).over(near).isNull()
+
+    marked = with_slice(df, ts, slice_s).withColumns(
+        {**derive(near), "_edge": ends(reach), "_rim": ends(2 * reach)}
+    )
     inner = marked.where(~F.col("_edge"))
-    rim = marked.where("_edge").drop(*names).withColumns(derive(far))
-    return inner.unionByName(rim).drop("_edge", "_slice")
+    rim = marked.where("_rim").drop(*names).withColumns(derive(far)).where("_edge")
+    return inner.unionByName(rim).drop("_edge", "_rim", "_slice")
+
+
+def with_halo(
+    df: DataFrame,
+    key: list[str],
+    ts: str,
+    order: list[Column],
+    halo_s: float,
+    derive: Callable[[WindowSpec], dict[str, Column]],
+    slice_s: float = HOUR,
+) -> DataFrame:
+    """Append lag/lead columns that only matter up to ``halo_s`` seconds away.
+
+    Rows within ``halo_s`` of a slice border are lent to the slice beyond it, so every row meets all
+    its neighbours in that range: one exchange and one window, no second pass. A neighbour further
+    away may be missing (null), so conditions must treat null as "too far".
+    """
+    us, step, halo = micros(ts), us_of(slice_s), us_of(halo_s)
+    cell = lambda c: F.floor(c / F.lit(step)).cast("bigint")
+    lent = df.withColumn("_slice", F.explode(F.sequence(cell(us - halo), cell(us + halo))))
+    near = Window.partitionBy(*key, "_slice").orderBy(*order)
+    seen = lent.withColumns(derive(near))
+    return seen.where(F.col("_slice") == cell(us)).drop("_slice")
 
 
 def running_total(

@@ -21,7 +21,7 @@ STATIONS = {
     "error": ("Tumbleweed", 36.55, -102.45, "Workshop"),
 }
 NODES = [
-    (node, 36.48 + 0.002 * (i % 5), -102.66 + 0.002 * (i // 5))
+    (node, round(36.48 + 0.002 * (i % 5), 3), round(-102.66 + 0.002 * (i // 5), 3))
     for i, (node, _) in enumerate(NODE_LABELS)
 ]
 

@@ -46,7 +46,7 @@ def wrap360(x: str) -> str:
 
 def solar_day(ts: str, lon: str) -> str:
     return (
-        f"CAST(make_timestamp(epoch_us({ts}) + CAST(round({lon} / 15e0 * 3600e0 * 1000000)"
+        f"CAST(make_timestamp(epoch_us({ts}) + CAST(floor({lon} * 240000000e0 + 0.5e0)"
         " AS BIGINT)) AS DATE)"
     )
 
@@ -55,10 +55,10 @@ def sun(source: str, day: str, lat: str, lon: str, wanted: dict[str, tuple[float
     """Select from ``source`` with the wanted sun times (name -> altitude, side) in epoch
     microseconds, following the published equations step by step."""
     events = ", ".join(
-        f"""CAST(round((2451545 + ds + eq {'+' if side > 0 else '-'}
+        f"""CAST(round((ds + eq {'+' if side > 0 else '-'}
             CASE WHEN abs((sin({h}e0 * pi() / 180) - sin(phi) * sin(dec)) / (cos(phi) * cos(dec)))
                 <= 1 THEN acos((sin({h}e0 * pi() / 180) - sin(phi) * sin(dec))
-                / (cos(phi) * cos(dec))) END / (2 * pi()) + 0.5e0 - 2440588)
+                / (cos(phi) * cos(dec))) END / (2 * pi()) + 10957.5e0)
             * 86400 * 1000000) AS BIGINT) AS {name}"""
         for name, (h, side) in wanted.items()
     )
