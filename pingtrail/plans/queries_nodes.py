@@ -377,11 +377,12 @@ def _(t):
     return _drained(t, streams.stream_sessions(_events_stream(t), "1 hour", "1 hour"))
 
 
-@query("T2_streaming_resample", q(DET, body=f"""SELECT CAST(user_id AS VARCHAR) AS TagId,
-    event_type AS NodeId, {binned('ts', 86400)} AS freq, max(value) AS TagRSSI_max,
-    {r6('stddev_samp(value)', 'TagRSSI_sd')}, count(*) AS beep_count FROM events
-    GROUP BY ALL HAVING {binned('ts', 86400)} + 86400000000
-        <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)"""))
+@query("T2_streaming_resample", f"""SELECT TagId, NodeId, freq, max(value) AS TagRSSI_max,
+    {r6('stddev_samp(value)', 'TagRSSI_sd')}, count(*) AS beep_count FROM (
+        SELECT CAST(user_id AS VARCHAR) AS TagId, event_type AS NodeId, value,
+        {binned('ts', 86400)} AS freq FROM events)
+    WHERE freq + 86400000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)
+    GROUP BY TagId, NodeId, freq""")
 def _(t):
     schema = t.source("events").schema
     raw = streams.read_stream(t.spark, t.folder, schema, "events.parquet")
