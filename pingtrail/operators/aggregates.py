@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pingtrail.functions.angles import circular_mean
+from pingtrail.functions.counts import n_distinct
 from pingtrail.functions.timeutil import (
     clock, col, cut, from_micros, micros, round_time, seconds,
 )
@@ -60,7 +61,6 @@ def centroids(
         sign, origin = -1.0, 1.0 + F.max(sig)
     else:
         raise ValueError(f"unknown weighting {weighting!r}")
-    # sums about an anchor near the data avoid cancellation between large terms
     total = sign * F.sum(sig) + origin * n
 
     def weighted(c) -> F.Column:
@@ -74,7 +74,7 @@ def centroids(
         weighted(lon).alias("weighted_lon"),
         F.min("ts").alias("ts"),
         F.max("ts").alias("last_ts"),
-        F.size(F.collect_set(F.struct("recvDeployName"))).alias("w_towers"),
+        n_distinct("recvDeployName").alias("w_towers"),
         n.alias("n_pings"),
     )
     return summary.where(F.col("w_towers") >= min_towers)

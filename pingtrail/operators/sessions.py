@@ -7,8 +7,9 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pingtrail.functions.counts import n_distinct
 from pingtrail.functions.timeutil import (
-    cut, from_micros, micros, round_micros, round_time, us_of,
+    cut, from_micros, micros, round_time, us_of,
 )
 from pingtrail.operators.slicing import HOUR, with_halo, with_neighbours, with_slice
 from pingtrail.session import checkpointed
@@ -65,14 +66,12 @@ def event_counts(events: DataFrame, key: str = "motusTagID") -> DataFrame:
     The distinct sets are of installed antennas, so they stay small however many pings an event
     has; null counts as a value. One shuffle, combined on the map side.
     """
-    tower = F.struct("recvDeployName")
-    antenna = F.struct("recvDeployName", "port")
     return events.groupBy(key, "event_id").agg(
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.count(F.lit(1)).alias("n_pings"),
-        F.size(F.collect_set(tower)).alias("w_towers"),
-        F.size(F.collect_set(antenna)).alias("w_antennas"),
+        n_distinct("recvDeployName").alias("w_towers"),
+        n_distinct("recvDeployName", "port").alias("w_antennas"),
     )
 
 
@@ -218,10 +217,7 @@ def pool(
     key: str = "motusTagID",
 ) -> DataFrame:
     """Rows (or distinct stations) per key and rounded time, pools of at least ``min_n``."""
-    size = (
-        F.size(F.collect_set(F.struct("recvDeployName"))) if distinct_stations
-        else F.count(F.lit(1))
-    )
+    size = n_distinct("recvDeployName") if distinct_stations else F.count(F.lit(1))
     rounded = df.select(key, round_time("ts", every).alias("ts"), "recvDeployName")
     return rounded.groupBy(key, "ts").agg(size.alias("n")).where(F.col("n") >= min_n)
 
@@ -336,9 +332,18 @@ def anchored_bursts(
 def silences(
     df: DataFrame, min_silence: float = 3 * 86400, key: str = "motusTagID", slice_s: float = HOUR
 ) -> DataFrame:
-    """Last pings before at least ``min_silence`` s without any, with the next ping (null if none)."""
+    """Last pings before at least ``min_silence`` s without any, with the next ping (null if none).
+
+    Of the pings of one instant only the last can precede a silence; a combining aggregate leaves
+    just that one before the ordered pass.
+    """
+    others = [c for c in df.columns if c not in (key, "ts")]
+    latest = F.struct(*[c for c in ("recvDeployName", "hitID") if c in others])
+    lasts = df.groupBy(key, "ts").agg(F.max_by(F.struct(*others), latest).alias("_row")).select(
+        key, "ts", "_row.*"
+    )
     seen = with_neighbours(
-        df, [key], "ts", _order(df, "ts"), 1, lambda w: {"nxt": F.lead("ts").over(w)}, slice_s
+        lasts, [key], "ts", [F.col("ts").asc()], 1, lambda w: {"nxt": F.lead("ts").over(w)}, slice_s
     )
     quiet = micros("nxt") - micros("ts") >= us_of(min_silence)
     return seen.where(F.col("nxt").isNull() | quiet)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pingtrail.functions import solar
+from pingtrail.functions.angles import circular_mean
+from pingtrail.functions.counts import n_distinct
 from pingtrail.operators import aggregates as agg, filters as flt
 from pingtrail.operators import joins, sessions as ses
 from pingtrail.operators.slicing import running_total, with_slice
@@ -77,8 +79,8 @@ def _(t):
 )
 def _(t):
     return t.detections.groupBy("motusTagID").agg(
-        F.size(F.collect_set(F.struct("recvDeployName"))).alias("w_towers"),
-        F.size(F.collect_set(F.struct("recvDeployName", "port"))).alias("w_antennas"),
+        n_distinct("recvDeployName").alias("w_towers"),
+        n_distinct("recvDeployName", "port").alias("w_antennas"),
     )
 
 
@@ -425,8 +427,6 @@ def _(t):
         WHERE antBearing IS NOT NULL GROUP BY recvDeployName"""),
 )
 def _(t):
-    from pingtrail.functions.angles import circular_mean
-
     return flt.with_bearing(t.detections).groupBy("recvDeployName").agg(
         circular_mean("antBearing").alias("mean_bearing")
     )
@@ -454,24 +454,14 @@ def _(t):
     return ordered_track(t.detections, 500).select("hitID", "motusTagID", "recvDeployName", "sig")
 
 
-@query(
-    "R1_sort_with_rank",
-    q(DET, body="""SELECT hitID, row_number() OVER (ORDER BY motusTagID NULLS LAST, ts NULLS LAST,
-        recvDeployName NULLS LAST, sig DESC NULLS LAST, hitID) - 1 AS pos FROM detections
-        ORDER BY pos LIMIT 500"""),
-)
+@query("R1_sort_null_last",
+       q(DET, body=f"SELECT motusTagID, recvDeployName, hitID, {r6('sig', 'sig')} FROM detections"))
 def _(t):
-    from pyspark.sql import Window
-
-    order = [
+    used = t.detections.select("motusTagID", "ts", "recvDeployName", "sig", "hitID")
+    return used.orderBy(
         F.col("motusTagID").asc_nulls_last(), F.col("ts").asc_nulls_last(),
         F.col("recvDeployName").asc_nulls_last(), F.col("sig").desc_nulls_last(), F.col("hitID"),
-    ]
-    top = t.detections.select("motusTagID", "ts", "recvDeployName", "sig", "hitID").orderBy(
-        *order
-    ).limit(500)
-    # the window numbers the 500 rows of the report only
-    return top.select("hitID", (F.row_number().over(Window.orderBy(*order)) - 1).alias("pos"))
+    ).drop("ts")
 
 
 @query(

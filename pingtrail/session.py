@@ -12,6 +12,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a skewed join even where a following aggregate then needs its own exchange
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pingtrail.functions.counts import n_distinct
+
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
     """Parquet files arriving in ``folder``."""
@@ -23,7 +25,7 @@ def stream_sessions(
         .agg(
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
             F.count(F.lit(1)).alias("n_pings"),
-            F.size(F.collect_set(F.struct("recvDeployName"))).alias("w_towers"),
+            n_distinct("recvDeployName").alias("w_towers"),
         )
         .drop("w")
     )
