@@ -3,10 +3,9 @@ heavy part before every shuffle; no operator gathers the rows of a group."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pingtrail.functions.angles import circular_mean
-from pingtrail.functions.counts import n_distinct
 from pingtrail.functions.timeutil import (
     clock, col, cut, from_micros, micros, round_time, seconds,
 )
@@ -50,34 +49,46 @@ def centroids(
 
     Weights are ``sig - min(sig) + 1`` over the event (strong pings count most), or with
     ``weighting="as_written"`` the literal ``max(sig) - sig + 1``. A weight is linear in sig, so the
-    weighted sums expand into plain sums and everything is one combining aggregate; the extreme is
-    not joined back to the rows. A null signal makes the weighted mean null.
+    weighted sums expand into plain sums of combining aggregates; the extreme is not joined back to
+    the rows. A null signal makes the weighted mean null.
     """
-    sig, lat, lon = F.col("sig"), F.col("recvDeployLat"), F.col("recvDeployLon")
-    n = F.count(F.lit(1))
+    event = [key, "event_id"]
+    # sums per event and tower, then per event: a long event is combined before it is shuffled
+    terms = {
+        "n": F.lit(1), "lat": F.col("recvDeployLat"), "lon": F.col("recvDeployLon"),
+        "s": F.col("sig"), "slat": F.col("sig") * F.col("recvDeployLat"),
+        "slon": F.col("sig") * F.col("recvDeployLon"),
+    }
+    towers = events.groupBy(*event, "recvDeployName").agg(
+        *[F.sum(c).alias(name) for name, c in terms.items()],
+        F.count("sig").alias("n_sig"), F.min("sig").alias("lo"), F.max("sig").alias("hi"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+    )
+    sums = towers.groupBy(*event).agg(
+        *[F.sum(name).alias(name) for name in terms],
+        F.sum("n_sig").alias("n_sig"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.min("first_ts").alias("ts"), F.max("last_ts").alias("last_ts"),
+        F.count(F.lit(1)).alias("w_towers"),
+    )
+    n = F.col("n")
     if weighting == "stronger":
-        sign, origin = 1.0, 1.0 - F.min(sig)
+        sign, origin = 1.0, 1.0 - F.col("lo")
     elif weighting == "as_written":
-        sign, origin = -1.0, 1.0 + F.max(sig)
+        sign, origin = -1.0, 1.0 + F.col("hi")
     else:
         raise ValueError(f"unknown weighting {weighting!r}")
-    total = sign * F.sum(sig) + origin * n
-
-    def weighted(c) -> F.Column:
-        value = (sign * F.sum(sig * c) + origin * F.sum(c)) / total
-        return F.when(F.count(sig) == n, value)
-
-    summary = events.groupBy(key, "event_id").agg(
-        F.avg(lat).alias("simple_lat"),
-        F.avg(lon).alias("simple_lon"),
-        weighted(lat).alias("weighted_lat"),
-        weighted(lon).alias("weighted_lon"),
-        F.min("ts").alias("ts"),
-        F.max("ts").alias("last_ts"),
-        n_distinct("recvDeployName").alias("w_towers"),
-        n.alias("n_pings"),
+    total = sign * F.col("s") + origin * n
+
+    def weighted(c: str) -> Column:
+        value = (sign * F.col("s" + c) + origin * F.col(c)) / total
+        return F.when(F.col("n_sig") == n, value)
+
+    return sums.where(F.col("w_towers") >= min_towers).select(
+        *event,
+        (F.col("lat") / n).alias("simple_lat"), (F.col("lon") / n).alias("simple_lon"),
+        weighted("lat").alias("weighted_lat"), weighted("lon").alias("weighted_lon"),
+        "ts", "last_ts", "w_towers", n.alias("n_pings"),
     )
-    return summary.where(F.col("w_towers") >= min_towers)
 
 
 def bearing_summary(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,14 +12,20 @@ from pingtrail.functions.timeutil import col
 from pingtrail.operators.joins import interval_join
 
 
-def enrich_beeps(beeps: DataFrame, nodes: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-    """Beeps with their node's position, restricted to the tag list when given."""
+def known_beeps(beeps: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """Beeps with a node, of the tag list when given."""
+    beeps = beeps.where("NodeId IS NOT NULL")
     if tags is not None:
         beeps = beeps.join(tags.select("TagId").distinct(), "TagId", "left_semi")
+    return beeps
+
+
+def enrich_beeps(beeps: DataFrame, nodes: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """Beeps with their node's position, restricted to the tag list when given."""
     placed = nodes.select(
         "NodeId", F.col("lat").alias("node_lat"), F.col("lng").alias("node_lng")
     )
-    return beeps.where("NodeId IS NOT NULL").join(placed, "NodeId")
+    return known_beeps(beeps, tags).join(placed, "NodeId")
 
 
 def resample_beeps(
@@ -31,26 +37,32 @@ def resample_beeps(
 ) -> DataFrame:
     """Per tag, node and time bin: strongest and sd of signal, beeps, node position mode and mean.
 
+    Beeps are reduced to bins before node positions are joined; positions are summarised per node.
     ``drop_single`` removes bins of one beep, whose sd is null.
     """
-    placed = enrich_beeps(beeps, nodes, tags)
-    out = placed.groupBy(
-        "TagId", "NodeId", F.window(F.col("Time").cast("timestamp"), freq)["start"].alias("freq")
-    ).agg(
+    bins = F.window(F.col("Time").cast("timestamp"), freq)["start"]
+    out = known_beeps(beeps, tags).groupBy("TagId", "NodeId", bins.alias("freq")).agg(
         F.max("TagRSSI").alias("TagRSSI_max"),
         F.stddev_samp("TagRSSI").alias("TagRSSI_sd"),
         F.count(F.lit(1)).alias("beep_count"),
-        F.mode("node_lat", True).alias("node_lat_mode"),
-        F.mode("node_lng", True).alias("node_lng_mode"),
-        F.avg("node_lat").alias("node_lat_mean"),
-        F.avg("node_lng").alias("node_lng_mean"),
     )
-    return out.where("TagRSSI_sd IS NOT NULL") if drop_single else out
+    if drop_single:
+        out = out.where("TagRSSI_sd IS NOT NULL")
+    positions = nodes.groupBy("NodeId").agg(
+        F.mode("lat", True).alias("node_lat_mode"),
+        F.mode("lng", True).alias("node_lng_mode"),
+        F.avg("lat").alias("node_lat_mean"),
+        F.avg("lng").alias("node_lng_mean"),
+    )
+    return out.join(positions, "NodeId").select(
+        "TagId", "NodeId", "freq", "TagRSSI_max", "TagRSSI_sd", "beep_count", "node_lat_mode",
+        "node_lng_mode", "node_lat_mean", "node_lng_mean",
+    )
 
 
 def resample_many(beeps: DataFrame, nodes: DataFrame, freqs_s: list[int], tags=None) -> DataFrame:
     """Strongest signal and beeps for several bin widths (seconds) in one pass."""
-    placed = enrich_beeps(beeps, nodes, tags)
+    placed = known_beeps(beeps, tags).join(nodes.select("NodeId").distinct(), "NodeId", "left_semi")
     width = F.explode(F.array(*[F.lit(int(f)) for f in freqs_s]))
     wide = placed.withColumn("freq_s", width)
     epoch = F.unix_seconds(F.col("Time").cast("timestamp"))
@@ -79,13 +91,14 @@ def weighted_location(
     ``max_nodes`` keeps the strongest nodes of a bin (0 = all); only bins with more than
     ``min_nodes`` nodes are returned. The ranking window holds one row per node of a bin.
     """
-    placed = enrich_beeps(beeps, nodes, tags)
+    heard = known_beeps(beeps, tags)
     if min_rssi is not None:
-        placed = placed.where(F.col("TagRSSI") >= min_rssi)
-    per_node = placed.groupBy(
-        "TagId", F.window(F.col("Time").cast("timestamp"), freq)["start"].alias("freq"), "NodeId",
-        "node_lat", "node_lng",
-    ).agg(F.max("TagRSSI").alias("rssi"))
+        heard = heard.where(F.col("TagRSSI") >= min_rssi)
+    bins = F.window(F.col("Time").cast("timestamp"), freq)["start"]
+    strongest_beep = heard.groupBy("TagId", bins.alias("freq"), "NodeId").agg(
+        F.max("TagRSSI").alias("rssi")
+    )
+    per_node = enrich_beeps(strongest_beep, nodes)
     if max_nodes:
         strongest = Window.partitionBy("TagId", "freq").orderBy(F.col("rssi").desc(), "NodeId")
         per_node = per_node.withColumn("_r", F.row_number().over(strongest)).where(

@@ -7,7 +7,6 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pingtrail.functions.counts import n_distinct
 from pingtrail.functions.timeutil import (
     cut, from_micros, micros, round_time, us_of,
 )
@@ -63,15 +62,22 @@ def sessionize(
 def event_counts(events: DataFrame, key: str = "motusTagID") -> DataFrame:
     """Per event: first and last time, pings, distinct towers and (tower, port) antennas.
 
-    The distinct sets are of installed antennas, so they stay small however many pings an event
-    has; null counts as a value. One shuffle, combined on the map side.
+    Pings combine to antennas first, so that an event of any length arrives as a few records; null
+    counts as a value. Towers and events then share one exchange.
     """
-    return events.groupBy(key, "event_id").agg(
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
+    event = [key, "event_id"]
+    antennas = events.groupBy(*event, "recvDeployName", "port").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         F.count(F.lit(1)).alias("n_pings"),
-        n_distinct("recvDeployName").alias("w_towers"),
-        n_distinct("recvDeployName", "port").alias("w_antennas"),
+    )
+    towers = antennas.repartition(*event).groupBy(*event, "recvDeployName").agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        F.sum("n_pings").alias("n_pings"), F.count(F.lit(1)).alias("w_antennas"),
+    )
+    return towers.groupBy(*event).agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        F.sum("n_pings").alias("n_pings"), F.count(F.lit(1)).alias("w_towers"),
+        F.sum("w_antennas").alias("w_antennas"),
     )
 
 
@@ -217,9 +223,10 @@ def pool(
     key: str = "motusTagID",
 ) -> DataFrame:
     """Rows (or distinct stations) per key and rounded time, pools of at least ``min_n``."""
-    size = n_distinct("recvDeployName") if distinct_stations else F.count(F.lit(1))
     rounded = df.select(key, round_time("ts", every).alias("ts"), "recvDeployName")
-    return rounded.groupBy(key, "ts").agg(size.alias("n")).where(F.col("n") >= min_n)
+    if distinct_stations:
+        rounded = rounded.distinct()
+    return rounded.groupBy(key, "ts").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
 
 
 def _next_after_span(marks: DataFrame, key: str, span_us: int, slice_s: float) -> DataFrame:

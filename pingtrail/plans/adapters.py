@@ -38,11 +38,11 @@ _NODE_CASE = " ".join(
     f"WHEN {i} THEN '{node.lower()}'" for i, (node, _) in enumerate(NODE_LABELS)
 )
 
-# name -> (source query, select list); k is the number inside props, 0..99
+# name -> (source query, select list); k is the number inside props ({"k": n}), 0..99
 VIEWS = {
     "detections": (
         """SELECT event_id AS e, user_id AS u, event_type, value, CAST(ts AS TIMESTAMP) AS t,
-            CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events""",
+            CAST(substring(props, 7, length(props) - 7) AS INT) AS k FROM events""",
         {
             "hitID": "e",
             "runID": "u * 10 + k % 10",
