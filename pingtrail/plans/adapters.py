@@ -147,8 +147,8 @@ VIEWS = {
             "start": "t",
             "end": "t + INTERVAL '2' DAY",
             "TagId": "CAST(o_custkey % 50 AS STRING)",
-            "TagLat": "36.483e0 + (o_custkey % 3) * 0.001e0",
-            "TagLng": "-102.657e0 + (o_custkey % 5) * 0.001e0",
+            "TagLat": "36.4834e0 + (o_custkey % 3) * 0.001e0",
+            "TagLng": "-102.6574e0 + (o_custkey % 5) * 0.001e0",
         },
     ),
     "departures": (

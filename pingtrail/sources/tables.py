@@ -18,14 +18,8 @@ def read_table(spark: SparkSession, name: str, path: str, view: bool = True) ->
     return df
 
 
-def read_csv(
-    spark: SparkSession,
-    path: str,
-    schema: str | StructType,
-    timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
-) -> DataFrame:
-    """CSV with a header where ``NA`` and empty text (quoted or not) mean null; text is trimmed."""
-    df = (
+def _raw_csv(spark: SparkSession, path: str, schema, timestamp_format: str) -> DataFrame:
+    return (
         spark.read.schema(schema)
         .option("header", True)
         .option("nullValue", "NA")
@@ -34,15 +28,34 @@ def read_csv(
         .option("ignoreTrailingWhiteSpace", True)
         .csv(path)
     )
-    text = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+
+
+def _blank_to_null(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    text = [f.name for f in df.schema if isinstance(f.dataType, StringType) and f.name not in skip]
     return df.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in text})
 
 
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: str | StructType,
+    timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
+) -> DataFrame:
+    """CSV with a header where ``NA`` and empty text (quoted or not) mean null; text is trimmed."""
+    return _blank_to_null(_raw_csv(spark, path, schema, timestamp_format))
+
+
 def read_tags(
-    spark: SparkSession, path: str, schema: str, tags: Iterable[str], tag: str = "mfgID"
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    tags: Iterable[str],
+    tag: str = "mfgID",
+    timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
 ) -> DataFrame:
     """The listed tags of an export partitioned by tag; other folders are not opened."""
-    return read_csv(spark, path, schema).where(F.col(tag).isin(list(tags)))
+    kept = _raw_csv(spark, path, schema, timestamp_format).where(F.col(tag).isin(list(tags)))
+    return _blank_to_null(kept, (tag,))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
