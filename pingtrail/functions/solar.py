@@ -22,7 +22,6 @@ SUN_EVENTS = {
 TWILIGHT = ("nauticalDawn", "sunrise", "sunset", "nauticalDusk")
 
 _RAD = math.pi / 180.0
-_TMP = ["_lw", "_phi", "_n", "_ds", "_m", "_l", "_dec", "_eq", "_noon"]
 
 
 def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -33,36 +32,35 @@ def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def _sun_columns(df, date, lat, lon, keep, prefix="") -> DataFrame:
-    day = F.datediff(col(date).cast("date"), F.lit("2000-01-01").cast("date")).cast("double")
-    out = df.withColumns({"_lw": -col(lon) * _RAD, "_phi": col(lat) * _RAD})
-    turn = F.col("_lw") / (2 * math.pi)
-    out = out.withColumn("_n", F.floor(day - 0.0009 - turn + 0.5).cast("double"))
-    out = out.withColumn("_ds", 0.0009 + turn + F.col("_n"))
-    out = out.withColumn("_m", (357.5291 + 0.98560028 * F.col("_ds")) * _RAD)
-    m = F.col("_m")
-    centre = (1.9148 * F.sin(m) + 0.02 * F.sin(2 * m) + 0.0003 * F.sin(3 * m)) * _RAD
-    out = out.withColumn("_l", m + centre + 102.9372 * _RAD + math.pi)
-    out = out.withColumns(
-        {
-            "_dec": F.asin(F.lit(math.sin(23.4397 * _RAD)) * F.sin("_l")),
-            "_eq": 0.0053 * F.sin("_m") - 0.0069 * F.sin(2 * F.col("_l")),
-        }
-    )
-    # days since 2000-01-01 12:00 UTC of solar noon
-    out = out.withColumn("_noon", F.col("_ds") + F.col("_eq"))
-    ratios, times = {}, {}
+    """The formulas as one select list; each term is an alias that later ones refer to."""
+    terms = {
+        "_lw": f"-_at_lon * {_RAD!r}D",
+        "_phi": f"_at_lat * {_RAD!r}D",
+        "_turn": f"_lw / {2 * math.pi!r}D",
+        "_ds": "0.0009D + _turn + floor(_at_day - 0.0009D - _turn + 0.5D)",
+        "_m": f"(357.5291D + 0.98560028D * _ds) * {_RAD!r}D",
+        "_l": f"""_m + (1.9148D * sin(_m) + 0.02D * sin(2 * _m) + 0.0003D * sin(3 * _m)) * {_RAD!r}D
+            + {102.9372 * _RAD + math.pi!r}D""",
+        "_dec": f"asin({math.sin(23.4397 * _RAD)!r}D * sin(_l))",
+        # days since 2000-01-01 12:00 UTC of solar noon
+        "_noon": "_ds + 0.0053D * sin(_m) - 0.0069D * sin(2 * _l)",
+    }
+    times = {}
     for name in keep:
         altitude, side = SUN_EVENTS[name]
-        ratio = (F.lit(math.sin(altitude * _RAD)) - F.sin("_phi") * F.sin("_dec")) / (
-            F.cos("_phi") * F.cos("_dec")
+        ratio = f"_r{abs(altitude) * 1000:.0f}"
+        terms[ratio] = (
+            f"({math.sin(altitude * _RAD)!r}D - sin(_phi) * sin(_dec)) / (cos(_phi) * cos(_dec))"
         )
-        ratios[f"_r{altitude}"] = ratio
-        cosine = F.col(f"`_r{altitude}`")
-        half_day = F.acos(F.when(F.abs(cosine) <= 1.0, cosine)) / (2 * math.pi)
-        epoch_us = (F.col("_noon") + side * half_day + 10957.5) * (86400.0 * US)
-        times[prefix + name] = from_micros(F.floor(epoch_us + 0.5))
-    out = out.withColumns(ratios).withColumns(times)
-    return out.drop(*_TMP, *ratios)
+        half_day = f"acos(CASE WHEN abs({ratio}) <= 1 THEN {ratio} END) / {2 * math.pi!r}D"
+        days = f"_noon {'+' if side > 0 else '-'} {half_day} + 10957.5D"
+        times[prefix + name] = (
+            f"timestamp_micros(CAST(floor(({days}) * {86400.0 * US!r}D + 0.5D) AS BIGINT))"
+        )
+    day = F.datediff(col(date).cast("date"), F.lit("2000-01-01").cast("date")).cast("double")
+    given = df.withColumns({"_at_day": day, "_at_lat": col(lat), "_at_lon": col(lon)})
+    listed = [f"{e} AS `{name}`" for name, e in {**terms, **times}.items()]
+    return given.selectExpr("*", *listed).drop("_at_day", "_at_lat", "_at_lon", *terms)
 
 
 def add_sun_times(

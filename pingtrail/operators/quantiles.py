@@ -31,15 +31,17 @@ def group_quantiles(
     def edge(outer: bool, extreme: str, i: int) -> Column:
         return F.col(extreme) if outer else F.when(whole, F.col(extreme)).otherwise(F.col("_p")[i])
 
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(float(t)).alias("tau"),
-                edge(t <= margin, "_min", 2 * i).alias("lo"),
-                edge(t >= 1 - margin, "_max", 2 * i + 1).alias("hi"),
-            )
-            for i, t in enumerate(taus)
-        ]
+    # taus may share a bracket (always in a small group); each distinct one is ranked once
+    brackets = F.array_distinct(
+        F.array(
+            *[
+                F.struct(
+                    edge(t <= margin, "_min", 2 * i).alias("lo"),
+                    edge(t >= 1 - margin, "_max", 2 * i + 1).alias("hi"),
+                )
+                for i, t in enumerate(taus)
+            ]
+        )
     )
     wanted = sketch.select(*by, F.col("_n"), brackets.alias("_b"))
     if by:
@@ -53,27 +55,44 @@ def group_quantiles(
         rows = data.withColumns(
             {"_n": wanted.select("_n").scalar(), "_b": wanted.select("_b").scalar()}
         )
-    # one record per row and bracket it is not above; those below are only counted
+    # a record per row and bracket it is not above; those below one are only counted for it
     spread = rows.select(
-        *by, "_n", "v",
-        F.explode(F.filter("_b", lambda b: F.col("v") <= b["hi"])).alias("b"),
+        *by, "_n", "v", F.explode(F.filter("_b", lambda b: F.col("v") <= b["hi"])).alias("b")
     )
     inside = F.when(F.col("v") >= F.col("b.lo"), F.col("v"))
-    counts = spread.groupBy(*by, "_n", F.col("b.tau").alias("tau"), inside.alias("x")).agg(
-        F.count(F.lit(1)).alias("c")
-    )
+    counts = spread.groupBy(*by, "_n", "b", inside.alias("x")).agg(F.count(F.lit(1)).alias("c"))
     # null x (the rows below the bracket) sorts first
-    ranked = Window.partitionBy(*by, "tau").orderBy(F.col("x").asc_nulls_first())
-    upto = ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = (F.col("_n") - 1) * F.col("tau")
-    placed = counts.withColumns({"_last": F.sum("c").over(upto) - 1, "_h": h})
-    first = F.col("_last") - F.col("c") + 1
-    holds = lambda r: (first <= r) & (r <= F.col("_last"))
-    floor, ceil = F.floor("_h"), F.ceil("_h")
-    low = F.max(F.when(holds(floor), F.col("x")))
-    high = F.max(F.when(holds(ceil), F.col("x")))
-    frac = F.max(F.col("_h") - floor)
-    return placed.groupBy(*by, "tau").agg((low + frac * (high - low)).alias("quantile"))
+    upto = (
+        Window.partitionBy(*by, "_n", "b").orderBy(F.col("x").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    placed = counts.withColumn("_last", F.sum("c").over(upto) - 1)
+
+    def value_at(rank: Column) -> Column:
+        first = F.col("_last") - F.col("c") + 1
+        return F.max(F.when((first <= rank) & (rank <= F.col("_last")), F.col("x")))
+
+    h = [(F.col("_n") - 1) * float(t) for t in taus]
+    picked = placed.groupBy(*by, "_n", "b").agg(
+        *[value_at(F.floor(x)).alias(f"_lo{i}") for i, x in enumerate(h)],
+        *[value_at(F.ceil(x)).alias(f"_hi{i}") for i, x in enumerate(h)],
+    )
+    results = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(float(t)).alias("tau"),
+                    (F.col(f"_lo{i}") + (x - F.floor(x)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
+                    .alias("quantile"),
+                )
+                for i, (t, x) in enumerate(zip(taus, h))
+            ]
+        )
+    )
+    # null where a bracket lacks the ranks; all brackets that hold them agree
+    return picked.select(*by, results.alias("r")).groupBy(
+        *by, F.col("r.tau").alias("tau")
+    ).agg(F.max("r.quantile").alias("quantile"))
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
