@@ -235,14 +235,14 @@ def _next_after_span(marks: DataFrame, key: str, span_us: int, slice_s: float) -
     Marks and questions (``t + span``) are laid on one time line and read backwards, so that the
     last mark seen is the answer; a slice without a later mark takes the head of the next slice.
     """
-    laid = marks.select(key, F.col("t").alias("at"), F.col("t").alias("mark"), F.lit(None)
-                        .cast("bigint").alias("asks"))
-    asked = marks.select(key, (F.col("t") + span_us).alias("at"), F.lit(None).cast("bigint")
-                         .alias("mark"), F.col("t").alias("asks"))
+    t, none = F.col("t"), F.lit(None).cast("bigint")
+    laid = marks.select(key, t.alias("at"), t.alias("mark"), none.alias("asks"))
+    asked = marks.select(key, (t + span_us).alias("at"), none.alias("mark"), t.alias("asks"))
     line = laid.unionByName(asked)
     step = us_of(slice_s)
-    line = line.withColumn("_slice", ((F.col("at") - F.pmod("at", F.lit(step))) / step)
-                           .cast("bigint"))
+    cell = ((F.col("at") - F.pmod("at", F.lit(step))) / step).cast("bigint")
+    # never null, for the reason given in with_slice
+    line = line.withColumn("_slice", F.coalesce(cell, F.lit(0)))
     # backwards; at equal times the question comes first, so an equal mark is not its answer
     near = (
         Window.partitionBy(key, "_slice")
@@ -299,7 +299,7 @@ def burst_starts(
         )
         if reached.isEmpty():
             return on
-        on = checkpointed(on.unionByName(reached))
+        on = on.unionByName(reached)
         hop = jumps.select(key, F.col("t").alias("nxt"), F.col("nxt").alias("_far"))
         jumps = checkpointed(
             jumps.join(hop, [key, "nxt"]).select(key, "t", F.col("_far").alias("nxt"))

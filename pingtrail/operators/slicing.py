@@ -24,7 +24,9 @@ def slice_of(ts: str, slice_s: float) -> Column:
 
 
 def with_slice(df: DataFrame, ts: str, slice_s: float) -> DataFrame:
-    return df.withColumn("_slice", slice_of(ts, slice_s).cast("bigint"))
+    """Append ``_slice``. It is never null, so a join on it infers no null filter on one side only,
+    which would keep the two readings of a sliced table from sharing their exchange."""
+    return df.withColumn("_slice", F.coalesce(slice_of(ts, slice_s).cast("bigint"), F.lit(0)))
 
 
 def with_neighbours(
