@@ -10,6 +10,7 @@ from pingtrail.functions.timeutil import (
     clock, col, cut, from_micros, micros, round_time, seconds,
 )
 from pingtrail.operators.filters import has_location, normalised_signal
+from pingtrail.session import measured
 
 PATH_KEYS = [
     "motusTagID", "tagDeployID", "recvDeployName", "tagDepLon", "tagDepLat", "recvDeployLat",
@@ -215,7 +216,7 @@ def incidence(
     enough = points.groupBy(tag).agg(F.count(F.lit(1)).alias("n_points")).where(
         F.col("n_points") >= min_points
     )
-    return points.join(enough, tag)
+    return points.join(measured(enough), tag)
 
 
 def run_length_split(df: DataFrame, tag: str = "motusTagID") -> DataFrame:

@@ -1,5 +1,5 @@
 """Row filters and per-row derivations. All stay inside one scan stage; none shuffles except the
-equi-joins against small metadata tables, which carry no broadcast hint (Spark sizes them)."""
+equi-joins against metadata tables, which are broadcast only by their known or counted size."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pingtrail.functions.fixed import MAX_SIG, MIN_SIG, STUDY_BOX
 from pingtrail.functions.timeutil import col
+from pingtrail.session import measured
 
 
 def standard_filter(
@@ -175,9 +176,14 @@ def normalised_signal(
 
 
 def normalise_by_station(df: DataFrame) -> DataFrame:
-    """Normalise against each station's own observed range instead of a fixed one."""
-    span = df.groupBy("recvDeployName").agg(
-        F.min("sig").alias("_lo"), F.max("sig").alias("_hi")
+    """Normalise against each station's own observed range instead of a fixed one.
+
+    Few stations hold all rows, so the ranges are materialised and brought to the rows.
+    """
+    span = measured(
+        df.where("recvDeployName IS NOT NULL").groupBy("recvDeployName").agg(
+            F.min("sig").alias("_lo"), F.max("sig").alias("_hi")
+        )
     )
     scaled = (F.col("sig") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     return df.join(span, "recvDeployName").withColumn("sig_norm", scaled).drop("_lo", "_hi")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from pingtrail.operators.quantiles import group_quantiles
-from pingtrail.session import checkpointed
+from pingtrail.session import checkpointed, measured
 
 __all__ = [
     "bootstrap_slope", "breakpoint", "count_profile", "group_quantiles", "ols", "poisson_glm",
@@ -91,7 +91,7 @@ def poisson_glm(
     base = levels.where(F.col("g") == info["base"]).select("alpha", "mean", "y").first()
     scale = 1.0
     if quasi:
-        fitted = used.join(levels.select("g", "alpha"), "g")
+        fitted = used.join(measured(levels.select("g", "alpha")), "g")
         mu = F.exp(F.col("alpha") + beta * F.col("x"))
         pearson = fitted.agg(F.sum((F.col("y") - mu) * (F.col("y") - mu) / mu)).first()[0]
         scale = math.sqrt(pearson / (info["n"] - info["k"] - 1))

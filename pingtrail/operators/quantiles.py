@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pingtrail.session import measured
+
 ACCURACY = 100_000
 
 
@@ -15,7 +17,8 @@ def group_quantiles(
     A mergeable sketch of fixed size brackets each wanted rank within 8 n / accuracy positions. Only
     values inside a bracket, collapsed to (value, count), are then ranked exactly; the rest are
     merely counted. Two passes of partial aggregates, and the ranked part is a small fixed share of
-    the rows. Groups of at most ``accuracy`` rows are ranked whole.
+    the rows. Groups of at most ``accuracy`` rows are ranked whole. The brackets (one row per group)
+    are materialised by the first pass, and broadcast to the second only if counted to be few.
     """
     data = df.select(*by, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
     # sketch error 1 / accuracy, plus the neighbouring ranks of the interpolation
@@ -43,7 +46,7 @@ def group_quantiles(
             ]
         )
     )
-    wanted = sketch.select(*by, F.col("_n"), brackets.alias("_b"))
+    wanted = measured(sketch.select(*by, F.col("_n"), brackets.alias("_b")), 100_000)
     if by:
         on = None
         for c in by:

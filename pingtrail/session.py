@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Correctness needs UTC; the rest are sizing defaults a cluster may override.
 SESSION_CONF = {
@@ -42,3 +42,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="pingtrail-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def measured(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Materialise a narrow summary once, and mark it for broadcast only if its counted rows are few.
+
+    Estimates of aggregated tables are far too high before they run, so without this the large side
+    of their joins would be shuffled for nothing. A bigger summary is joined by shuffle as usual.
+    """
+    table = checkpointed(df)
+    return F.broadcast(table) if table.count() <= max_rows else table
