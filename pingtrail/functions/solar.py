@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pingtrail.functions.timeutil import US, col, from_micros, micros, solar_date
+from pingtrail.functions.timeutil import US, col, micros, solar_date
 
 # Sun altitude in degrees and side of the day (-1 before noon, +1 after) per named time.
 SUN_EVENTS = {

@@ -26,11 +26,7 @@ def connect(folder: str):
 
 
 def _plain(v):
-    if isinstance(v, float):
-        return None if math.isnan(v) else v
-    if isinstance(v, int) and not isinstance(v, bool):
-        return v
-    return v
+    return None if isinstance(v, float) and math.isnan(v) else v
 
 
 def rows_of(df):
