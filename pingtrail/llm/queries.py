@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pingtrail.llm import bpe, language_id, quality
+from pingtrail.llm import bpe, language_id, packing, quality, token_counts
 from pingtrail.llm.common import remainder_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,17 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality.score_quality(docs, model)
     held_out = F.coalesce(remainder_of_id("doc_id", 5) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every line of every document; a token over a line's end goes to the line with most of it."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.count_by_section(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 4096)
+    return packing.pack(pieces, 4096)
