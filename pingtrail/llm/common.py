@@ -113,3 +113,18 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     if roots is None:
         roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots
+
+
+def component_of_class(rows: DataFrame, edges: DataFrame, name: str, *, id_column: str, class_column: str) -> DataFrame:
+    """Columns ``class_column``, copies, component_id of the classes that have several rows or a link.
+
+    ``rows`` has a row's id and class; equal classes belong together, ``edges`` (a, b) link classes. The component id is
+    the smallest id among all rows that can be reached. Classes left out are alone with their own id.
+    """
+    sizes = stored(rows.groupBy(class_column).agg(F.count(F.lit(1)).alias("copies"), F.min(id_column).alias("least_id")), f"{name}-classes")
+    roots = components(edges, name).select(F.col("node").alias(class_column), "root")
+    rooted = stored(roots.join(sizes, class_column), f"{name}-rooted")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    linked = rooted.join(least, "root").select(class_column, "copies", "component_id")
+    alone = sizes.where("copies > 1").join(rooted.select(class_column), class_column, "left_anti")
+    return stored(linked.unionByName(alone.select(class_column, "copies", F.col("least_id").alias("component_id"))), f"{name}-members")

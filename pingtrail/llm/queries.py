@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pingtrail.llm import bpe, language_id, packing, quality, token_counts
+from pingtrail.llm import bpe, language_id, minhash, multi_index, packing, quality, token_counts
 from pingtrail.llm.common import remainder_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 4096)
     return packing.pack(pieces, 4096)
+
+
+@query("op9_minhash")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
+@query("op3_embedding_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.near_duplicate_vectors(table(spark, folder, "embeddings"))

@@ -27,6 +27,10 @@ class Remembered:
     def __init__(self, entries: int) -> None:
         self.half, self.young, self.old = entries // 2, {}, {}
 
+    def get(self, key: str):
+        found = self.young.get(key)
+        return self.old.get(key) if found is None else found
+
     def put(self, key: str, value) -> None:
         if len(self.young) >= self.half:
             self.old, self.young = self.young, {}
@@ -55,7 +59,7 @@ class WordTokenizer:
 
     def _part(self, part: str) -> bytes:
         key = part.lower()
-        known = self.parts.young.get(key) or self.parts.old.get(key)
+        known = self.parts.get(key)
         if known is None:
             stand_in = key if key.isascii() else key.encode().decode("latin-1").translate(self.letters)
             known = np.array([t.id for t in self.model.tokenize(stand_in)], dtype="<u4").tobytes()
@@ -101,9 +105,12 @@ class OffsetTokenizer:
         self.white = re.compile(r"\s ").search
         self.runs = re.compile(r"\s*\S+|\s+").findall
 
-    def _new(self, parts: list[str]) -> None:
-        for part, coded in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False), strict=True):
-            self.known.put(part, np.array(coded.offsets, dtype=np.int32).reshape(-1, 2).tobytes())
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        coded = self.tokenizer.encode_batch(parts, add_special_tokens=False)
+        found = {p: np.array(c.offsets, dtype=np.int32).reshape(-1, 2).tobytes() for p, c in zip(parts, coded, strict=True)}
+        for part, spans in found.items():
+            self.known.put(part, spans)
+        return found
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
         """For each text an array of (start, end) rows, one a token, in order."""
@@ -116,20 +123,16 @@ class OffsetTokenizer:
             else:
                 first, *rest = text.split(" ")
                 cut.append(([first] if first else []) + [" " + p for p in rest])
-        young, old = self.known.young, self.known.old
         local = {}
         missing = []
         for parts in cut:
             for part in parts:
                 if part not in local:
-                    value = young.get(part) or old.get(part)
-                    local[part] = value
+                    local[part] = value = self.known.get(part)
                     if value is None:
                         missing.append(part)
         if missing:
-            self._new(missing)
-            for part in missing:
-                local[part] = self.known.young.get(part) or self.known.old[part]
+            local.update(self._new(missing))
         out = []
         for parts in cut:
             held = [local[p] for p in parts]
