@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pingtrail.llm import bpe, language_id, minhash, multi_index, packing, quality, token_counts
+from pingtrail.llm import block_topk, bpe, language_id, minhash, multi_index, packing, quality, token_counts, warc
 from pingtrail.llm.common import remainder_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,32 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_embedding_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 5
+"""
+
+
+@query("op5_block_topk", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return block_topk.top_k(table(spark, folder, "embeddings"))
+
+
+@query("op1_warc")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    back = warc.round_trip(table(spark, folder, "pages"))
+    return back.select(warc.number_of("record_id").alias("page_id"), "payload_bytes",
+                       F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type",
+                       warc.number_of("refers_to").alias("refers_to"))
