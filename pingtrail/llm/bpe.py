@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from pingtrail.llm.common import map_arrow
+from pingtrail.llm.tokens import Remembered
 
 WORD = 64
 
@@ -63,60 +64,98 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
-def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: merge the pair of smallest rank, leftmost first, until none is left.
+def two_byte_ranks(ranks: dict[bytes, int]) -> np.ndarray:
+    """Rank of each pair of bytes, -1 for none."""
+    table = np.full(1 << 16, -1, dtype=np.int64)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            table[token[0] << 8 | token[1]] = rank
+    return table
 
-    Parts are a doubly linked list over byte positions. An entry of the queue is stale when its position is no
-    longer the start of a part or its pair has another rank by now; it is then skipped.
+
+def merge_all(pretokens: list[bytes], ranks: dict[bytes, int], two_bytes: np.ndarray) -> list[list[int]]:
+    """Token ids of each pre-token: the pair of smallest rank merges first, the leftmost of equals, until none is left.
+
+    All pre-tokens lie in one buffer and share one queue, as pairs of different ranks or pre-tokens do not disturb each
+    other. Parts are a doubly linked list over byte positions; ``pair`` holds the rank of each part with the
+    next one. An entry of the queue whose rank is not the pair's any more is stale and skipped.
     """
-    whole = ranks.get(data)
-    if whole is not None:
-        return [whole]
+    data = b"".join(pretokens)
     n = len(data)
-    after = list(range(1, n + 1))  # end of the part that starts here
-    before = list(range(-1, n))    # start of the part before; at n, of the last part
-    alive = bytearray(b"\1") * n
-    queue = RankQueue()
+    edge = bytearray(n + 1)  # 1 where a pre-token starts, and at the end
+    at = 0
+    for pretoken in pretokens:
+        edge[at] = 1
+        at += len(pretoken)
+    edge[n] = 1
     get = ranks.get
-    for at in range(n - 1):
-        rank = get(data[at:at + 2])
-        if rank is not None:
-            queue.add(rank, at)
+    after = list(range(1, n + 1))   # end of the part that starts here
+    before = list(range(-1, n))     # start of the part before
+    queue = RankQueue()
+    add, waiting = queue.add, queue.buckets
+    bytes_ = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    pairs = two_bytes[bytes_[:-1] * 256 + bytes_[1:]] if n > 1 else np.empty(0, np.int64)
+    pairs[np.frombuffer(edge, dtype=np.uint8)[1:n] == 1] = -1
+    pair = [*pairs.tolist(), -1]
+    order = np.argsort(pairs, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(pairs[order])) + 1):
+        if len(group) and pairs[group[0]] >= 0:
+            add(int(pairs[group[0]]), int(group[0]))
+            waiting[int(pairs[group[0]])] = group.tolist()
     while (item := queue.take()) is not None:
         rank, positions = item
         positions.sort()
         for index, at in enumerate(positions):
-            if not alive[at]:
+            if pair[at] != rank:
                 continue
             middle = after[at]
-            if middle >= n:
-                continue
             end = after[middle]
-            if get(data[at:end]) != rank:
-                continue
-            alive[middle] = 0
+            pair[middle] = -1
             after[at] = end
-            before[end] = at
-            smaller = False
-            previous = before[at]
-            if previous >= 0:
-                new = get(data[previous:end])
-                if new is not None:
-                    queue.add(new, previous)
-                    smaller |= new < rank
-            if end < n:
+            smallest = rank
+            if edge[end]:
+                pair[at] = -1
+            else:
+                before[end] = at
                 new = get(data[at:after[end]])
-                if new is not None:
-                    queue.add(new, at)
-                    smaller |= new < rank
-            if smaller and index + 1 < len(positions):  # a smaller rank came up: the rest of this bucket waits
+                if new is None:
+                    pair[at] = -1
+                else:
+                    pair[at] = new
+                    bucket = waiting.get(new)
+                    if bucket is None:
+                        add(new, at)
+                        if new < smallest:
+                            smallest = new
+                    else:
+                        bucket.append(at)
+            if not edge[at]:
+                previous = before[at]
+                new = get(data[previous:end])
+                if new is None:
+                    pair[previous] = -1
+                else:
+                    pair[previous] = new
+                    bucket = waiting.get(new)
+                    if bucket is None:
+                        add(new, previous)
+                        if new < smallest:
+                            smallest = new
+                    else:
+                        bucket.append(previous)
+            if smallest < rank:  # a smaller rank came up: the rest of this bucket waits
                 for later in positions[index + 1:]:
-                    queue.add(rank, later)
+                    add(rank, later)
                 break
-    out, at = [], 0
+    out: list[list[int]] = []
+    at = 0
     while at < n:
-        out.append(ranks[data[at:after[at]]])
+        ids = [ranks[data[at:after[at]]]]
         at = after[at]
+        while not edge[at]:
+            ids.append(ranks[data[at:after[at]]])
+            at = after[at]
+        out.append(ids)
     return out
 
 
@@ -127,15 +166,14 @@ class Encoder:
     pattern and the merges run only for what is not there. Every byte needs a rank, else a KeyError is raised.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 1_000_000) -> None:
         import regex
 
-        self.ranks = ranks
+        self.ranks, self.two_bytes = ranks, two_byte_ranks(ranks)
         self.split = regex.compile(pattern).findall
         self.white = regex.compile(r"\s ").search
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.half = remembered // 2
+        self.runs = regex.compile(r"\s*\S+|\s+").findall
+        self.pieces, self.pretokens = Remembered(remembered), Remembered(remembered // 2)
         size = max(ranks.values(), default=0) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -144,38 +182,54 @@ class Encoder:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
         self.content = np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
-    def _look_up(self, piece: str) -> bytes:
-        known = self.older.get(piece)
-        if known is None:
-            ids: list[int] = []
-            for match in self.split(piece):
-                ids += merge(match.encode(), self.ranks)
-            known = np.array(ids, dtype=np.int32).tobytes()
-        if len(self.recent) >= self.half:
-            self.older, self.recent = self.recent, {}
-        self.recent[piece] = known
-        return known
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype=np.int32)
+    def _cut(self, text: str) -> list[str]:
+        """Pieces whose pre-tokens are those of the text: cut before white space that follows something else."""
         if self.white(text):
-            # blanks after white space belong to longer matches: cut before white space that follows something else
-            parts = self._cut_at_runs(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + p for p in rest]]
-        get, found = self.recent.get, []
-        for part in parts:
-            ids = get(part)
-            found.append(self._look_up(part) if ids is None else ids)
-        return np.frombuffer(b"".join(found), dtype=np.int32)
-
-    @staticmethod
-    def _cut_at_runs(text: str) -> list[str]:
-        import regex
-
-        return regex.findall(r"\s*\S+|\s+", text)
+            return self.runs(text)
+        first, *rest = text.split(" ")
+        return ([first] if first else []) + [" " + p for p in rest]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        split = {piece: self.split(piece) for piece in pieces}
+        known, new = {}, []
+        for matches in split.values():
+            for match in matches:
+                if match not in known:
+                    ids = self.pretokens.get(match)
+                    if ids is None:
+                        data = match.encode()
+                        whole = self.ranks.get(data)
+                        if whole is None:
+                            new.append((match, data))
+                        else:
+                            ids = np.array([whole], dtype=np.int32).tobytes()
+                    known[match] = ids
+        for (match, _), ids in zip(new, merge_all([data for _, data in new], self.ranks, self.two_bytes), strict=True):
+            known[match] = np.array(ids, dtype=np.int32).tobytes()
+        for match, ids in known.items():
+            self.pretokens.put(match, ids)
+        found = {piece: b"".join([known[m] for m in matches]) for piece, matches in split.items()}
+        for piece, ids in found.items():
+            self.pieces.put(piece, ids)
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self._cut(text) if text else [] for text in texts]
+        local: dict[str, bytes | None] = {}
+        young, old = self.pieces.young, self.pieces.old
+        missing = []
+        for pieces in cut:
+            for piece in pieces:
+                if piece not in local:
+                    ids = young.get(piece)
+                    if ids is None:
+                        ids = old.get(piece)
+                        if ids is None:
+                            missing.append(piece)
+                    local[piece] = ids
+        if missing:
+            local.update(self._learn(missing))
+        return [np.frombuffer(b"".join([local[p] for p in pieces]), dtype=np.int32) for pieces in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
@@ -209,7 +263,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "tex
         coder = encoder(path, pattern)
 
         def work(batch: pa.RecordBatch) -> dict:
-            rows = [coder.encode(t or "") for t in batch.column(len(keep)).to_pylist()]
+            rows = coder.encode([t or "" for t in batch.column(len(keep)).to_pylist()])
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
