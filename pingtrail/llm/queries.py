@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pingtrail.llm import block_topk, bpe, language_id, minhash, multi_index, packing, quality, token_counts, warc
+from pingtrail.llm import block_topk, bpe, language_id, minhash, multi_index, packing, quality, suffix_dedup, token_counts, warc
 from pingtrail.llm.common import remainder_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(warc.number_of("record_id").alias("page_id"), "payload_bytes",
                        F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type",
                        warc.number_of("refers_to").alias("refers_to"))
+
+
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
