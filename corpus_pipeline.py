@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pingtrail.llm import language_id, quality
+from pingtrail.llm import language_id, minhash, packing, quality, suffix_dedup
 from pingtrail.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,9 +28,41 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     return scored.where("quality_score >= 0.3").select(*docs.columns)
 
 
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Keep the document of smallest id of each group whose sets of five-word shingles are linked at 0.8 or more.
+
+    The id is taken with the text's hash, so that rows of one id but other texts are told apart; of equal rows one stays.
+    """
+    text_hash = F.md5(F.coalesce("text", F.lit("")))
+    keyed = docs.select(F.struct("doc_id", text_hash.alias("text_hash")).alias("key"), "text")
+    groups = minhash.near_duplicates(keyed, doc_id="key", words=5, percent=80)
+    kept = stored(groups.where("kept").groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "pipeline-kept")
+    kept = kept.select(F.col("key.doc_id").alias("kept_id"), F.col("key.text_hash").alias("kept_hash"), F.col("rows").alias("kept_rows"))
+    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (text_hash == F.col("kept_hash")))
+    once = found.where("kept_rows = 1").select(*docs.columns)
+    return once.unionByName(found.where("kept_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Remove every byte of strings of 200 bytes that occur more than once; documents stay, if need be with an empty text."""
+    others = [c for c in docs.columns if c != "text"]
+    cut = suffix_dedup.remove_repeats(docs.select(F.struct(*others).alias("document"), "text"), doc_id="document", as_text=True)
+    text = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*(text.get(c, F.col("document").getField(c)).alias(c) for c in docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 4096 tokens."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 4096)
+    return packing.pack(pieces, 4096)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", keep_identified_languages),
     ("quality", keep_good_quality),
+    ("near_dedup", keep_one_of_near_duplicates),
+    ("suffix_dedup", cut_repeated_passages),
+    ("packing", pack_sequences),
 ]
 
 #: No SQL can express the stages; they are tested against brute-force versions.

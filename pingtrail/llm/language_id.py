@@ -40,7 +40,7 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", *,
 
 
 def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", *,
-                      least_margin: float = 0.005, pred: str = "lang_pred", score: str = "score",
+                      least_margin: float = 0.002, pred: str = "lang_pred", score: str = "score",
                       margin: str = "margin", rejected: str = "lang_rejected") -> DataFrame:
     """``docs`` with the language whose dictionary encodes the whole text shortest, and the doubt about it.
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from pingtrail.llm.common import map_arrow, stored
 
@@ -171,9 +171,12 @@ def _packed(docs: DataFrame, columns: list[str]) -> DataFrame:
     return map_arrow(docs.select(*columns, "text"), make, StructType([*(docs.schema[c] for c in columns), StructField("packed", BinaryType())]))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, window: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, window: int = 200, as_text: bool = False) -> DataFrame:
     """One row a document: its id, n_bytes, spans (removed runs as start and end) and kept (the remaining bytes).
 
+    With ``as_text`` kept is a string, without the characters of which a cut took some bytes only. The id may be of any
+    type, so a struct of all other columns carries a whole document along.
+
     A byte goes when it lies in a string of ``window`` bytes that starts anywhere else too, in this or another document; all
     copies go, and strings are judged on the input. Matches do not cross documents.
 
@@ -260,7 +263,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = marks.distinct().groupBy("class").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     schema = StructType([StructField(doc_id, id_field.dataType), StructField("n_bytes", LongType()),
                          StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
-                         StructField("kept", BinaryType())])
+                         StructField("kept", StringType() if as_text else BinaryType())])
 
     def make_kept():
         unpack = zstandard.ZstdDecompressor()
@@ -277,6 +280,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 sizes.append(len(data))
                 all_spans.append([{"start": a, "end": b} for a, b in cut.tolist()])
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            if as_text:
+                kept = [k.decode(errors="ignore") for k in kept]
             return {doc_id: batch.column(0), "n_bytes": sizes, "spans": all_spans, "kept": kept}
 
         return work
