@@ -168,7 +168,7 @@ def extent(df: DataFrame, lat: str, lon: str, pad: float = 2.0) -> DataFrame:
 
 def dispersion(df: DataFrame, column: str) -> DataFrame:
     mean, var = F.avg(column), F.var_samp(column)
-    return df.agg(mean.alias("mean"), var.alias("var"), (var / mean).alias("ratio"))
+    return df.agg(mean.alias("mean"), var.alias("var"), F.try_divide(var, mean).alias("ratio"))
 
 
 def hourly_presence(df: DataFrame) -> DataFrame:

@@ -126,10 +126,10 @@ def has_location(lat: str = "recvDeployLat", strict: bool = False) -> Column:
 
 
 def fill_station_name(df: DataFrame) -> DataFrame:
-    """Missing name becomes ``lat:lon`` (up to 15 significant digits), null without coordinates."""
+    """Missing name becomes ``lat:lon`` (up to 12 decimals), null without coordinates."""
 
     def text(c: str) -> Column:
-        plain = F.format_string("%.6f", F.col(c))
+        plain = F.col(c).cast("decimal(20,12)").cast("string")
         return F.regexp_replace(F.regexp_replace(plain, "0+$", ""), "\\.$", "")
 
     position = F.concat(text("recvDeployLat"), F.lit(":"), text("recvDeployLon"))
@@ -178,7 +178,7 @@ def normalised_signal(
 def normalise_by_station(df: DataFrame) -> DataFrame:
     """Normalise against each station's own observed range instead of a fixed one.
 
-    Few stations hold all rows, so the ranges are materialised and brought to the rows.
+    Rows without a station stay, with a null value.
     """
     span = measured(
         df.where("recvDeployName IS NOT NULL").groupBy("recvDeployName").agg(
@@ -186,7 +186,7 @@ def normalise_by_station(df: DataFrame) -> DataFrame:
         )
     )
     scaled = (F.col("sig") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    return df.join(span, "recvDeployName").withColumn("sig_norm", scaled).drop("_lo", "_hi")
+    return df.join(span, "recvDeployName", "left").withColumn("sig_norm", scaled).drop("_lo", "_hi")
 
 
 def label_nodes(df: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,13 +27,13 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
         F.regr_sxx(y, x).alias("sxx"),
     )
     n, rss = F.col("n"), F.col("rss")
-    sigma2 = rss / (n - 2)
+    sigma2 = F.try_divide(rss, n - 2)  # null for two rows, as are the errors
     return sums.select(
         "n", "slope", "intercept", "r2",
         F.sqrt(sigma2).alias("sigma"),
-        F.sqrt(sigma2 / F.col("sxx")).alias("slope_se"),
+        F.sqrt(F.try_divide(sigma2, F.col("sxx"))).alias("slope_se"),
         # Gaussian log-likelihood; slope, intercept and variance are the three parameters
-        (n * (F.log(F.lit(2 * math.pi)) + F.log(rss / n) + 1) + 2 * 3).alias("aic"),
+        (n * (F.log(F.lit(2 * math.pi)) + F.log(F.try_divide(rss, n)) + 1) + 2 * 3).alias("aic"),
     )
 
 
@@ -43,10 +43,11 @@ def poisson_glm(
 ) -> DataFrame:
     """(term, estimate, std_error) of the log-linear count model y ~ x + factor.
 
-    The intercept is the alphabetically first level; other levels are differences from it. For a
+    The intercept is the alphabetically first level with any count; other levels are differences from it. For a
     given slope each level's intercept has a closed form, so Newton's method runs on the slope
     alone: one aggregate per level and step, however many levels there are. ``quasi`` scales errors
-    by the square root of the Pearson dispersion.
+    by the square root of the Pearson dispersion. A level whose counts are all 0 has no finite
+    intercept: its estimate is -infinity and its error null, and it says nothing about the slope.
     """
     used = checkpointed(
         df.select(
@@ -82,18 +83,24 @@ def poisson_glm(
         raise ValueError(f"no convergence after {max_iter} steps")
 
     levels = per_level(beta).withColumns(
-        {"alpha": F.log(F.col("y") / F.col("s0")), "mean": F.col("s1") / F.col("s0")}
+        {
+            "alpha": F.when(F.col("y") > 0, F.log(F.col("y") / F.col("s0"))).otherwise(F.lit(float("-inf"))),
+            "mean": F.col("s1") / F.col("s0"),
+        }
     )
     info = levels.agg(
         F.sum(F.col("y") * (F.col("s2") / F.col("s0") - F.col("mean") * F.col("mean"))).alias("i"),
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.min("g").alias("base"),
+        F.count_if(F.col("y") > 0).alias("k"), F.sum(F.when(F.col("y") > 0, F.col("n"))).alias("n"),
+        F.min(F.when(F.col("y") > 0, F.col("g"))).alias("base"),
     ).first()
     base = levels.where(F.col("g") == info["base"]).select("alpha", "mean", "y").first()
     scale = 1.0
     if quasi:
         fitted = used.join(measured(levels.select("g", "alpha")), "g")
         mu = F.exp(F.col("alpha") + beta * F.col("x"))
-        pearson = fitted.agg(F.sum((F.col("y") - mu) * (F.col("y") - mu) / mu)).first()[0]
+        pearson = fitted.where("alpha > double('-Infinity')").agg(
+            F.sum((F.col("y") - mu) * (F.col("y") - mu) / mu)
+        ).first()[0]
         scale = math.sqrt(pearson / (info["n"] - info["k"] - 1))
     var = 1.0 / info["i"]
     spread = F.col("mean") - base["mean"]
@@ -104,8 +111,8 @@ def poisson_glm(
         (
             scale * F.sqrt(
                 F.when(F.col("g") == info["base"],
-                       1.0 / F.col("y") + var * F.col("mean") * F.col("mean"))
-                .otherwise(1.0 / F.col("y") + 1.0 / base["y"] + var * spread * spread)
+                       F.try_divide(F.lit(1.0), "y") + var * F.col("mean") * F.col("mean"))
+                .otherwise(F.try_divide(F.lit(1.0), "y") + 1.0 / base["y"] + var * spread * spread)
             )
         ).alias("std_error"),
     )
@@ -264,6 +271,6 @@ def count_profile(df: DataFrame, column: str, shift: float = 1.0) -> DataFrame:
         "n", "mean", "var",
         F.when(var > mean, mean * mean / (var - mean)).alias("nb_size"),
         mean.alias("nb_mu"),
-        (mean * mean / var).alias("gamma_shape"),
-        (mean / var).alias("gamma_rate"),
+        F.try_divide(mean * mean, var).alias("gamma_shape"),
+        F.try_divide(mean, var).alias("gamma_rate"),
     )

@@ -16,9 +16,9 @@ def group_quantiles(
 
     A mergeable sketch of fixed size brackets each wanted rank within 8 n / accuracy positions. Only
     values inside a bracket, collapsed to (value, count), are then ranked exactly; the rest are
-    merely counted. Two passes of partial aggregates, and the ranked part is a small fixed share of
-    the rows. Groups of at most ``accuracy`` rows are ranked whole. The brackets (one row per group)
-    are materialised by the first pass, and broadcast to the second only if counted to be few.
+    merely counted, by their number and the value next to the bracket. Two passes of partial aggregates,
+    and the ranked part is a small fixed share of the rows; the way is the same for groups of any size. The brackets
+    (one row per group) are written by the first pass. A bracket that missed its rank would raise an error.
     """
     data = df.select(*by, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
     # sketch error 1 / accuracy, plus the neighbouring ranks of the interpolation
@@ -29,12 +29,11 @@ def group_quantiles(
         F.percentile_approx("v", probs, accuracy).alias("_p"),
         F.min("v").alias("_min"), F.max("v").alias("_max"), F.count(F.lit(1)).alias("_n"),
     )
-    whole = F.col("_n") <= accuracy
 
     def edge(outer: bool, extreme: str, i: int) -> Column:
-        return F.col(extreme) if outer else F.when(whole, F.col(extreme)).otherwise(F.col("_p")[i])
+        return F.col(extreme) if outer else F.col("_p")[i]
 
-    # taus may share a bracket (always in a small group); each distinct one is ranked once
+    # taus may share a bracket; each distinct one is ranked once
     brackets = F.array_distinct(
         F.array(
             *[
@@ -46,7 +45,7 @@ def group_quantiles(
             ]
         )
     )
-    wanted = measured(sketch.select(*by, F.col("_n"), brackets.alias("_b")), 100_000)
+    wanted = measured(sketch.select(*by, F.col("_n"), brackets.alias("_b")))
     if by:
         on = None
         for c in by:
@@ -58,22 +57,28 @@ def group_quantiles(
         rows = data.withColumns(
             {"_n": wanted.select("_n").scalar(), "_b": wanted.select("_b").scalar()}
         )
-    # a record per row and bracket it is not above; those below one are only counted for it
-    spread = rows.select(
-        *by, "_n", "v", F.explode(F.filter("_b", lambda b: F.col("v") <= b["hi"])).alias("b")
-    )
-    inside = F.when(F.col("v") >= F.col("b.lo"), F.col("v"))
-    counts = spread.groupBy(*by, "_n", "b", inside.alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    # null x (the rows below the bracket) sorts first
+    # a record per row and bracket; on either side of it rows are only counted, and the nearest value kept: interpolation
+    # may need the one order statistic next to the bracket
+    spread = rows.select(*by, "_n", "v", F.explode("_b").alias("b"))
+    side = F.when(F.col("v") < F.col("b.lo"), -1).when(F.col("v") > F.col("b.hi"), 1).otherwise(0)
+    counts = spread.withColumn("_side", side).groupBy(
+        *by, "_n", "b", "_side", F.when(F.col("_side") == 0, F.col("v")).alias("x")
+    ).agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("_most"), F.min("v").alias("_least"))
     upto = (
-        Window.partitionBy(*by, "_n", "b").orderBy(F.col("x").asc_nulls_first())
+        Window.partitionBy(*by, "_n", "b").orderBy("_side", "x")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = counts.withColumn("_last", F.sum("c").over(upto) - 1)
+    last = F.sum("c").over(upto) - 1
+    placed = counts.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("c") + 1).select(
+        *by, "_n", "b",
+        F.when(F.col("_side") < 0, F.col("_most")).when(F.col("_side") > 0, F.col("_least"))
+        .otherwise(F.col("x")).alias("x"),
+        F.when(F.col("_side") < 0, F.col("_last")).otherwise(F.col("_first")).alias("_from"),
+        F.when(F.col("_side") > 0, F.col("_first")).otherwise(F.col("_last")).alias("_to"),
+    )
 
     def value_at(rank: Column) -> Column:
-        first = F.col("_last") - F.col("c") + 1
-        return F.max(F.when((first <= rank) & (rank <= F.col("_last")), F.col("x")))
+        return F.max(F.when((F.col("_from") <= rank) & (rank <= F.col("_to")), F.col("x")))
 
     h = [(F.col("_n") - 1) * float(t) for t in taus]
     picked = placed.groupBy(*by, "_n", "b").agg(
@@ -95,7 +100,9 @@ def group_quantiles(
     # null where a bracket lacks the ranks; all brackets that hold them agree
     return picked.select(*by, results.alias("r")).groupBy(
         *by, F.col("r.tau").alias("tau")
-    ).agg(F.max("r.quantile").alias("quantile"))
+    ).agg(
+        F.coalesce(F.max("r.quantile"), F.raise_error("a bracket missed its rank").cast("double")).alias("quantile")
+    )
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Maps the supplied star-schema tables onto telemetry tables.
 
 Each mapping is one select list in SQL common to Spark and ANSI engines, over whole tables, so that
-results can be checked elsewhere on exactly the same input.
+results can be checked elsewhere on exactly the same input. Deployments and run filters number tags and runs from
+a later start than the tables they are joined with, so that some rows of either side find no partner.
 """
 
 from __future__ import annotations
@@ -92,10 +93,10 @@ VIEWS = {
         {"tagID": "c_custkey", "projectID": "c_nationkey"},
     ),
     "tag_deployments": (
-        "SELECT * FROM orders WHERE o_orderdate >= CAST('2001-01-01 00:00:00' AS TIMESTAMP)",
+        "SELECT * FROM orders",
         {
             "deployID": "o_orderkey",
-            "tagID": "o_custkey",
+            "tagID": "o_custkey + 40",
             "projectID": "CAST(o_custkey % 25 AS INT)",
             "tsStart": "CAST(o_orderdate AS TIMESTAMP)",
             "tsEnd": """CASE WHEN o_orderkey % 5 = 0 THEN NULL
@@ -122,10 +123,10 @@ VIEWS = {
     ),
     "species": ("SELECT * FROM nation", {"id": "n_nationkey", "name": "n_name"}),
     "run_filter": (
-        "SELECT * FROM part WHERE p_size % 3 <> 0",
+        "SELECT * FROM part",
         {
-            "runID": "p_partkey",
-            "motusTagID": "CAST(floor(p_partkey / 10) AS BIGINT)",
+            "runID": "p_partkey + 60",
+            "motusTagID": "CAST(floor((p_partkey + 60) / 10) AS BIGINT)",
             "probability": "CASE WHEN p_size % 5 = 0 THEN 0e0 ELSE p_size / 50e0 END",
         },
     ),

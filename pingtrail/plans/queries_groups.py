@@ -197,9 +197,9 @@ def _(t):
 @query("R7_incidence", q(DET, """pts AS (SELECT DISTINCT motusTagID, epoch_us(tsCorrected)
     AS tsCorrected, recvDeployLat, recvDeployLon FROM detections)""", body="""SELECT *, 1 AS presence,
     count(*) OVER (PARTITION BY motusTagID) AS n_points FROM pts
-    QUALIFY count(*) OVER (PARTITION BY motusTagID) > 60"""))
+    QUALIFY count(*) OVER (PARTITION BY motusTagID) > 4"""))
 def _(t):
-    return agg.incidence(t.detections, min_points=61)
+    return agg.incidence(t.detections, min_points=5)
 
 
 @query("R8_split_date_time", q(DET, body="""SELECT hitID, strftime(ts, '%Y-%m-%d') AS Date,

@@ -190,9 +190,9 @@ MULTI = "count(*) > 1"
 
 @query("J8_enrich_beeps", q("beeps", NODES_CTE, body="""SELECT TagId, b.NodeId, lat AS node_lat,
     lng AS node_lng, count(*) AS n FROM beeps b JOIN nodes n ON b.NodeId = n.NodeId
-    WHERE TagId IN (SELECT TagId FROM beeps GROUP BY TagId HAVING count(*) > 1150) GROUP BY ALL"""))
+    WHERE TagId IN (SELECT TagId FROM beeps GROUP BY TagId HAVING count(*) > 4) GROUP BY ALL"""))
 def _(t):
-    busy = t.beeps.groupBy("TagId").agg(F.count(F.lit(1)).alias("n")).where("n > 1150")
+    busy = t.beeps.groupBy("TagId").agg(F.count(F.lit(1)).alias("n")).where("n > 4")
     placed = nd.enrich_beeps(t.beeps, t.nodes, busy)
     return placed.groupBy("TagId", "NodeId", "node_lat", "node_lng").agg(
         F.count(F.lit(1)).alias("n")
@@ -265,9 +265,9 @@ def _(t):
 
 
 @query("N2_minimum_nodes", q("beeps", NODES_CTE, located_sql(
-    having="count(DISTINCT NodeId) > 12"), body=LOC_BODY))
+    having="count(DISTINCT NodeId) > 1"), body=LOC_BODY))
 def _(t):
-    return nd.weighted_location(t.beeps, t.nodes, THIRTY, min_nodes=12)
+    return nd.weighted_location(t.beeps, t.nodes, THIRTY, min_nodes=1)
 
 
 MOVED = f"""moved AS (SELECT *, Lat - std_lat AS lowlat, Lat + std_lat AS uplat,

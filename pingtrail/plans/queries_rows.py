@@ -197,8 +197,8 @@ def _(t):
     "F12_station_name",
     det("true", """hitID, coalesce(recvDeployName, CASE WHEN recvDeployLat IS NOT NULL AND
         recvDeployLon IS NOT NULL THEN
-        regexp_replace(regexp_replace(printf('%.6f', recvDeployLat), '0+$', ''), '[.]$', '') || ':'
-        || regexp_replace(regexp_replace(printf('%.6f', recvDeployLon), '0+$', ''), '[.]$', '')
+        regexp_replace(regexp_replace(CAST(CAST(recvDeployLat AS DECIMAL(20,12)) AS VARCHAR), '0+$', ''), '[.]$', '') || ':'
+        || regexp_replace(regexp_replace(CAST(CAST(recvDeployLon AS DECIMAL(20,12)) AS VARCHAR), '0+$', ''), '[.]$', '')
         END) AS recvDeployName"""),
 )
 def _(t):
@@ -291,9 +291,10 @@ def _(t):
 @query(
     "F20_signal_normalised_by_station",
     q(DET, body=f"""SELECT hitID, {r6('(sig - lo) / nullif(hi - lo, 0)', 'sig_norm')} FROM (
-        SELECT hitID, sig, min(sig) OVER (PARTITION BY recvDeployName) AS lo,
-        max(sig) OVER (PARTITION BY recvDeployName) AS hi FROM detections
-        WHERE recvDeployName IS NOT NULL)"""),
+        SELECT hitID, sig,
+        CASE WHEN recvDeployName IS NOT NULL THEN min(sig) OVER (PARTITION BY recvDeployName) END AS lo,
+        CASE WHEN recvDeployName IS NOT NULL THEN max(sig) OVER (PARTITION BY recvDeployName) END AS hi
+        FROM detections)"""),
 )
 def _(t):
     return flt.normalise_by_station(t.detections).select("hitID", "sig_norm")

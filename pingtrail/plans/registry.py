@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, DoubleType, TimestampType
 
 from pingtrail.plans.adapters import Tables
+from pingtrail.session import scratch  # noqa: F401
 
 
 @dataclass(frozen=True)
@@ -49,13 +48,3 @@ def publish(df: DataFrame) -> DataFrame:
             c = F.round(c, 6) + F.lit(0.0)
         out.append(c.alias(field.name))
     return df.select(*out)
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder name on the shared checkpoint storage (a temporary one in local sessions)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="pingtrail-scratch-")
-    return f"{base.rstrip('/')}/pingtrail-{uuid.uuid4().hex}"

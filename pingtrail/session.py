@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Correctness needs UTC; the rest are sizing defaults a cluster may override.
 SESSION_CONF = {
@@ -32,23 +33,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session
     without one gets a temporary folder; a cluster must name shared storage itself.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="pingtrail-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def measured(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Materialise a narrow summary once, and mark it for broadcast only if its counted rows are few.
+def shared_base(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a one-machine session without it gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="pingtrail-")
+    return base.rstrip("/")
 
-    Estimates of aggregated tables are far too high before they run, so without this the large side
-    of their joins would be shuffled for nothing. A bigger summary is joined by shuffle as usual.
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name on the shared checkpoint storage."""
+    return f"{shared_base(spark)}/pingtrail-{uuid.uuid4().hex}"
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """A narrow summary written once to the shared folder and read back.
+
+    Estimates of aggregated tables are far too high before they run. Read back, the planner knows the size in bytes
+    and broadcasts or shuffles by the session's own threshold.
     """
-    table = checkpointed(df)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
