@@ -124,12 +124,13 @@ def poisson_glm(
 
 
 def quantile_fit(
-    df: DataFrame, x: str, y: str, tau: float = 0.5, iters: int = 60, eps: float = 1e-6,
+    df: DataFrame, x: str, y: str, tau: float = 0.5, iters: int = 500, eps: float = 1e-6,
     tol: float = 1e-5,
 ) -> DataFrame:
     """One row (tau, intercept, slope): linear quantile regression by reweighted least squares.
 
-    Each step is one global aggregate of five sums over a checkpointed two-column table.
+    Each step is one global aggregate of five sums over a checkpointed two-column table. Without two
+    different x, or if the steps do not settle, a ValueError is raised.
     """
     used = checkpointed(
         df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
@@ -148,13 +149,17 @@ def quantile_fit(
             F.sum(F.col("w") * F.col("x") * F.col("x")).alias("xx"),
             F.sum(F.col("w") * F.col("x") * F.col("y")).alias("xy"),
         ).first()
-        det = s["w"] * s["xx"] - s["x"] ** 2
+        det = s["w"] * s["xx"] - s["x"] ** 2 if s["w"] else 0.0
+        if not det > 1e-12 * s["w"] * s["xx"]:
+            raise ValueError("the slope is not identified: x is constant")
         slope = (s["w"] * s["xy"] - s["x"] * s["y"]) / det
         intercept = (s["y"] - slope * s["x"]) / s["w"]
         settled = a is not None and abs(slope - b) + abs(intercept - a) < tol
         a, b = intercept, slope
         if settled:
             break
+    else:
+        raise ValueError(f"no settled line after {iters} steps")
     return df.sparkSession.range(1).select(
         F.lit(float(tau)).alias("tau"), F.lit(a).alias("intercept"), F.lit(b).alias("slope")
     )

@@ -60,11 +60,25 @@ def _(t):
 
 @query("S7_append_new", det("true", "hitID, batchID, motusTagID"))
 def _(t):
-    # the stored copy lacks the latest half; arrivals overlap it
+    # the stored copy lacks the latest half; arrivals overlap it, and arrive twice
     rows = t.detections.select("hitID", "batchID", "motusTagID", "ts")
-    stored = rows.where("ts < '2024-01-16'").drop("ts")
-    arriving = rows.where("ts >= '2024-01-12'").drop("ts")
-    return sinks.append_new(stored, arriving, ("hitID",), batch="batchID")
+    folder = scratch(t.spark)
+    sinks.write_snapshot(rows.where("ts < '2024-01-16'").drop("ts"), folder)
+    arriving = rows.where("ts >= '2024-01-12' OR ts IS NULL").drop("ts")
+    for _ in range(2):
+        sinks.append_new(arriving, folder, ("hitID", "batchID"), batch="batchID")
+    return t.spark.read.parquet(folder)
+
+
+@query(
+    "S8_columns_of_detections",
+    q(DET, body="""SELECT column_name AS "column", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+        WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp' END AS type
+        FROM (DESCRIBE SELECT hitID, motusTagID, ts, sig, recvDeployName, runLen FROM detections)"""),
+)
+def _(t):
+    t.detections.select("hitID", "motusTagID", "ts", "sig", "recvDeployName", "runLen").createOrReplaceTempView("detections_listed")
+    return src.columns_of(t.spark, "detections_listed")
 
 
 @query("S9_head", q(DET, body=f"SELECT {BASIC} FROM detections ORDER BY detections.ts, hitID LIMIT 6"))

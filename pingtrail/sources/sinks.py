@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -30,24 +30,31 @@ def new_rows(
     existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = ("hitID",),
     batch: str | None = None,
 ) -> DataFrame:
-    """Rows of ``incoming`` whose key is not stored yet, one per key.
+    """Rows of ``incoming`` whose key is not stored yet, one per key: the smallest by all columns.
 
-    With ``batch`` (a column the storage is clustered by, such as ``batchID``) only stored rows of
-    the arriving batches are compared.
+    ``batch`` names a key column the storage is clustered by, such as ``batchID``: only stored rows of the
+    arriving batches are then compared. A batch outside the key could not tell a stored row under another batch.
     """
     known = existing
     if batch is not None:
+        if batch not in key:
+            raise ValueError("the batch must be part of the key")
         known = known.join(incoming.select(batch).distinct(), batch, "left_semi")
     fresh = incoming.join(known.select(*key), list(key), "left_anti")
-    return fresh.dropDuplicates(list(key))
+    copies = Window.partitionBy(*key).orderBy(*incoming.columns)
+    return fresh.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").drop("_copy")
 
 
 def append_new(
-    existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = ("hitID",),
-    batch: str | None = None,
-) -> DataFrame:
-    """Existing rows plus the arriving rows not among them."""
-    return existing.unionByName(new_rows(existing, incoming, key, batch))
+    incoming: DataFrame, path: str, key: tuple[str, ...] = ("hitID",), batch: str | None = None,
+) -> None:
+    """Add the rows of ``incoming`` that the Parquet table at ``path`` lacks; what is stored is not rewritten.
+
+    Only the key columns of the stored table are read. Appending the same rows again adds nothing.
+    """
+    columns = dict.fromkeys((*key, *([batch] if batch else [])))
+    stored = incoming.sparkSession.read.schema(incoming.schema).parquet(path).select(*columns)
+    new_rows(stored, incoming, key, batch).write.mode("append").parquet(path)
 
 
 def ordered_track(df: DataFrame, project: int) -> DataFrame:

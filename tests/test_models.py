@@ -112,3 +112,45 @@ def test_count_profile(spark):
     assert row["n"] == 5 and row["mean"] == pytest.approx(mean)
     assert row["nb_size"] == pytest.approx(mean**2 / (var - mean))
     assert row["gamma_rate"] == pytest.approx(mean / var)
+
+
+def test_degenerate_data_gives_null_or_a_clear_error(spark):
+    flat = spark.createDataFrame([(2.0, 2.0), (2.0, 2.0), (2.0, 2.0)], "x DOUBLE, y DOUBLE")
+    row = models.count_profile(flat, "x").first()
+    assert row["mean"] == 3.0 and row["gamma_shape"] is None and row["gamma_rate"] is None
+    assert models.ols(flat, "x", "y").first()["slope_se"] is None
+    two = models.ols(spark.createDataFrame([(1.0, 2.0), (2.0, 4.0)], "x DOUBLE, y DOUBLE"), "x", "y").first()
+    assert two["slope"] == pytest.approx(2.0) and two["sigma"] is None
+    with pytest.raises(ValueError):
+        models.quantile_fit(flat, "x", "y")
+    zero = spark.createDataFrame([(0.0,), (0.0,)], "x DOUBLE")
+    from pingtrail.operators.aggregates import dispersion
+    assert dispersion(zero, "x").first()["ratio"] is None
+
+
+def test_poisson_level_of_zeros(spark, counts):
+    _, df = counts
+    zeros = spark.createDataFrame([("0", float(i), 0) for i in range(9)], "g STRING, x DOUBLE, y INT")
+    plain = {r["term"]: r for r in models.poisson_glm(df, "x", "y", "g").collect()}
+    got = {r["term"]: r for r in models.poisson_glm(df.unionByName(zeros), "x", "y", "g", quasi=True).collect()}
+    assert got["0"]["estimate"] == float("-inf") and got["0"]["std_error"] is None
+    for term, row in plain.items():
+        assert got[term]["estimate"] == pytest.approx(row["estimate"])
+
+
+def test_quantile_fit_raises_when_unsettled(spark):
+    df = spark.createDataFrame([(float(i), float(i * i % 17)) for i in range(60)], "x DOUBLE, y DOUBLE")
+    with pytest.raises(ValueError):
+        models.quantile_fit(df, "x", "y", iters=2)
+
+
+@pytest.mark.parametrize("accuracy", [100, 100_000])
+def test_quantiles_take_one_way_for_any_size(spark, accuracy):
+    rng = np.random.default_rng(4)
+    groups = {n: rng.integers(0, n, n).astype(float) for n in (1, 2, 3, 4, 5, 6, 7, 11, 100, 3000)}
+    df = spark.createDataFrame([(n, float(v)) for n, vs in groups.items() for v in vs], "g INT, v DOUBLE").repartition(7)
+    taus = [0.0, 0.05, 0.25, 0.37, 0.5, 0.75, 0.9, 1.0]
+    got = {(r["g"], r["tau"]): r["quantile"] for r in models.group_quantiles(df, ["g"], "v", taus, accuracy).collect()}
+    for n, vs in groups.items():
+        for t in taus:
+            assert got[n, t] == pytest.approx(np.quantile(vs, t))

@@ -71,12 +71,25 @@ def test_named_table(spark, tmp_path):
     assert spark.table("nodes").first()["NodeId"] == "3287DE"
 
 
-@pytest.mark.parametrize("batch", [None, "batchID"])
-def test_append_new(spark, batch):
-    stored = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "hitID BIGINT, batchID BIGINT")
-    arriving = spark.createDataFrame([(3, 2), (4, 2), (4, 2), (5, 3)], "hitID BIGINT, batchID BIGINT")
-    got = sinks.append_new(stored, arriving, batch=batch)
-    assert sorted(r["hitID"] for r in got.collect()) == [1, 2, 3, 4, 5]
+@pytest.mark.parametrize("key, batch", [(("hitID",), None), (("hitID", "batchID"), "batchID")])
+def test_append_new(spark, tmp_path, key, batch):
+    schema, folder = "hitID BIGINT, batchID BIGINT, v STRING", str(tmp_path / "stored")
+    sinks.write_snapshot(spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, 2, "a")], schema), folder)
+    before = {p.name for p in (tmp_path / "stored").glob("*.parquet")}
+    arriving = spark.createDataFrame([(3, 2, "b"), (4, 2, "z"), (4, 2, "y"), (5, 3, "x")], schema)
+    for _ in range(2):
+        sinks.append_new(arriving, folder, key, batch)
+        got = sorted(tuple(r) for r in spark.read.parquet(folder).collect())
+        assert got == [(1, 1, "a"), (2, 1, "a"), (3, 2, "a"), (4, 2, "y"), (5, 3, "x")]
+    assert before <= {p.name for p in (tmp_path / "stored").glob("*.parquet")}
+
+
+def test_a_stored_hit_is_not_admitted_under_another_batch(spark):
+    stored = spark.createDataFrame([(1, 10)], "hitID BIGINT, batchID BIGINT")
+    again = spark.createDataFrame([(1, 11)], "hitID BIGINT, batchID BIGINT")
+    assert sinks.new_rows(stored, again).count() == 0
+    with pytest.raises(ValueError):
+        sinks.new_rows(stored, again, batch="batchID")
 
 
 def _arrivals(spark, folder, rows, schema, parts=3):
