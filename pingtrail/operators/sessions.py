@@ -21,9 +21,11 @@ def session_marks(
 
     The event of a ping depends on its time only, so copies and same-instant pings collapse before
     any window. Windows run per (key, slice); each slice hands on its first and last time and its
-    number of starts, one row, from which the numbering offset of the slice follows.
+    number of starts, one row, from which the numbering offset of the slice follows. Pings without a key
+    are a group of their own; a ping without a time has no mark.
     """
-    marks = with_slice(df.select(key, F.col(ts).alias("_t")).distinct(), "_t", slice_s)
+    timed = df.where(F.col(ts).isNotNull()).select(key, F.col(ts).alias("_t")).distinct()
+    marks = with_slice(timed, "_t", slice_s)
     near = Window.partitionBy(key, "_slice").orderBy("_t")
     upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wide = us_of(gap)
@@ -40,8 +42,11 @@ def session_marks(
     done = F.sum(F.col("_opens") + F.col("_starts")).over(
         by_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    base = edges.select(key, "_slice", (done - F.col("_starts")).alias("_base"))
-    return local.join(base, [key, "_slice"]).select(
+    base = edges.select(
+        F.col(key).alias("_k"), F.col("_slice").alias("_s"), (done - F.col("_starts")).alias("_base")
+    )
+    on = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s"))
+    return local.join(base, on).select(
         key, F.col("_t"), (F.col("_base") + F.col("_n")).alias("event_id")
     )
 
@@ -53,10 +58,13 @@ def sessionize(
     gap: float = 2.5,
     slice_s: float = HOUR,
 ) -> DataFrame:
-    """Append ``event_id``, numbered from 1 per key in time order; identity is (key, event_id)."""
+    """Append ``event_id``, numbered from 1 per key in time order; identity is (key, event_id).
+
+    Pings without a key are numbered as one group; a ping without a time stays with a null number.
+    """
     marks = session_marks(df, key, ts, gap, slice_s).withColumnRenamed(key, "_k")
-    on = (df[key] == F.col("_k")) & (df[ts] == F.col("_t"))
-    return df.join(marks, on).drop("_k", "_t")
+    on = df[key].eqNullSafe(F.col("_k")) & (df[ts] == F.col("_t"))
+    return df.join(marks, on, "left").drop("_k", "_t")
 
 
 def event_counts(events: DataFrame, key: str = "motusTagID") -> DataFrame:
@@ -83,8 +91,11 @@ def event_counts(events: DataFrame, key: str = "motusTagID") -> DataFrame:
 
 def with_event_counts(events: DataFrame, key: str = "motusTagID") -> DataFrame:
     """Attach the tower and antenna counts of the event to each of its rows."""
-    counts = event_counts(events, key).select(key, "event_id", "w_towers", "w_antennas")
-    return events.join(counts, [key, "event_id"])
+    counts = event_counts(events, key).select(
+        F.col(key).alias("_k"), F.col("event_id").alias("_e"), "w_towers", "w_antennas"
+    )
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("event_id").eqNullSafe(F.col("_e"))
+    return events.join(counts, same).drop("_k", "_e")
 
 
 def transitions(
@@ -93,14 +104,13 @@ def transitions(
     """Rows whose station differs from the previous row's in (ts, station, signal desc) order.
 
     Among rows sharing key, time and station only the first can be a transition, so they are
-    reduced to it by a combining aggregate before the ordered pass.
+    reduced to it by a combining aggregate before the ordered pass. Rows without a key are one group.
     """
     others = [c for c in df.columns if c not in (key, ts, "recvDeployName")]
     row = F.struct(*others)
     strongest = F.struct(F.isnull("sig"), -F.col("sig"), F.col("hitID"))
     firsts = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key, ts, "recvDeployName")
+        df.groupBy(key, ts, "recvDeployName")
         .agg(F.min_by(row, strongest).alias("_row"))
         .select(key, ts, "recvDeployName", "_row.*")
     )

@@ -247,3 +247,15 @@ def test_events_partition_and_are_separated(spark, pings):
         ordered = [spans[(tag, e)] for e in sorted(e for t, e in spans if t == tag)]
         for (_, hi), (lo, _) in zip(ordered, ordered[1:]):
             assert lo - hi > 2_500_000
+
+
+def test_pings_without_tag_or_time_stay(spark):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(i, tag, None if off is None else start + timedelta(seconds=off), "s", "L1") for i, (tag, off) in enumerate(
+        [(7, 0), (7, 1), (7, 9), (None, 0), (None, 2), (None, 7000), (7, None), (None, None)])]
+    df = spark.createDataFrame(rows, "hitID BIGINT, motusTagID BIGINT, ts TIMESTAMP, recvDeployName STRING, port STRING")
+    got = {r["hitID"]: r["event_id"] for r in ses.sessionize(df).collect()}
+    assert got == {0: 1, 1: 1, 2: 2, 3: 1, 4: 1, 5: 2, 6: None, 7: None}
+    assert ses.with_event_counts(ses.sessionize(df)).count() == 8
