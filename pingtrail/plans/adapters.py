@@ -2,7 +2,8 @@
 
 Each mapping is one select list in SQL common to Spark and ANSI engines, over whole tables, so that
 results can be checked elsewhere on exactly the same input. Deployments and run filters number tags and runs from
-a later start than the tables they are joined with, so that some rows of either side find no partner.
+a later start than the tables they are joined with, so that some rows of either side find no partner. The number of
+beeping tags grows with the tables, so that joins within a tag grow in proportion.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ VIEWS = {
         "SELECT * FROM lineitem",
         {
             "Time": "CAST(l_shipdate AS TIMESTAMP) + (l_orderkey % 1440) * INTERVAL '1' MINUTE",
-            "TagId": "CAST(l_partkey % 50 AS STRING)",
+            "TagId": "CAST(CAST(floor(l_partkey / 40) AS BIGINT) AS STRING)",
             "NodeId": "CASE WHEN l_linenumber = 7 AND l_suppkey % 20 = 3 THEN NULL"
                       f" ELSE CASE l_suppkey % 20 {_NODE_CASE} END END",
             "TagRSSI": "-l_quantity - 40e0",
@@ -147,7 +148,7 @@ VIEWS = {
             "session_id": "CAST(o_custkey AS STRING)",
             "start": "t",
             "end": "t + INTERVAL '2' DAY",
-            "TagId": "CAST(o_custkey % 50 AS STRING)",
+            "TagId": "CAST(CAST(floor(o_custkey / 30) AS BIGINT) AS STRING)",
             "TagLat": "36.4834e0 + (o_custkey % 3) * 0.001e0",
             "TagLng": "-102.6574e0 + (o_custkey % 5) * 0.001e0",
         },
