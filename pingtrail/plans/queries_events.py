@@ -191,7 +191,7 @@ def _(t):
     return three(t).select("hitID", "motusTagID", "ts")
 
 
-_LAGS = [1, 2, 3, 10]
+_LAGS = range(1, 11)
 
 
 @query(
@@ -238,14 +238,15 @@ def _(t):
         lead(us) OVER w - us AS f1, lead(us, 2) OVER w - us AS f2 FROM pools
         WINDOW w AS (PARTITION BY motusTagID ORDER BY us)) WHERE b1 < 172800000000 AND
         f1 < 172800000000 OR b2 < 172800000000 OR f2 < 172800000000)""",
-      body="""SELECT motusTagID, us AS ts, n, CASE WHEN d > -1000000 AND d <= 172800000000
-        THEN '(-1,172800]' END AS bin1 FROM (SELECT *, us - lag(us) OVER (PARTITION BY motusTagID
-        ORDER BY us) AS d FROM kept)"""),
+      body="SELECT motusTagID, us AS ts, n, " + ", ".join(f"""CASE WHEN us - lag(us, {k}) OVER w > -1000000
+        AND us - lag(us, {k}) OVER w <= 172800000000 THEN '(-1,172800]' END AS bin{k}""" for k in _LAGS)
+      + " FROM kept WINDOW w AS (PARTITION BY motusTagID ORDER BY us)"),
 )
 def _(t):
     pools = ses.pool(t.detections, 7200, 2)
     kept = ses.run_of_three(pools, 172800, slice_s=WEEK)
-    return ses.lag_bins(kept, 10, -1, 172800, slice_s=WEEK).select("motusTagID", "ts", "n", "bin1")
+    binned = ses.lag_bins(kept, 10, -1, 172800, slice_s=WEEK)
+    return binned.select("motusTagID", "ts", "n", *[f"bin{k}" for k in _LAGS])
 
 
 @query(

@@ -138,3 +138,12 @@ def test_stream_drops_repeats(spark, tmp_path):
     stream = streams.read_stream(spark, str(tmp_path / "in"), schema)
     got = _drain(spark, tmp_path, streams.stream_new_rows(stream))
     assert sorted(r["hitID"] for r in got.collect()) == list(range(50))
+
+
+def test_ordered_track_puts_nulls_last_and_strong_signals_first(spark):
+    rows = [(1, 5, 7, "b", -50.0, "2024-01-01 00:00:01"), (2, 5, 7, "a", None, "2024-01-01 00:00:01"), (3, 5, 7, "a", -60.0, "2024-01-01 00:00:01"),
+            (4, 5, 7, "a", -40.0, "2024-01-01 00:00:01"), (5, 5, 7, None, -10.0, "2024-01-01 00:00:01"), (6, 5, None, "a", -10.0, "2024-01-01 00:00:00"),
+            (7, 5, 7, "z", -10.0, None), (8, 5, 3, "z", -10.0, "2025-01-01 00:00:00"), (9, 6, 3, "z", -10.0, "2025-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "hitID LONG, tagProjID INT, motusTagID LONG, recvDeployName STRING, sig DOUBLE, ts STRING")
+    df = df.withColumn("ts", df["ts"].cast("timestamp")).repartition(4)
+    assert [r["hitID"] for r in sinks.ordered_track(df, 5).collect()] == [8, 4, 3, 2, 1, 5, 7, 6]
