@@ -191,11 +191,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = stored(star.join(tested, ["a", "b"], "left_anti"), "minhash-star2")
     tested = tested.unionByName(star)
     links = stored(links.unionByName(_verified(star, texts, words, percent)), "minhash-links2")
-    still = _open_bands(shared, links, "minhash-open2").join(sets, "class")
+    still = _open_bands(shared, links, "minhash-open2").join(distinct, "class")
 
     cross = (still.alias("x").join(still.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.class") < F.col("y.class"))
-                                   & (F.col("x.root") != F.col("y.root")) & _fits("x", "y", percent))
-             .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct())
+                                   & (F.col("x.root") != F.col("y.root")) & _fits("x", "y", percent)
+                                   # a pair may share many bands and is taken in the first of them
+                                   & (F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))))
+             .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")))
     cross = stored(cross.join(tested, ["a", "b"], "left_anti"), "minhash-cross")
     links = links.unionByName(_verified(cross, texts, words, percent))
 
