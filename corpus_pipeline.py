@@ -22,8 +22,7 @@ def keep_identified_languages(spark: SparkSession, docs: DataFrame, folder: str)
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop the documents that score below 0.3 for quality."""
-    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("labelled_id"), "quality")
-    model = quality.learn_quality(docs.join(labels, F.col("doc_id") == F.col("labelled_id")))
+    model = quality.learn_quality(docs, table(spark, folder, "labels"))
     scored = quality.score_quality(docs, model, score="quality_score")
     return scored.where("quality_score >= 0.3").select(*docs.columns)
 

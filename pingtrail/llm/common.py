@@ -61,24 +61,25 @@ def remainder_of_id(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def bounded_sample(df: DataFrame, group: str, text: str, per_group: int, most_groups: int = 1000) -> DataFrame:
-    """At most ``per_group`` texts of each group, picked by content so that copies count once.
+def winning_hashes(pairs: DataFrame, per_group: int, most_groups: int = 1000) -> DataFrame:
+    """At most ``per_group`` text hashes of each group, picked by content so that copies count once.
 
-    Each group's texts are dealt into ``per_group`` cells by hash and the text of smallest hash in a cell
-    stays. Only hashes are aggregated; the few winning hashes (``per_group * most_groups`` at most, checked)
-    are then met with the rows again, so no group is gathered anywhere.
+    ``pairs`` has columns label and hash. The hashes of a label are dealt into ``per_group`` cells and the smallest of a
+    cell stays, so only numbers are aggregated and no label is gathered anywhere. The result is a local table of
+    ``per_group * most_groups`` rows at most; more labels raise an error.
     """
-    hashed = (df.select(F.col(group).alias("_g"), F.col(text).alias("_t"))
-              .where(F.col("_g").isNotNull() & F.col("_t").isNotNull())
-              .withColumn("_h", F.xxhash64("_t")))
-    winners = hashed.groupBy("_g", F.pmod("_h", F.lit(per_group)).alias("_c")).agg(F.min("_h").alias("_h"))
-    chosen = winners.select("_g", "_h").limit(per_group * most_groups + 1).collect()
-    if len(chosen) > per_group * most_groups:
-        raise ValueError(f"more than {most_groups} groups in column {group}")
-    spark = df.sparkSession
-    small = spark.createDataFrame(chosen, winners.select("_g", "_h").schema)
-    return (hashed.join(F.broadcast(small), ["_g", "_h"])
-            .dropDuplicates(["_g", "_h"]).select(F.col("_g").alias("label"), F.col("_h").alias("hash"), F.col("_t").alias("text")))
+    chosen = (pairs.where("label IS NOT NULL AND hash IS NOT NULL")
+              .groupBy("label", F.pmod("hash", F.lit(per_group)).alias("cell")).agg(F.min("hash").alias("hash")).select("label", "hash"))
+    rows = chosen.limit(per_group * most_groups + 1).collect()
+    if len(rows) > per_group * most_groups:
+        raise ValueError(f"more than {most_groups} labels")
+    return pairs.sparkSession.createDataFrame(rows, chosen.schema)
+
+
+def texts_of(docs: DataFrame, text: str, winners: DataFrame) -> DataFrame:
+    """label, hash and text of the winning hashes, each once; the bounded winners come to the texts, which do not move."""
+    hashed = docs.select(F.col(text).alias("text")).where("text IS NOT NULL").withColumn("hash", F.xxhash64("text"))
+    return hashed.join(F.broadcast(winners), "hash").dropDuplicates(["label", "hash"]).select("label", "hash", "text")
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from pingtrail.llm.common import bounded_sample, map_arrow
+from pingtrail.llm.common import map_arrow, texts_of, winning_hashes
 from pingtrail.llm.compression import compressor, pieces, size_under
 
 LEVEL = -1
@@ -31,7 +31,8 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", *,
     a text count once. Without any usable row the result is empty.
     """
     usable = docs.where(F.col(text).rlike(r"\p{L}"))
-    sample = bounded_sample(usable, lang, text, texts_per_language)
+    winners = winning_hashes(usable.select(F.col(lang).alias("label"), F.xxhash64(text).alias("hash")), texts_per_language)
+    sample = texts_of(usable, text, winners)
     found: dict[str, list[tuple[int, bytes]]] = defaultdict(list)
     # cut in the JVM: one long text must not reach the driver whole
     for row in sample.select("label", "hash", F.substring("text", 1, 4 * bytes_per_text).alias("text")).collect():

@@ -55,32 +55,62 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, text: str = "text",
     return map_arrow(docs.select(keep, text), make, StructType(fields))
 
 
-def _complement(free: np.ndarray, gap: int, taken: Counter) -> tuple[int, ...] | None:
-    """One, two or three free lengths that add up to ``gap`` exactly, given what the sequence has taken already.
+class Lengths:
+    """How often each length is free, and an index of the sums of two of them.
 
-    Singles come before pairs before triples; among pairs the most even, among triples the largest smallest part, which
-    leaves the short lengths for later gaps.
+    ``pairs[s]`` is the number of pairs of free lengths that add up to s; a length pairs with itself if two are free.
     """
-    left = free[:gap + 1].copy()
-    for length, copies in taken.items():
-        if length <= gap:
-            left[length] -= copies
-    if left[gap] > 0:
-        return (gap,)
-    lengths = np.flatnonzero(left[:gap] > 0)
-    low = lengths[lengths <= gap // 2]
-    good = low[(left[gap - low] > 0) & ((gap - low != low) | (left[low] > 1))]
-    if len(good):
-        return int(good[-1]), int(gap - good[-1])
-    for third in lengths[lengths <= gap // 3][::-1]:
-        rest = gap - third
-        low = lengths[(lengths >= third) & (lengths <= rest // 2)]
-        high = rest - low
-        need_low, need_high = 1 + (low == third) + (low == high), 1 + (high == third) + (low == high)
-        good = low[(left[low] >= need_low) & (left[high] >= need_high)]
-        if len(good):
-            return int(third), int(good[-1]), int(rest - good[-1])
-    return None
+
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.capacity = capacity
+        self.free = np.zeros(capacity + 1, dtype=np.int64)
+        self.pairs = np.zeros(capacity + 1, dtype=np.int64)
+        for length, n in counts.items():
+            self._others(length, 1)
+            self.free[length] = n
+            if n > 1 and 2 * length <= capacity:
+                self.pairs[2 * length] += 1
+
+    def _others(self, length: int, change: int) -> None:
+        sums = np.flatnonzero(self.free[:self.capacity - length + 1]) + length
+        self.pairs[sums] += change
+
+    def use(self, length: int, n: int) -> None:
+        before = self.free[length]
+        self.free[length] = left = before - n
+        if left < 2 <= before and 2 * length <= self.capacity:
+            self.pairs[2 * length] -= 1
+        if not left:
+            self._others(length, -1)
+
+    def complement(self, gap: int, taken: Counter) -> tuple[int, ...] | None:
+        """One, two or three free lengths that add up to ``gap`` exactly, given what the sequence has taken already.
+
+        Singles come before pairs before triples; among pairs the most even, among triples the largest smallest part, which
+        leaves the short lengths for later gaps.
+        """
+        left = self.free[:gap + 1].copy()
+        for length, copies in taken.items():
+            if length <= gap:
+                left[length] -= copies
+        if left[gap] > 0:
+            return (gap,)
+        lengths = np.flatnonzero(left[:gap] > 0)
+        if self.pairs[gap]:
+            low = lengths[lengths <= gap // 2]
+            good = low[(left[gap - low] > 0) & ((gap - low != low) | (left[low] > 1))]
+            if len(good):
+                return int(good[-1]), int(gap - good[-1])
+        thirds = lengths[lengths <= gap // 3]
+        for third in thirds[self.pairs[gap - thirds] > 0][::-1]:
+            rest = gap - third
+            low = lengths[(lengths >= third) & (lengths <= rest // 2)]
+            high = rest - low
+            need_low, need_high = 1 + (low == third) + (low == high), 1 + (high == third) + (low == high)
+            good = low[(left[low] >= need_low) & (left[high] >= need_high)]
+            if len(good):
+                return int(third), int(good[-1]), int(rest - good[-1])
+        return None
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -90,9 +120,8 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[Pattern]:
     sequence; a single, pair or triple that fills the gap exactly closes it; else the longest length that fits
     goes in and the search is repeated for the smaller gap. A pattern is used at once as often as its lengths are free.
     """
-    free = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        free[length] = n
+    lengths = Lengths(counts, capacity)
+    free = lengths.free
     patterns: list[Pattern] = []
     longest = capacity
     while longest > 0:
@@ -102,7 +131,7 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[Pattern]:
         taken = Counter([longest])
         gap = capacity - longest
         while gap > 0:
-            exact = _complement(free, gap, taken)
+            exact = lengths.complement(gap, taken)
             if exact:
                 taken.update(exact)
                 break
@@ -114,7 +143,7 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[Pattern]:
             gap -= int(fitting[0])
         n = int(min(free[length] // copies for length, copies in taken.items()))
         for length, copies in taken.items():
-            free[length] -= n * copies
+            lengths.use(length, n * copies)
         patterns.append((tuple(sorted(taken.items(), reverse=True)), n))
     return patterns
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pingtrail.llm.common import bounded_sample, map_arrow
+from pingtrail.llm.common import map_arrow, stored, texts_of, winning_hashes
 from pingtrail.llm.compression import compressor, pieces, size_under
 
 LEVEL = 6
@@ -41,20 +41,24 @@ def _difference(text: str | None, good, bad) -> float:
     return (size_under(bad, parts) - size_under(good, parts)) / len(data) if data else 0.0
 
 
-def learn_quality(docs: DataFrame, text: str = "text", quality: str = "quality", *, texts_per_label: int = 1000,
-                  bytes_per_text: int = 256, texts_for_curve: int = 1000) -> QualityModel | None:
+def learn_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", *,
+                  texts_per_label: int = 1000, bytes_per_text: int = 256, texts_for_curve: int = 1000) -> QualityModel | None:
     """Dictionaries and curve from a bounded sample of labelled rows; None unless both labels occur.
 
     Up to ``texts_per_label`` texts of each label give ``bytes_per_text`` bytes to its dictionary (256 KiB at
     most) and up to ``texts_for_curve`` further texts of each fit the curve; each text is whole there. The
-    two labels of the curve are weighted back to their shares among all labelled rows. Rows with null text or a label
+    two labels of the curve are weighted back to their shares among all labelled rows. Labels meet hashes of the
+    texts; only sampled texts are fetched. Rows with null or empty text, a null id or a label
     other than 0 and 1 teach nothing; copies count once, a text under both labels counts for both.
     """
-    labelled = docs.where(F.col(quality).isin(0, 1) & (F.length(text) > 0))
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(quality)).count().collect()}
+    known = labels.select(F.col(doc_id).alias("labelled_id"), F.col(quality).cast("int").alias("label")).where("label IN (0, 1)")
+    hashed = (docs.where(F.length(text) > 0).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
+              .join(known, F.col("id") == F.col("labelled_id")).select("label", "hash"))
+    hashed = stored(hashed, "quality-labelled")
+    counts = {r[0]: r[1] for r in hashed.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
-    sample = bounded_sample(labelled, quality, text, texts_per_label + texts_for_curve)
+    sample = texts_of(docs, text, winning_hashes(hashed, texts_per_label + texts_for_curve))
     # half of the cells are for the dictionaries, the others for the curve
     first = F.pmod("hash", F.lit(texts_per_label + texts_for_curve)) < texts_per_label
     heads = sample.where(first).select("label", "hash", F.substring("text", 1, bytes_per_text).alias("text")).collect()
@@ -66,7 +70,7 @@ def learn_quality(docs: DataFrame, text: str = "text", quality: str = "quality",
         coders = compressor(good, LEVEL), compressor(bad, LEVEL)
         return lambda b: {"label": b.column(0), "x": [_difference(t, *coders) for t in b.column(1).to_pylist()]}
 
-    measured = map_arrow(sample.where(~first).select(F.col("label").cast("int").alias("label"), "text"), make, "label int, x double").collect()
+    measured = map_arrow(sample.where(~first).select("label", "text"), make, "label int, x double").collect()
     xs, ys = np.array([r.x for r in measured]), np.array([r.label for r in measured], dtype=float)
     total = sum(counts.values())
     weight = np.where(ys == 1, counts[1] / total / max(1, (ys == 1).sum()), counts[0] / total / max(1, (ys == 0).sum()))

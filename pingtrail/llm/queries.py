@@ -46,9 +46,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("labelled_id"), "quality")
-    learning = docs.where(remainder_of_id("doc_id", 5) != 0)
-    model = quality.learn_quality(learning.join(labels, F.col("doc_id") == F.col("labelled_id")))
+    model = quality.learn_quality(docs.where(remainder_of_id("doc_id", 5) != 0), table(spark, folder, "labels"))
     scored = quality.score_quality(docs, model)
     held_out = F.coalesce(remainder_of_id("doc_id", 5) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

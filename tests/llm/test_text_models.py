@@ -64,8 +64,10 @@ def test_quality_odd_rows(frame):
     assert (1, empty) in found and (2, empty) in found and len(found) == 5
     assert quality.score_quality(docs, None).where("score = 0.5").count() == 5
     assert quality.score_quality(docs.limit(0), model).count() == 0
-    labelled = frame([("a", 1), ("b", None), (None, 0), ("c", 5)], "text string, quality int")
-    assert quality.learn_quality(labelled) is None
+    labels = frame([(1, 1), (2, None), (3, 0), (4, 5), (None, 0)], "doc_id long, quality int")
+    texts = frame([(1, "a"), (2, "b"), (3, None), (4, "c"), (None, "d")], "doc_id long, text string")
+    assert quality.learn_quality(texts, labels) is None
+    assert quality.learn_quality(texts.unionAll(frame([(3, "e")], "doc_id long, text string")), labels) is not None
 
 
 def test_logistic_curve_recovers_probabilities():
