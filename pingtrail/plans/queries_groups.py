@@ -301,15 +301,25 @@ def _(t):
 _TAUS = [i / 10 for i in range(11)]
 
 
-@query("M4_group_quantiles", q(DET, *_ACT, body=" UNION ALL ".join(
+_QUANTILES = q(DET, *_ACT, body=" UNION ALL ".join(
     f"""SELECT CAST(n AS INT) AS runLen, {tau}e0 AS tau,
         {r6(f'quantile_cont(ts_since_rise, {tau})', 'quantile', 5)} FROM rel
-        WHERE ts_since_rise IS NOT NULL GROUP BY n""" for tau in _TAUS)))
+        WHERE ts_since_rise IS NOT NULL GROUP BY n""" for tau in _TAUS))
+
+
+@query("M4_group_quantiles", _QUANTILES)
 def _(t):
     fit = group_quantiles(_activity(t), ["runLen"], "ts_since_rise", _TAUS)
     return fit.withColumn("quantile", F.round("quantile", 5))
 
 
+@query("M4_group_quantiles_coarse_sketch", _QUANTILES)
+def _(t):
+    """The same quantiles by brackets of a sketch that is much coarser than the groups are large."""
+    fit = group_quantiles(_activity(t), ["runLen"], "ts_since_rise", _TAUS, accuracy=50)
+    return fit.withColumn("quantile", F.round("quantile", 5))
+
+
 @query("M4_quantile_regression")
 def _(t):
     return models.quantile_fit(_activity(t), "runLen", "ts_since_rise", 0.5)
