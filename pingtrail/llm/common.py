@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 # Batches handed to Python workers: rows and bytes, whichever is reached first.
 BATCH_ROWS = 1000
@@ -82,6 +84,80 @@ def texts_of(docs: DataFrame, text: str, winners: DataFrame) -> DataFrame:
     return hashed.join(F.broadcast(winners), "hash").dropDuplicates(["label", "hash"]).select("label", "hash", "text")
 
 
+def cut_by_content(data: bytes, most: int = 256, block: int = 1 << 16) -> Iterator[bytes]:
+    """``data`` in pieces of some 50 bytes, ``most`` at most, that end where the last eight bytes have a certain hash.
+
+    Ends are after white space, or anywhere in scripts without it (eight bytes beyond ASCII). Equal passages fall into equal
+    pieces wherever they stand, but for the pieces at their borders.
+    """
+    start = 0
+    for at in range(0, len(data), block):
+        begin = max(0, at - 7)
+        codes = np.frombuffer(data[begin:at + block], dtype=np.uint8)
+        n = max(0, len(codes) - 7)
+        eight, wide = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
+        for i in range(8):
+            eight = eight << np.uint64(8) | codes[i:i + n]
+            wide &= codes[i:i + n] >= 0x80
+        mixed = eight * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)
+        blank = codes[7:] <= 0x20
+        ends = np.flatnonzero(blank & (mixed < 8) | wide & (mixed == 0)) + begin + 8
+        for end in [*ends.tolist(), *([len(data)] if at + block >= len(data) else [])]:
+            for cut in range(start, end, most):
+                yield data[cut:min(cut + most, end)]
+            start = end
+
+
+def water_level(sizes: list[int], total: int) -> int:
+    """The largest share that each of ``sizes`` may take so that all shares together stay within ``total``."""
+    left = total
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return left // (len(sizes) - i)
+        left -= n
+    return max(sizes, default=0)
+
+
+def sampled_pieces(sample: DataFrame, encoded: Callable[[str], bytes], total_bytes: int, name: str) -> dict:
+    """For each label the parts that its sampled texts give to a dictionary of at most ``total_bytes``, in order of text hash.
+
+    ``sample`` has label, hash and text. Whole texts are cut by content, and a piece that occurs in several places of a label
+    counts once, in the text of least hash. If a label's pieces are too many, each text gives the pieces of least hash, up to
+    a share that is the same for all its texts and leaves no room that longer texts could use.
+    """
+    schema = StructType([sample.schema["label"], sample.schema["hash"], StructField("at", LongType()), StructField("piece", BinaryType())])
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            row, at, piece = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for k, part in enumerate(cut_by_content(encoded(text))):
+                    row.append(i)
+                    at.append(k)
+                    piece.append(part)
+            index = pa.array(row, pa.int64())
+            return {"label": batch.column(0).take(index), "hash": batch.column(1).take(index), "at": at, "piece": piece}
+
+        return work
+
+    cut = map_arrow(sample.select("label", "hash", "text"), make, schema)
+    once = cut.groupBy("label", "piece").agg(F.min(F.struct("hash", "at")).alias("first")).select("label", "first.*", "piece")
+    once = stored(once, name)
+    sizes = defaultdict(list)
+    for r in once.groupBy("label", "hash").agg(F.sum(F.length("piece")).alias("n")).collect():
+        sizes[r.label].append(r.n)
+    rooms = once.sparkSession.createDataFrame([(k, water_level(v, total_bytes)) for k, v in sizes.items()],
+                                              StructType([once.schema["label"], StructField("room", LongType())]))
+    picked = Window.partitionBy("label", "hash").orderBy(F.xxhash64("piece"), "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = once.withColumn("before", F.sum(F.length("piece")).over(picked) - F.length("piece")).join(F.broadcast(rooms), "label")
+    # cut in the JVM: one long text must not reach the driver whole
+    taken = placed.where("before < room").select("label", "hash", "at", F.expr("substring(piece, 1, int(room - before))").alias("piece"))
+    found: dict = defaultdict(lambda: defaultdict(bytes))
+    for r in sorted(taken.collect(), key=lambda r: (r.label, r.hash, r["at"])):
+        found[r.label][r.hash] += bytes(r.piece)
+    return {label: list(parts.values()) for label, parts in found.items()}
+
+
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge: columns node, root.
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from pingtrail.llm.common import map_arrow, texts_of, winning_hashes
+from pingtrail.llm.common import map_arrow, sampled_pieces, texts_of, winning_hashes
 from pingtrail.llm.compression import compressor, pieces, size_under
 
 LEVEL = -1
@@ -26,18 +25,16 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", *,
                     bytes_per_text: int = 512) -> dict[str, bytes]:
     """One raw-content dictionary a language, from a bounded sample of labelled rows.
 
-    At most ``texts_per_language`` texts of each language are used and ``bytes_per_text`` bytes of each, so
-    a dictionary holds 64 KiB at most. Rows with a null language, a null text or no letter teach nothing; copies of
-    a text count once. Without any usable row the result is empty.
+    At most ``texts_per_language`` texts of each language are used and ``bytes_per_text`` bytes of each on average, so
+    a dictionary holds 64 KiB at most. They are pieces from anywhere in the whole text, picked by content, and equal
+    pieces count once; texts that fit into the dictionary together are learnt whole. Rows with a null language, a
+    null text or no letter teach nothing; copies of a text count once. Without any usable row the result is empty.
     """
     usable = docs.where(F.col(text).rlike(r"\p{L}"))
     winners = winning_hashes(usable.select(F.col(lang).alias("label"), F.xxhash64(text).alias("hash")), texts_per_language)
     sample = texts_of(usable, text, winners)
-    found: dict[str, list[tuple[int, bytes]]] = defaultdict(list)
-    # cut in the JVM: one long text must not reach the driver whole
-    for row in sample.select("label", "hash", F.substring("text", 1, 4 * bytes_per_text).alias("text")).collect():
-        found[row.label].append((row.hash, folded(row.text)[:bytes_per_text]))
-    return {label: b"".join(part for _, part in sorted(parts)) for label, parts in sorted(found.items())}
+    found = sampled_pieces(sample, folded, texts_per_language * bytes_per_text, "language-pieces")
+    return {label: b"".join(parts) for label, parts in sorted(found.items())}
 
 
 def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", *,

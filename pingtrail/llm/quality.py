@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pingtrail.llm.common import map_arrow, stored, texts_of, winning_hashes
+from pingtrail.llm.common import map_arrow, sampled_pieces, stored, texts_of, winning_hashes
 from pingtrail.llm.compression import compressor, pieces, size_under
 
 LEVEL = 6
@@ -45,8 +45,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
                   texts_per_label: int = 1000, bytes_per_text: int = 256, texts_for_curve: int = 1000) -> QualityModel | None:
     """Dictionaries and curve from a bounded sample of labelled rows; None unless both labels occur.
 
-    Up to ``texts_per_label`` texts of each label give ``bytes_per_text`` bytes to its dictionary (256 KiB at
-    most) and up to ``texts_for_curve`` further texts of each fit the curve; each text is whole there. The
+    Up to ``texts_per_label`` texts of each label give ``bytes_per_text`` bytes each on average to its dictionary (256 KiB at
+    most): pieces from anywhere in the whole text, picked by content, equal pieces once; texts that fit together are learnt
+    whole. Up to ``texts_for_curve`` further texts of each fit the curve; each text is whole there. The
     two labels of the curve are weighted back to their shares among all labelled rows. Labels meet hashes of the
     texts; only sampled texts are fetched. Rows with null or empty text, a null id or a label
     other than 0 and 1 teach nothing; copies count once, a text under both labels counts for both.
@@ -61,9 +62,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     sample = texts_of(docs, text, winning_hashes(hashed, texts_per_label + texts_for_curve))
     # half of the cells are for the dictionaries, the others for the curve
     first = F.pmod("hash", F.lit(texts_per_label + texts_for_curve)) < texts_per_label
-    heads = sample.where(first).select("label", "hash", F.substring("text", 1, bytes_per_text).alias("text")).collect()
-    content = {k: b"\n".join(t.encode()[:bytes_per_text] for _, t in sorted((r.hash, r.text) for r in heads if r.label == k))
-               for k in (0, 1)}
+    found = sampled_pieces(sample.where(first), str.encode, texts_per_label * bytes_per_text, "quality-pieces")
+    content = {k: b"\n".join(found.get(k, [])) for k in (0, 1)}
     good, bad = content[1] or b"\n", content[0] or b"\n"
 
     def make():

@@ -79,3 +79,39 @@ def test_logistic_curve_recovers_probabilities():
     slope, offset = quality.logistic_curve(xs, ys, np.ones(20_000))
     assert slope == pytest.approx(1.5, abs=0.1) and offset == pytest.approx(-4, abs=0.3)
     assert quality.logistic_curve(np.ones(4), np.array([0, 1, 0, 1.0]), np.ones(4))[0] == pytest.approx(0)
+
+
+def test_pieces_do_not_depend_on_their_place():
+    import random
+
+    from pingtrail.llm.common import cut_by_content, water_level
+
+    rng = random.Random(3)
+    data = bytes(rng.choice(b"abcdefgh ") for _ in range(20_000))
+    whole = list(cut_by_content(data))
+    assert b"".join(whole) == data and list(cut_by_content(data, block=512)) == whole and max(map(len, whole)) <= 256
+    assert set(whole[1:]) <= set(cut_by_content(b"another head" + data)) and list(cut_by_content(b"")) == []
+    assert b"".join(cut_by_content(b"x" * 1000)) == b"x" * 1000 and list(cut_by_content(b"ab")) == [b"ab"]
+    assert water_level([10, 2, 10], 12) == 5 and water_level([3, 4], 100) == 4 and water_level([], 5) == 0
+
+
+BANNER = " ".join(f"licence{chr(97 + i % 26)}{chr(97 + i // 26)} banner" for i in range(60))
+
+
+def test_language_learns_beyond_common_heads(frame):
+    rows = [(f"{BANNER} " + " ".join(f"wort{chr(97 + i % 26)}{chr(97 + j)}ung" for j in range(26)), "de") for i in range(26)]
+    learned = language_id.learn_languages(frame(rows, "text string, lang string"))["de"]
+    # texts that share a cell of the sample are not picked; the room is enough to learn each picked one whole
+    known = [sum(f"wort{chr(97 + i)}{chr(97 + j)}ung".encode() in learned for j in range(26)) for i in range(26)]
+    assert set(known) <= {0, 26} and known.count(26) >= 18
+    assert learned.count(b"licencefb banner") <= 2
+    small = language_id.learn_languages(frame(rows, "text string, lang string"), texts_per_language=26, bytes_per_text=128)["de"]
+    assert len(small) <= 26 * 128 and small.count(b"ung") > 100
+
+
+def test_quality_learns_beyond_common_heads(frame):
+    rows = [(i, f"{BANNER} " + " ".join(f"tail{i}x{j}" for j in range(30))) for i in range(40)]
+    labels = frame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.learn_quality(frame(rows, "doc_id long, text string"), labels)
+    both = model.good + model.bad
+    assert both.count(b"tail") > 300 and both.count(b"licencefb banner") <= 4  # once or twice for each label
