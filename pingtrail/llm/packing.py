@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from pingtrail.llm.common import map_arrow, stored
-from pingtrail.llm.tokens import WordTokenizer, shared
+from pingtrail.llm.tokens import WordTokenizerWithSpecials, shared
 
 # Rows of one length are numbered in cells of about this many rows each.
 ROWS_PER_CELL = 50_000
@@ -22,6 +22,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, text: str = "text",
                  keep: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Pieces of the token ids of each whole text followed by ``end_id``: keep, piece, start, length, ids_crc32 (and ids).
 
+    Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``, which finds special tokens written in the text.
     Only texts of more than ``capacity`` ids are cut, every ``capacity`` ids. A null or empty text is the piece of its end id
     alone. Repeated rows and null ids give pieces like any other; columns other than ``keep`` and the text are not read.
     """
@@ -32,7 +33,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, text: str = "text",
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def make():
-        tokenizer = shared(WordTokenizer, path)
+        tokenizer = shared(WordTokenizerWithSpecials, path)
 
         def work(batch: pa.RecordBatch) -> dict:
             row, piece, crc, length, ids = [], [], [], [], []

@@ -12,12 +12,13 @@ SIMPLE_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIMPLE_PARTS = re.compile(rf"[{SIMPLE_LETTERS}]+|[!-&(-/:-@\[-`{{-~]+").findall
 
 
-def _load(path: str):
+def _load(path: str, plain_specials: bool = True):
+    """The tokenizer; ``plain_specials`` has the strings of its special tokens read as ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = plain_specials
     return tokenizer
 
 
@@ -48,11 +49,19 @@ class WordTokenizer:
     """Ids of a word-wise BPE (lower case, white space dropped), blank-separated piece by piece.
 
     No match of its pattern holds white space and neither its normal form nor its lower case reaches over a blank, so the
-    ids of a text are those of its pieces. Pieces of plain letters and marks skip the normaliser.
+    ids of a text are those of its pieces. Pieces of plain letters and marks skip the normaliser, unless they hold the
+    string of an added token that counts (see ``plain_specials``). Added tokens with white space are not supported.
     """
 
+    plain_specials = True
+
     def __init__(self, path: str, entries: int = 1_500_000) -> None:
-        self.tokenizer = _load(path)
+        self.tokenizer = _load(path, self.plain_specials)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and self.plain_specials)]
+        if any(re.search(r"\s", content) for content in added):
+            raise ValueError("an added token holds white space")
+        # a token that is matched after normalising is in lower case there
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)", re.IGNORECASE).search
         self.model = self.tokenizer.model
         self.pieces, self.parts = Remembered(entries), Remembered(entries)
         self.letters = {ord(chr(b)): c for b, c in byte_letters().items()}
@@ -70,7 +79,7 @@ class WordTokenizer:
         known = self.pieces.old.get(piece)
         if known is None:
             parts = SIMPLE_PARTS(piece)
-            if sum(map(len, parts)) == len(piece):
+            if sum(map(len, parts)) == len(piece) and not self.added(piece):
                 known = b"".join(map(self._part, parts))
             else:
                 known = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -89,6 +98,12 @@ class WordTokenizer:
         return b"".join(found)
 
 
+class WordTokenizerWithSpecials(WordTokenizer):
+    """The ids of ``Tokenizer.encode(text, add_special_tokens=False)``: special tokens in the text are found."""
+
+    plain_specials = False
+
+
 class OffsetTokenizer:
     """Character spans of the tokens of a byte-level BPE, cut before each blank that follows something else than white space.
 

@@ -195,3 +195,13 @@ def test_pack_numbers_rows_of_one_length_over_cells(frame, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_CELL", 7)
     pieces = frame([(i, 0, 0, 4, i) for i in range(101)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     assert check_packing(packing.pack(pieces, 13).collect(), 13) == math.ceil(101 / 3)
+
+
+def test_packing_finds_special_tokens_in_texts(frame):
+    own, rng = Tokenizer.from_file(WORDS), random.Random(5)
+    texts = ["see <|endoftext|> here x<|startoftext|>y", "<|endoftext|><|endoftext|>", "<|EndOfText|> A<|endoftext|>!!", "<|endoftext|", *odd_texts(300)]
+    texts += ["".join(rng.choices([*ODD, "<|startoftext|>", "<|", "|>"], k=12)) for _ in range(300)]
+    docs = frame(list(enumerate(texts)), "doc_id long, text string")
+    found = packing.token_pieces(docs, WORDS, 4096, with_ids=True).collect()
+    want = {i: [*own.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert {r.doc_id: list(r.ids) for r in found} == want and {49406, 49407} <= set(want[0])
