@@ -284,12 +284,16 @@ def burst_starts(
     That is the orbit of a key's first ping under "first ping after t + span". Pings more than
     ``span`` after their predecessor always start a burst and seed the orbits; the chains between
     seeds are followed by pointer doubling, so a chain of n bursts takes log2(n) rounds of joins on
-    the unique (key, t), whatever the skew. Each round is checkpointed.
+    the unique (key, t), whatever the skew. Each round is checkpointed. Pings without a key form a
+    group like any other; pings without a time are in no burst.
     """
+    return _keyed_burst_starts(df, span, key, slice_s).select(f"{key}.{key}", "t")
+
+
+def _keyed_burst_starts(df: DataFrame, span: float, key: str, slice_s: float) -> DataFrame:
+    """``burst_starts`` with the key in a struct, which is never null, so that joins keep the group without a key."""
     span_us = us_of(span)
-    marks = df.select(key, micros("ts").alias("t")).where(
-        F.col(key).isNotNull() & F.col("t").isNotNull()
-    ).distinct()
+    marks = df.select(F.struct(key).alias(key), micros("ts").alias("t")).where("t IS NOT NULL").distinct()
     links = _next_after_span(marks, key, span_us, slice_s)
     timed = marks.withColumn("_ts", from_micros("t"))
     gaps = with_halo(
@@ -319,11 +323,14 @@ def burst_starts(
 def anchored_bursts(
     df: DataFrame, span: float = 300, key: str = "motusTagID", slice_s: float = HOUR
 ) -> DataFrame:
-    """(key, burst start and end, towers in the burst, station, its strongest signal)."""
-    starts = burst_starts(df, span, key, slice_s).withColumnRenamed("t", "_start")
-    pings = df.select(key, micros("ts").alias("t"), "recvDeployName", "sig").where(
-        F.col(key).isNotNull() & F.col("t").isNotNull()
-    )
+    """(key, burst start and end, towers in the burst, station, its strongest signal).
+
+    Pings without a key form a group like any other; pings without a time are in no burst.
+    """
+    starts = _keyed_burst_starts(df, span, key, slice_s).withColumnRenamed("t", "_start")
+    pings = df.select(
+        F.struct(key).alias(key), micros("ts").alias("t"), "recvDeployName", "sig"
+    ).where("t IS NOT NULL")
     span_us = us_of(span)
     # starts of a key are more than one span apart, so a ping's burst began in its own or the
     # previous span-wide cell, and it is the only start that covers the ping
@@ -337,7 +344,7 @@ def anchored_bursts(
     )
     whole = Window.partitionBy(key, "_start")
     return stations.select(
-        key,
+        f"{key}.{key}",
         from_micros("_start").alias("burst_start"),
         from_micros(F.max("_end").over(whole)).alias("burst_end"),
         F.count(F.lit(1)).over(whole).alias("n_towers"),

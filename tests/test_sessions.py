@@ -207,6 +207,15 @@ def test_anchored_bursts(spark, span, slice_s):
     assert {(r["motusTagID"], r["us"]): r["n_towers"] for r in got} == towers
 
 
+def test_anchored_bursts_keep_pings_without_tag(spark):
+    t0 = 1_700_000_000_000_000
+    rows = [(i, tag, t0 + us * 1_000_000, station, "1", sig, None) for i, (tag, us, station, sig) in enumerate(
+        [(None, 0, "A", 1.0), (None, 2, "B", 2.0), (None, 4, "A", 3.0), (None, 6, "A", 4.0), (None, 100, "B", 5.0), (1, 1, "A", 6.0)])]
+    got = ses.anchored_bursts(frame(spark, rows), 3.0, slice_s=10.0).withColumn("us", F.unix_micros("burst_start")).collect()
+    assert {(r["motusTagID"], (r["us"] - t0) // 1_000_000, r["recvDeployName"], r["n_towers"], r["max_sig"]) for r in got} == {
+        (None, 0, "A", 2, 1.0), (None, 0, "B", 2, 2.0), (None, 4, "A", 1, 4.0), (None, 100, "B", 1, 5.0), (1, 1, "A", 1, 6.0)}
+
+
 def test_silences(spark):
     rows = skewed()
     want = {}
