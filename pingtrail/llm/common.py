@@ -41,16 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: StructType | str) -> DataFrame:
-    """Map record batches by the function that ``make`` returns in each task (set-up is done once a task)."""
+def map_arrow_parts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: StructType | str) -> DataFrame:
+    """Map each record batch to any number of batches by the generator that ``make`` returns in each task (set-up is done once a task)."""
     schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, target = make(), to_arrow_schema(schema)
         for batch in batches:
-            out = work(batch)
-            if out is not None:
+            for out in work(batch):
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type)
                      for c, f in ((out[f.name], f) for f in target)], schema=target)
@@ -58,6 +57,15 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: StructType | str) -> DataFrame:
+    """Map record batches by the function that ``make`` returns in each task; None gives nothing."""
+    def one_each():
+        work = make()
+        return lambda batch: (out for out in [work(batch)] if out is not None)
+
+    return map_arrow_parts(df, one_each, schema)
+
+
 def remainder_of_id(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +12,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from pingtrail.llm.common import map_arrow, stored
+from pingtrail.llm.common import map_arrow, map_arrow_parts, stored
 
-# Bytes of the content anchors; windows that are hashed at a time; contexts sorted at a time, and of one block of a bucket.
+# Bytes of the content anchors; windows that are hashed at a time; contexts that are sorted at a time, and most of a bucket.
 ANCHOR, CHUNK, CONTEXTS = 32, 1 << 20, 2048
+# Bytes of text or of contexts that a task turns into one batch of rows; rows of one anchor that are counted in one task.
+SLICE, HOT_ROWS = 4 << 20, 50_000
 # A difference cover: every difference modulo PERIOD is one of two members of COVER.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 BASE = 0x9E3779B97F4A7C15
@@ -53,15 +57,12 @@ class Anchors:
         one[1:] = np.uint64(pow(BASE, -1, 1 << 64))
         self.inverse = np.multiply.accumulate(one)
 
-    def runs(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First window, number of windows, hash of the anchor and hash of the whole context of each run."""
-        parts = [self._chunk(data[at:at + CHUNK + self.window - 1], at) for at in range(0, len(data) - self.window + 1, CHUNK)]
-        if not parts:
-            empty = np.empty(0, dtype=np.int64)
-            return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
-        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+    def runs(self, data: bytes) -> Iterator[Runs]:
+        """Runs of windows, a chunk of the text at a time."""
+        for at in range(0, len(data) - self.window + 1, CHUNK):
+            yield self._chunk(data[at:at + CHUNK + self.window - 1], at)
 
-    def _chunk(self, data: bytes, base: int):
+    def _chunk(self, data: bytes, base: int) -> Runs:
         n, w = len(data), self.span
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * self.power[:n], out=sums[1:])
@@ -77,9 +78,35 @@ class Anchors:
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         count = np.diff(np.concatenate([first, [len(place)]]))
         at = place[first]
-        context = _mixed((sums[first + count - 1 + self.window] - sums[first]) * self.inverse[first])
-        context = _mixed(context ^ ((at - first) * 4096 + count).astype(np.uint64))
-        return first + base, count, grams[at], context
+        ends = first + count - 1 + self.window
+        names = b"".join([_name(data[i:j]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)])
+        return Runs(first + base, count, at - first, grams[at].view(np.int64), *np.frombuffer(names, "<i8").reshape(-1, 2).T)
+
+
+@dataclass(frozen=True)
+class Runs:
+    """Runs of windows with one anchor: first window, number of windows, place of the anchor in the first window, hash of the
+    anchor, and 128 bits that name the run's whole context (all bytes of its windows)."""
+
+    first: np.ndarray
+    count: np.ndarray
+    left: np.ndarray
+    anchor: np.ndarray
+    name1: np.ndarray
+    name2: np.ndarray
+
+
+def _name(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _joined(row: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one row that follow each other without a gap as one."""
+    order = np.lexsort((first, row))
+    row, first, count = row[order], first[order], count[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] != first[:-1] + count[:-1])]) if len(row) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    return row[start], first[start], np.add.reduceat(count, start) if len(start) else count
 
 
 def repeated_windows(contexts: list[bytes], counts: np.ndarray, bucket: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,6 +198,116 @@ def _packed(docs: DataFrame, columns: list[str]) -> DataFrame:
     return map_arrow(docs.select(*columns, "text"), make, StructType([*(docs.schema[c] for c in columns), StructField("packed", BinaryType())]))
 
 
+def _find_runs(long_enough: DataFrame, window: int) -> DataFrame:
+    """Runs of all texts. Within a slice one row stands for all runs of the same context (copies); all of those are repeats,
+    which come as rows of their own, neighbours joined."""
+    def make():
+        anchors = Anchors(window)
+
+        def rows(classes: pa.Array, held: list[tuple[int, Runs]]) -> dict:
+            row = np.repeat([i for i, _ in held], [len(r.first) for _, r in held])
+            first, count, left, anchor, name1, name2 = (np.concatenate([getattr(r, f) for _, r in held]) for f in Runs.__dataclass_fields__)
+            order = np.lexsort((name2, name1))
+            new = np.concatenate([[True], (name1[order][1:] != name1[order][:-1]) | (name2[order][1:] != name2[order][:-1])])
+            copies = np.bincount(np.cumsum(new) - 1)
+            lead, again = order[new], order[np.repeat(copies > 1, copies)]
+            again_row, again_first, again_count = _joined(row[again], first[again], count[again])
+            n, none = len(again_row), np.zeros(len(again_row), dtype=np.int64)
+            return {"class": classes.take(pa.array(np.concatenate([row[lead], again_row]))), "repeat": np.arange(len(lead) + n) >= len(lead),
+                    "first": np.concatenate([first[lead], again_first]), "count": np.concatenate([count[lead], again_count]),
+                    "left": np.concatenate([left[lead], none]).astype(np.int32), "anchor": np.concatenate([anchor[lead], none]),
+                    "name1": np.concatenate([name1[lead], none]), "name2": np.concatenate([name2[lead], none]), "copies": np.concatenate([copies, none + 1])}
+
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            held, size = [], 0
+            for i, text in enumerate(batch.column(1)):
+                for runs in anchors.runs(text.as_py().encode()):
+                    held.append((i, runs))
+                    size += int(runs.count.sum())
+                    if size >= SLICE:
+                        yield rows(batch.column(0), held)
+                        held, size = [], 0
+            if held:
+                yield rows(batch.column(0), held)
+
+        return work
+
+    return stored(map_arrow_parts(long_enough, make, "class binary, repeat boolean, first long, count long, left int, anchor long, "
+                                  "name1 long, name2 long, copies long"), "suffix-runs")
+
+
+def _hot_anchors(runs: DataFrame) -> DataFrame:
+    """Anchors with so many rows that several tasks count them, 1000 at most, from a sketch of bounded size."""
+    found = runs.agg(F.expr("approx_top_k(anchor, 1000, 20000)").alias("top")).first().top or []
+    return runs.sparkSession.createDataFrame([(r["item"], -(-r["count"] // HOT_ROWS)) for r in found if r["item"] is not None and r["count"] > HOT_ROWS],
+                                             "anchor long, salts long")
+
+
+def _cut_contexts(window: int):
+    """Cuts contexts by the place of the anchor in their windows: the lower and the upper half of the range of places.
+
+    Equal windows hold the anchor at the same place, and all windows of a half share some bytes on either side of it, the
+    more the narrower the range. These bytes are the half's new key, so equal windows meet again.
+    """
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            out: dict[str, list] = {f: [] for f in PARTS.split()}
+            size = 0
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cls, first, count, left, copies, low, high, data = row
+                middle = (low + high) // 2
+                for x, y in ((low, middle), (middle + 1, high)):
+                    most, least = min(left, y), max(left - count + 1, x)
+                    if least > most or x > y:
+                        continue
+                    skip, n = left - most, most - least + 1
+                    part = data[skip:skip + n - 1 + window]
+                    key = hashlib.blake2b(part[most - x:most + window - y], digest_size=8, salt=x.to_bytes(2, "little")).digest()
+                    name1, name2 = np.frombuffer(hashlib.blake2b(part, digest_size=16, salt=x.to_bytes(2, "little")).digest(), "<i8").tolist()
+                    for f, value in zip(out, (int.from_bytes(key, "little", signed=True), name1, name2, cls, first + skip, n, most, copies, x, y, part), strict=True):
+                        out[f].append(value)
+                    size += len(part)
+                if size >= SLICE:
+                    yield out
+                    out, size = {f: [] for f in out}, 0
+            if size:
+                yield out
+
+        return work
+
+    return make
+
+
+PARTS = "key name1 name2 class first count left copies low high bytes"
+
+
+def _split_large(large: DataFrame, window: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Buckets of more than CONTEXTS contexts as smaller ones (key, class, first, count, copies, bytes), and repeats found on the way.
+
+    Each round halves the range of anchor places. A context gives two rows at most; what is now equal becomes one with its
+    copies; buckets that are small enough leave. Where the range is one place, equal keys are equal windows, so it ends.
+    """
+    small, repeats, round_no = [], [], 0
+    large = stored(large, "suffix-large")
+    while not large.isEmpty():
+        parts = map_arrow_parts(large.select("class", "first", "count", "left", "copies", "low", "high", "bytes"), _cut_contexts(window),
+                                "key long, name1 long, name2 long, class binary, first long, count long, left int, copies long, low int, high int, bytes binary")
+        parts = stored(parts, f"suffix-parts{round_no}")
+        named = (parts.groupBy("key", "name1", "name2").agg(F.sum("copies").alias("all"), F.min(F.struct("class", "first")).alias("lead")))
+        named = stored(named, f"suffix-names{round_no}")
+        sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
+        met = parts.drop("copies").join(named, ["key", "name1", "name2"]).join(sizes, "key", "left")
+        leads = (F.struct("class", "first") == F.col("lead")) & F.col("contexts").isNotNull()
+        met = (met.withColumn("leads", leads).where("all > 1 OR leads")
+               .select("key", "class", "first", "count", "left", F.col("all").alias("copies"), "contexts", "leads", "low", "high", F.when(F.col("leads"), F.col("bytes")).alias("bytes")))
+        met = stored(met, f"suffix-split{round_no}")
+        repeats.append(met.where("copies > 1").select("class", "first", "count"))
+        small.append(met.where(F.col("leads") & (F.col("contexts") <= CONTEXTS)).select("key", "class", "first", "count", "copies", "bytes"))
+        large = met.where(F.col("leads") & (F.col("contexts") > CONTEXTS))
+        round_no += 1
+    return small, repeats
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, window: int = 200, as_text: bool = False) -> DataFrame:
     """One row a document: its id, n_bytes, spans (removed runs as start and end) and kept (the remaining bytes).
 
@@ -180,85 +317,80 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A byte goes when it lies in a string of ``window`` bytes that starts anywhere else too, in this or another document; all
     copies go, and strings are judged on the input. Matches do not cross documents.
 
-    1. Windows are cut into runs that share a content anchor, so equal windows fall into one bucket. Runs whose whole context
-       occurs again are repeats as they are; buckets with one context and one occurrence hold none.
+    1. Windows are cut into runs that share a content anchor, so equal windows fall into one bucket. A run's context is named
+       by a BLAKE2 digest of its bytes; runs whose whole context occurs again are repeats as they are. Buckets with one
+       context and one occurrence hold none.
     2. One context of each kind in the remaining buckets is sorted, a limited number of contexts at a time, by
-       ``repeated_windows``. A bucket with very many contexts is split into blocks; names of its windows are
-       then counted across the blocks.
+       ``repeated_windows``. A bucket with very many contexts is first split by the bytes around its anchor that its windows
+       share, again and again, until its parts are small.
     3. Runs of repeated windows meet their text again and become byte spans.
 
     A null or empty text has no bytes; one shorter than the window keeps all. Equal texts are looked at as one where
     only the content matters. Repeated rows are repeats of each other. Null ids are carried along. An empty table gives an
-    empty result. Other columns are not read.
+    empty result. Other columns are not read. Long texts are read a chunk at a time and rows leave a task in slices.
     """
     id_field = docs.schema[doc_id]
     plain = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     plain = plain.withColumn("class", F.unhex(F.md5("text")))
     long_enough = plain.where(F.octet_length("text") >= window)
 
-    def make_runs():
-        anchors = Anchors(window)
-
-        def work(batch: pa.RecordBatch) -> dict:
-            found = [anchors.runs(t.encode()) for t in batch.column(1).to_pylist()]
-            row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            first, count, anchor, context = (np.concatenate(p) for p in zip(*found, strict=True))
-            # within the batch, one run stands for all of the same anchor and context; all of these are repeats
-            order = np.lexsort((context, anchor))
-            new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1])])
-            group = np.cumsum(new) - 1
-            copies = np.bincount(group)
-            lead, again = order[new], order[copies[group] > 1]
-            take = np.concatenate([lead, again])
-            return {"class": batch.column(0).take(pa.array(row[take])), "repeat": np.arange(len(take)) >= len(lead),
-                    "first": first[take], "count": count[take].astype(np.int32), "anchor": anchor[take].view(np.int64),
-                    "context": context[take].view(np.int64), "copies": np.concatenate([copies, np.ones(len(again), np.int64)])}
-
-        return work
-
-    runs = stored(map_arrow(long_enough.select("class", "text"), make_runs,
-                            "class binary, repeat boolean, first long, count int, anchor long, context long, copies long"), "suffix-runs")
-    same = Window.partitionBy("anchor", "context")
-    flagged = (runs.where("NOT repeat").repartition("anchor")
+    runs = _find_runs(long_enough.select("class", "text"), window)
+    same, bucket = Window.partitionBy("anchor", "salt", "name1", "name2"), Window.partitionBy("anchor", "salt")
+    flagged = (runs.where("NOT repeat").drop("repeat").join(F.broadcast(_hot_anchors(runs.where("NOT repeat"))), "anchor", "left")
+               .withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod("name1", F.col("salts")))
+               .repartition("anchor", "salt")
                .withColumn("place", F.row_number().over(same.orderBy("class", "first")))
                .withColumn("copies", F.sum("copies").over(same))
-               .withColumn("contexts", F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(Window.partitionBy("anchor")))
-               .where("copies > 1 OR contexts > 1"))
-    flagged = stored(flagged.drop("repeat"), "suffix-flagged")
+               .withColumn("contexts", F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(bucket))
+               .withColumn("large", (F.col("salts") > 1) | (F.col("contexts") > CONTEXTS))
+               .where("copies > 1 OR contexts > 1 OR large"))
+    flagged = stored(flagged.select("class", "first", "count", "left", "anchor", "copies", "large", (F.col("place") == 1).alias("leads"),
+                                    (F.col("large") | (F.col("contexts") > 1)).alias("shared")), "suffix-flagged")
     marks = runs.where("repeat").select("class", "first", "count").unionByName(flagged.where("copies > 1").select("class", "first", "count"))
 
-    wanted = (flagged.where("place = 1 AND contexts > 1")
-              .select("class", F.struct("first", "count", "anchor", "context", "copies", "contexts").alias("run"))
+    wanted = (flagged.where("leads AND shared").select("class", F.struct("first", "count", "left", "anchor", "copies", "large").alias("run"))
               .groupBy("class").agg(F.collect_list("run").alias("runs")))
     with_text = _packed(long_enough, ["class"]).dropDuplicates(["class"]).join(wanted, "class")
 
     def make_contexts():
         unpack = zstandard.ZstdDecompressor()
 
-        def work(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("class", "first", "count", "anchor", "context", "copies", "contexts", "bytes")}
-            for cls, packed, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = unpack.decompress(packed)
-                for run in items:
-                    out["class"].append(cls)
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            names = ("class", "first", "count", "left", "anchor", "copies", "large", "bytes")
+            out: dict[str, list] = {k: [] for k in names}
+            size = 0
+            for cls, packed, items in zip(*batch.columns, strict=True):
+                data = unpack.decompress(packed.as_py())
+                for run in items.as_py():
+                    out["class"].append(cls.as_py())
                     for name, value in run.items():
                         out[name].append(value)
                     out["bytes"].append(data[run["first"]:run["first"] + run["count"] - 1 + window])
-            return out
+                    size += run["count"] + window
+                    if size >= SLICE:
+                        yield out
+                        out, size = {k: [] for k in names}, 0
+            if size:
+                yield out
 
         return work
 
-    contexts = map_arrow(with_text.select("class", "packed", "runs"), make_contexts,
-                         "class binary, first long, count int, anchor long, context long, copies long, contexts long, bytes binary")
-    blocks = F.ceil(F.col("contexts") / CONTEXTS).cast("int")
-    dealt = (contexts.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("context"), F.col("blocks")).cast("int"))
-             .select("anchor", "block", "blocks", "class", "first", "count", "copies", "bytes"))
-    sorted_ = (dealt.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
-               .mapInArrow(_sort_buckets(window), "class binary, first long, count int, name binary, single boolean"))
-    sorted_ = stored(sorted_, "suffix-windows")
-    across = (sorted_.where("name IS NOT NULL").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name")))
-              .where("n > 1 AND single").select("class", "first", "count"))
-    marks = marks.unionByName(sorted_.where("name IS NULL").select("class", "first", "count")).unionByName(across)
+    contexts = map_arrow_parts(with_text.select("class", "packed", "runs"), make_contexts,
+                               "class binary, first long, count long, left int, anchor long, copies long, large boolean, bytes binary")
+    few = [contexts.where("NOT large").select(F.col("anchor").alias("key"), "class", "first", "count", "copies", "bytes")]
+    if not flagged.where("large").isEmpty():
+        contexts = stored(contexts, "suffix-contexts")
+        few = [contexts.where("NOT large").select(F.col("anchor").alias("key"), "class", "first", "count", "copies", "bytes")]
+        places = contexts.where("large").withColumns({"low": F.lit(0), "high": F.lit(window - ANCHOR)})
+        more, repeats = _split_large(places, window)
+        few += more
+        for found in repeats:
+            marks = marks.unionByName(found)
+    dealt = few[0]
+    for part in few[1:]:
+        dealt = dealt.unionByName(part)
+    sorted_ = (dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_buckets(window), "class binary, first long, count long"))
+    marks = marks.unionByName(stored(sorted_, "suffix-windows"))
 
     spans = marks.distinct().groupBy("class").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     schema = StructType([StructField(doc_id, id_field.dataType), StructField("n_bytes", LongType()),
@@ -268,58 +400,51 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def make_kept():
         unpack = zstandard.ZstdDecompressor()
 
-        def work(batch: pa.RecordBatch) -> dict:
-            sizes, all_spans, kept = [], [], []
-            for packed, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = unpack.decompress(packed) if packed else b""
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            begin, size, sizes, all_spans, kept = 0, 0, [], [], []
+
+            def done(end: int) -> dict:
+                texts = [k.decode(errors="ignore") for k in kept] if as_text else kept
+                return {doc_id: batch.column(0).slice(begin, end - begin), "n_bytes": sizes, "spans": all_spans, "kept": texts}
+
+            for i, (packed, items) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                data = unpack.decompress(packed.as_py())
                 cut = np.empty((0, 2), dtype=np.int64)
-                if items:
-                    first, count = (np.array([r[k] for r in items], dtype=np.int64) for k in ("first", "count"))
+                if items.is_valid:
+                    first, count = (items.values.field(k).to_numpy() for k in ("first", "count"))
                     cut = _spans(first, count, window, len(data))
                 edges = [0, *cut.ravel().tolist(), len(data)]
                 sizes.append(len(data))
                 all_spans.append([{"start": a, "end": b} for a, b in cut.tolist()])
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            if as_text:
-                kept = [k.decode(errors="ignore") for k in kept]
-            return {doc_id: batch.column(0), "n_bytes": sizes, "spans": all_spans, "kept": kept}
+                kept.append(b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+                size += len(data)
+                if size >= SLICE:
+                    yield done(i + 1)
+                    begin, size, sizes, all_spans, kept = i + 1, 0, [], [], []
+            if sizes:
+                yield done(batch.num_rows)
 
         return work
 
     joined = _packed(plain, ["id", "class"]).join(spans, "class", "left")
-    return map_arrow(joined.select("id", "packed", "runs"), make_kept, schema)
+    return map_arrow_parts(joined.select("id", "packed", "runs"), make_kept, schema)
 
 
 def _sort_buckets(window: int):
-    """Reads contexts in order of bucket, sorts a limited number at a time and gives runs of repeated windows.
-
-    Whole blocks of buckets are sorted together; a bucket in several blocks gives the names of its different windows instead.
-    """
+    """Reads contexts in order of bucket, sorts a limited number at a time (whole buckets) and gives runs of repeated windows."""
 
     def run(batches):
-        schema = pa.schema([("class", pa.binary()), ("first", pa.int64()), ("count", pa.int32()), ("name", pa.binary()), ("single", pa.bool_())])
+        schema = pa.schema([("class", pa.binary()), ("first", pa.int64()), ("count", pa.int64())])
         held: list[tuple] = []
 
-        def solve():
-            key = [h[:2] for h in held]
+        def solve() -> list[tuple]:
+            key, cls, first, counts, copies, data = zip(*held, strict=True)
             bucket = np.cumsum([0] + [a != b for a, b in zip(key[1:], key[:-1], strict=True)])
-            counts = np.array([h[5] for h in held], dtype=np.int64)
-            owner, inside, classes = repeated_windows([h[7] for h in held], counts, bucket, window)
-            split = np.array([h[2] > 1 for h in held])[owner]
-            single = np.array([h[6] == 1 for h in held])[owner]
-            size = np.bincount(classes)
-            rows: list[tuple] = []
-            mine = np.flatnonzero((size[classes] > 1) & single)
-            if len(mine):
-                cut = np.flatnonzero((np.diff(inside[mine]) != 1) | (np.diff(owner[mine]) != 0)) + 1
-                for part in np.split(mine, cut):
-                    h = held[owner[part[0]]]
-                    rows.append((h[3], h[4] + int(inside[part[0]]), len(part), None, True))
-            ones = np.flatnonzero(split)
-            for i in ones[np.unique(classes[ones], return_index=True)[1]]:
-                h, at = held[owner[i]], int(inside[i])
-                name = hashlib.blake2b(h[7][at:at + window], digest_size=16).digest()
-                rows.append((h[3], h[4] + at, 1, name, bool(single[i] and size[classes[i]] == 1)))
+            owner, inside, classes = repeated_windows(list(data), np.array(counts, dtype=np.int64), bucket, window)
+            # a context that occurs several times is a repeat already
+            mine = np.flatnonzero((np.bincount(classes)[classes] > 1) & (np.array(copies) == 1)[owner])
+            cut = np.flatnonzero((np.diff(inside[mine]) != 1) | (np.diff(owner[mine]) != 0)) + 1
+            rows = [(cls[owner[part[0]]], first[owner[part[0]]] + int(inside[part[0]]), len(part)) for part in np.split(mine, cut) if len(part)]
             held.clear()
             return rows
 
@@ -328,7 +453,7 @@ def _sort_buckets(window: int):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:2] != held[-1][:2] and len(held) >= CONTEXTS:
+                if held and row[0] != held[-1][0] and len(held) >= CONTEXTS:
                     rows = solve()
                     if rows:
                         yield table(rows)

@@ -189,6 +189,48 @@ def test_repeats_against_brute_force(frame, monkeypatch):
     assert [found[i] for i in range(len(texts))] == brute_repeats([(t or "").encode() for t in texts], 200)
 
 
+def test_large_buckets_are_split_by_content(spark, frame, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", 64)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 500)
+    made = {}
+    real = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: made.setdefault(name, real(df, name)))
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcdefgh ", k=420))
+    texts = []
+    for k in range(3000):  # one passage in all texts, with other words around it, cut at either end in some
+        a, b = (rng.randint(0, 60), rng.randint(300, 420)) if k % 3 else (0, 420)
+        texts.append("".join(rng.choices("abcd", k=rng.randint(20, 90))) + passage[a:b] + "".join(rng.choices("abcd", k=rng.randint(20, 90))))
+    texts += ["-" + passage[40:239], "-" + passage[40:241], passage[:199], "x" * 180 + passage[:20]]
+    found = repeats(suffix_dedup.remove_repeats(frame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [found[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], 200)
+    rounds = [df for name, df in made.items() if name.startswith("suffix-parts")]
+    contexts = made["suffix-contexts"].where("large").count()
+    assert 2 <= len(rounds) <= 9 and contexts > 3000
+    assert rounds[0].count() <= 2 * contexts and sum(df.count() for df in rounds) <= 9 * contexts
+    assert made["suffix-windows"].count() <= 2 * contexts
+
+
+def test_periodic_texts_give_few_rows(frame, monkeypatch):
+    made = {}
+    real = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: made.setdefault(name, real(df, name)))
+    texts = ["a" * 5000, "-=" * 2500, "0" * 300 + "b" + "0" * 300, "a" * 199 + "c"]
+    found = repeats(suffix_dedup.remove_repeats(frame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [found[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], 200)
+    assert made["suffix-runs"].count() < 500
+
+
+def test_runs_in_small_slices(frame, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 700)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
+    rng = random.Random(6)
+    base = "".join(rng.choices("abcdefgh ", k=2000))
+    texts = [base, base[300:900] + "?", "!" + base[1500:], base, "", None, base[:250]]
+    found = repeats(suffix_dedup.remove_repeats(frame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [found[i] for i in range(len(texts))] == brute_repeats([(t or "").encode() for t in texts], 200)
+
+
 def test_repeats_in_texts_longer_than_a_chunk(frame, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1500)
     rng = random.Random(2)
