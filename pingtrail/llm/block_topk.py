@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -36,25 +38,29 @@ def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _best(scores: np.ndarray, ids: np.ndarray, copies: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     order = np.lexsort((ids, -scores), axis=-1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+    return tuple(np.take_along_axis(a, order, 1) for a in (scores, ids, copies))
+
 
+def search(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int):
+    """The best ``k`` different rows of these blocks for each query: scores, ids and copies, unused places with the lowest score.
 
-def search(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int):
-    """The best ``k`` of these blocks for each query: scores and ids, unused places with the lowest score.
+    Blocks hold ids, vectors and how often each row occurs. Copies can only lift the k-th score, so leaving them to the
+    ranking loses nothing.
 
     Each query takes its blocks in falling order of bound and stops at the first one whose bound is below its k-th
     score so far, or below ``floor``, a score known to be reached by k documents. Equal bounds are still scored, as
     a smaller id wins a tie.
     """
-    low = np.array([values.min(0) for _, values in blocks])
-    high = np.array([values.max(0) for _, values in blocks])
+    low = np.array([values.min(0) for _, values, _ in blocks])
+    high = np.array([values.max(0) for _, values, _ in blocks])
     bound = bounds(queries, low, high)
     slack = np.abs(bound) * 1e-12 + 1  # the bound is in floating point
     order = np.argsort(-bound, axis=1, kind="stable")
     scores = np.full((len(queries), k), LOWEST + 1, dtype=np.int64)
     ids = np.full((len(queries), k), np.iinfo(np.int64).max, dtype=np.int64)
+    copies = np.zeros((len(queries), k), dtype=np.int64)
     active = np.arange(len(queries))
     for step in range(len(blocks)):
         least = np.maximum(scores[active, -1], floor[active])
@@ -65,27 +71,28 @@ def search(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, blocks: list
         at = order[active, step]
         for b in np.unique(at):
             rows = active[at == b]
-            names, values = blocks[b]
+            names, values, times = blocks[b]
             found = products(queries[rows], values)
             found[own[rows][:, None] == names[None]] = LOWEST + 1
             better = (found >= np.maximum(scores[rows, -1], floor[rows])[:, None]).any(1)
             rows, found = rows[better], found[better]
             if len(rows):
-                together = np.concatenate([scores[rows], found], 1), np.concatenate([ids[rows], np.broadcast_to(names, found.shape)], 1)
-                scores[rows], ids[rows] = _best(*together, k)
-    return scores, ids
+                together = [np.concatenate([old[rows], np.broadcast_to(new, found.shape)], 1) for old, new in ((scores, found), (ids, names), (copies, times))]
+                scores[rows], ids[rows], copies[rows] = _best(*together, k)
+    return scores, ids, copies
 
 
-def _pack(kind: int, names: np.ndarray, values: np.ndarray, floor: np.ndarray | None = None) -> tuple:
-    return kind, values.shape[1], names.astype("<i8").tobytes(), values.astype("<f8").tobytes(), floor.astype("<i8").tobytes() if floor is not None else None
+def _pack(kind: int, names: np.ndarray, values: np.ndarray, more: np.ndarray) -> tuple:
+    """``more`` holds the copies of a block's rows, or the floors of a chunk's queries."""
+    return kind, values.shape[1], names.astype("<i8").tobytes(), values.astype("<f8").tobytes(), more.astype("<i8").tobytes()
 
 
 def _build(k: int, every: int):
     """Rows in order become blocks; the queries among them become chunks with the k-th score within their own block."""
 
     def run(batches):
-        schema = pa.schema([("kind", pa.int32()), ("size", pa.int32()), ("names", pa.binary()), ("vals", pa.binary()), ("floor", pa.binary())])
-        size, names, values, chunk = None, [], [], []
+        schema = pa.schema([("kind", pa.int32()), ("size", pa.int32()), ("names", pa.binary()), ("vals", pa.binary()), ("more", pa.binary())])
+        size, names, values, times, chunk = None, [], [], [], []
 
         def table(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -99,23 +106,24 @@ def _build(k: int, every: int):
                 found[ids[asks][:, None] == ids[None]] = LOWEST + 1
                 floor = np.sort(found, 1)[:, -k]
             chunk.extend(zip(ids[asks], matrix[asks], floor, strict=True))
-            return _pack(0, ids, matrix)
+            return _pack(0, ids, matrix, np.array(times, dtype=np.int64))
 
         def asked():
             return _pack(1, np.array([c[0] for c in chunk]), np.array([c[1] for c in chunk]).reshape(len(chunk), size), np.array([c[2] for c in chunk]))
 
         for batch in batches:
             rows = []
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, value, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if names and (len(value) != size or len(names) >= BLOCK):
                     rows.append(block())
-                    names, values = [], []
+                    names, values, times = [], [], []
                     if chunk and (len(chunk) >= CHUNK or len(value) != size):
                         rows.append(asked())
                         chunk = []
                 size = len(value)
                 names.append(name)
                 values.append(value)
+                times.append(copies)
             if rows:
                 yield table(rows)
         if names:
@@ -131,7 +139,7 @@ def _answer(k: int):
     """A shard's blocks come first and stay, then chunks of queries stream past them."""
 
     def run(batches):
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        schema = pa.schema([("query_id", pa.int64()), ("query", pa.binary()), ("vec_id", pa.int64()), ("score", pa.int64()), ("copies", pa.int64())])
         shard, blocks = None, []
         for batch in batches:
             columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
@@ -140,13 +148,16 @@ def _answer(k: int):
                     shard, blocks = at, []
                 names = np.frombuffer(columns["names"][i], "<i8")
                 values = np.frombuffer(columns["vals"][i], "<f8").reshape(len(names), at[0])
+                more = np.frombuffer(columns["more"][i], "<i8")
                 if columns["kind"][i] == 0:
-                    blocks.append((names, values))
+                    blocks.append((names, values, more))
                 elif blocks:
-                    floor = np.frombuffer(columns["floor"][i], "<i8")
-                    scores, ids = search(values, names, floor, blocks, k)
-                    good = (scores > LOWEST + 1) & (scores >= floor[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, good.sum(1))), pa.array(ids[good]), pa.array(scores[good])], schema=schema)
+                    scores, ids, copies = search(values, names, more, blocks, k)
+                    good = (scores > LOWEST + 1) & (scores >= more[:, None])
+                    query = pa.array([hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in values], pa.binary())
+                    each = np.repeat(np.arange(len(names)), good.sum(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[each]), query.take(pa.array(each)), pa.array(ids[good]), pa.array(scores[good]),
+                                                      pa.array(copies[good])], schema=schema)
 
     return run
 
@@ -161,8 +172,9 @@ def top_k(vectors: DataFrame, k: int = 5, *, every: int = 50, vec_id: str = "vec
     block in falling order of bound, until the bound falls below the k-th score; the shards' results are merged.
 
     Vectors that are null or hold a null or non-finite component, and rows with a null id, take no part. Only vectors of one
-    length are compared; an empty vector scores 0 with any other empty one. Equal rows count once. With fewer candidates
-    all are returned. An empty table gives an empty result. Scores must fit 64 bits, else an error is raised.
+    length are compared; an empty vector scores 0 with any other empty one. A repeated row is a candidate as often as it
+    occurs and asks once; rows of one id with different vectors ask one by one, each with a ranking of its own. With
+    fewer candidates all are returned. An empty table gives an empty result. Scores must fit 64 bits, else an error is raised.
     """
     rows = vectors.select(F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & F.coalesce(complete("v"), F.lit(False)))
@@ -185,10 +197,11 @@ def top_k(vectors: DataFrame, k: int = 5, *, every: int = 50, vec_id: str = "vec
 
         return work
 
-    coded = map_arrow(rows, make, "id long, v array<double>, code int, size int").dropDuplicates(["id", "v"])
+    coded = map_arrow(rows, make, "id long, v array<double>, code int, size int")
+    coded = coded.groupBy("size", "code", "id", "v").agg(F.count(F.lit(1)).alias("copies"))
     coded = stored(coded, "topk-rows")
-    built = (coded.repartitionByRange("size", "code", "id").sortWithinPartitions("size", "code", "id").select("id", "v")
-             .mapInArrow(_build(k, every), "kind int, size int, names binary, vals binary, floor binary"))
+    built = (coded.repartitionByRange("size", "code", "id").sortWithinPartitions("size", "code", "id").select("id", "v", "copies")
+             .mapInArrow(_build(k, every), "kind int, size int, names binary, vals binary, more binary"))
     built = stored(built, "topk-blocks")
     shards = {r["size"]: max(1, -(-r["count"] // SHARD_BLOCKS)) for r in built.where("kind = 0").groupBy("size").count().collect()}
     if not shards:
@@ -197,7 +210,9 @@ def top_k(vectors: DataFrame, k: int = 5, *, every: int = 50, vec_id: str = "vec
     blocks = built.where("kind = 0").withColumn("shard", F.pmod(F.xxhash64("names"), number).cast("int"))
     chunks = built.where("kind = 1").withColumn("shard", F.explode(F.sequence(F.lit(0), number - 1)))
     answers = (blocks.unionByName(chunks).repartition("size", "shard").sortWithinPartitions("size", "shard", "kind")
-               .mapInArrow(_answer(k), "query_id long, vec_id long, score long"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+               .mapInArrow(_answer(k), "query_id long, query binary, vec_id long, score long, copies long"))
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    best = answers.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    best = best.withColumn("before", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("copies")).where(F.col("before") < k)
+    ranks = F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("copies"), F.lit(k)))
+    return best.select("query_id", F.explode(ranks.cast("array<int>")).alias("rank"), "vec_id", "score")

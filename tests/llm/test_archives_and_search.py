@@ -86,10 +86,10 @@ def test_truncated_archives_are_reported():
 
 
 def brute_top(rows, k, every):
-    clean = {(i, tuple(int(256 * x // 1) for x in v)) for i, v in rows
-             if i is not None and v is not None and all(x is not None and x == x and abs(x) != float("inf") for x in v)}
+    clean = [(i, tuple(int(256 * x // 1) for x in v)) for i, v in rows
+             if i is not None and v is not None and all(x is not None and x == x and abs(x) != float("inf") for x in v)]
     out = []
-    for i, q in clean:
+    for i, q in set(clean):
         if i % every == 0:
             found = sorted((-sum(a * b for a, b in zip(q, d, strict=True)), j) for j, d in clean if j != i and len(d) == len(q))
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found[:k])]
@@ -103,7 +103,7 @@ def test_top_k_against_brute_force(frame, monkeypatch):
     rng = random.Random(5)
     rows = [(i, [rng.choice([-0.5, 0.25, 0.003, -0.1, 0.9]) for _ in range(4)]) for i in range(700)]
     rows += [(1000 + i, rows[3][1]) for i in range(40)]  # ties
-    rows += [rows[50], (None, [1.0] * 4), (2000, None), (2001, [1.0, None, 0.0, 0.0]), (2002, [float("nan")] * 4), (2050, [1.0] * 3), (2051, [0.5] * 3), (2100, [0.0] * 4)]
+    rows += [rows[50], rows[600], rows[600], rows[601], (100, [0.9, 0.9, -0.5, 0.25]), (150, rows[3][1]), (None, [1.0] * 4), (2000, None), (2001, [1.0, None, 0.0, 0.0]), (2002, [float("nan")] * 4), (2050, [1.0] * 3), (2051, [0.5] * 3), (2100, [0.0] * 4)]
     found = block_topk.top_k(frame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")))
     assert sorted(map(tuple, found.collect())) == brute_top(rows, 5, 50)
     few = frame(rows[:3], "vec_id long, embedding array<double>")
@@ -111,6 +111,20 @@ def test_top_k_against_brute_force(frame, monkeypatch):
     assert block_topk.top_k(few.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_rows_equals_its_sql(spark, frame, tmp_path):
+    import duckdb
+
+    from pingtrail.llm.queries import OP5_SQL
+
+    rows = [(i, [(i * 7 % 13) / 13, (i * 5 % 11) / 11]) for i in range(120)] + [(7, [0.9, 0.9])] * 4 + [(50, [0.3, -0.4])] * 3 + [(50, [0.1, 0.2])]
+    folder = shared_folder(spark, "test-topk")
+    frame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({OP5_SQL})").fetchall()
+    assert sorted(map(tuple, QUERIES["op5_block_topk"](spark, folder).collect())) == sorted(want)
+
+
 def test_bounds_hold_and_stop_early():
     import numpy as np
 
@@ -118,7 +132,7 @@ def test_bounds_hold_and_stop_early():
     docs = np.floor(rng.normal(size=(64, 8)) * 50)
     queries = np.floor(rng.normal(size=(10, 8)) * 50)
     assert (block_topk.bounds(queries, docs.min(0)[None], docs.max(0)[None])[:, 0] >= (queries @ docs.T).max(1)).all()
-    near, far = (np.arange(64), docs + 500), (np.arange(64, 128), docs - 9000)
+    near, far = (np.arange(64), docs + 500, np.ones(64, np.int64)), (np.arange(64, 128), docs - 9000, np.ones(64, np.int64))
     scored = []
     real = block_topk.products
     block_topk.products = lambda q, d: scored.append(len(d)) or real(q, d)
