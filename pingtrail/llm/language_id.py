@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -12,13 +11,14 @@ from pingtrail.llm.common import map_arrow, sampled_pieces, texts_of, winning_ha
 from pingtrail.llm.compression import compressor, pieces, size_under
 
 LEVEL = -1
-NOT_LETTERS = re.compile(r"[\W\d_]+")
-LETTER = re.compile(r"[^\W\d_]")
+# Vowel signs and accents that stand as characters of their own are parts of words.
+NOT_WORDS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def folded(text: str) -> bytes:
-    """Lower case with every run of other characters than letters as one blank, in UTF-8."""
-    return f" {NOT_LETTERS.sub(' ', text.lower()).strip()} ".encode()
+    """Lower case with every run of characters that are neither letters nor marks as one blank, in UTF-8."""
+    return f" {NOT_WORDS.sub(' ', text.lower()).strip()} ".encode()
 
 
 def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", *, texts_per_language: int = 128,

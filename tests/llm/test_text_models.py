@@ -1,5 +1,7 @@
 """Language ID and quality: held-out accuracy on the supplied tables, and defined results on odd rows."""
 
+import math
+import unicodedata
 import zlib
 
 import pytest
@@ -39,6 +41,56 @@ def test_language_odd_rows(frame):
     assert language_id.identify_language(docs.limit(0), known).count() == 0
 
 
+def test_language_letters(frame):
+    known = {"aa": b" the and of with the and of ", "hi": " हिन्दी में लिखा हुआ ".encode()}
+    docs = frame(list(enumerate(["\u00bd \u00b2 \u2167", "\u093f\u0301", "\u00aa", "हिन्दी", "\u0301x"])), "doc_id long, text string")
+    found = {r.doc_id: r for r in language_id.identify_language(docs, known).collect()}
+    assert [found[i].lang_pred for i in range(2)] == ["und", "und"] and found[2].lang_pred != "und" and found[4].lang_pred != "und"
+    assert found[3].lang_pred == "hi" and language_id.folded("हिन्दी-में 12½") == " हिन्दी में ".encode()
+
+
+def brute_size(content, data, level):
+    import zstandard
+
+    total = 0
+    for at in range(0, len(data), 1024):
+        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=level)
+        total += len(zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_dict_id=False, write_checksum=False).compress(data[at:at + 1024]))
+    return total
+
+
+def test_language_of_every_row_against_plain_python(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    learned = language_id.learn_languages(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"))
+    found = rows_by_id(QUERIES["op2_language_id"](spark, folder))
+    import regex
+
+    for d in docs.collect():
+        got = found[d.doc_id]
+        if not any(unicodedata.category(c)[0] == "L" for c in d.text or ""):
+            assert (got.lang_pred, got.score) == ("und", 0)
+            continue
+        data = (" " + " ".join(regex.findall(r"[\p{L}\p{M}]+", d.text.lower())) + " ").encode()
+        sizes = sorted((brute_size(content, data, -1), name) for name, content in learned.items())
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert got.lang_pred == sizes[0][1] and got.margin == pytest.approx(margin) and got.lang_rejected == (margin < 0.002)
+        assert got.score == pytest.approx(1 - math.exp(-20 * margin))
+
+
+def test_quality_of_every_row_against_plain_python(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn_quality(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"), labels)
+    found = rows_by_id(QUERIES["op10_quality"](spark, folder))
+    for d in docs.collect():
+        data = (d.text or "").encode()
+        x = (brute_size(model.bad, data, 6) - brute_size(model.good, data, 6)) / len(data) if data else 0.0
+        score = 1 / (1 + math.exp(-(model.slope * x + model.offset)))
+        assert found[d.doc_id].score == pytest.approx(score) and found[d.doc_id].predicted == (found[d.doc_id].score >= 0.3)
+
+
 def test_language_learning_ignores_useless_rows(frame):
     docs = frame([("the cat", None), (None, "en"), ("12", "en"), ("the dog", "en"), ("the dog", "en")], "text string, lang string")
     assert language_id.learn_languages(docs) == {"en": b" the dog "}
