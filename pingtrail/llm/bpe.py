@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+from array import array
+from collections.abc import Iterator
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -14,6 +17,8 @@ from pingtrail.llm.common import map_arrow
 from pingtrail.llm.tokens import Remembered
 
 WORD = 64
+# Bytes of pre-tokens that are merged together.
+MERGED_BYTES = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -89,22 +94,23 @@ def merge_all(pretokens: list[bytes], ranks: dict[bytes, int], two_bytes: np.nda
         at += len(pretoken)
     edge[n] = 1
     get = ranks.get
-    after = list(range(1, n + 1))   # end of the part that starts here
-    before = list(range(-1, n))     # start of the part before
+    make = list if n <= MERGED_BYTES else partial(array, "i")  # very long pre-tokens: four bytes a number
+    after = make(range(1, n + 1))   # end of the part that starts here
+    before = make(range(-1, n))     # start of the part before
     queue = RankQueue()
     add, waiting = queue.add, queue.buckets
     bytes_ = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
     pairs = two_bytes[bytes_[:-1] * 256 + bytes_[1:]] if n > 1 else np.empty(0, np.int64)
     pairs[np.frombuffer(edge, dtype=np.uint8)[1:n] == 1] = -1
-    pair = [*pairs.tolist(), -1]
+    pair = make(np.append(pairs, -1).astype("i4").tolist() if make is list else np.append(pairs, -1).astype("i4").tobytes())
     order = np.argsort(pairs, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(pairs[order])) + 1):
         if len(group) and pairs[group[0]] >= 0:
             add(int(pairs[group[0]]), int(group[0]))
-            waiting[int(pairs[group[0]])] = group.tolist()
+            waiting[int(pairs[group[0]])] = group.tolist() if make is list else make(group.astype("i4").tobytes())
     while (item := queue.take()) is not None:
         rank, positions = item
-        positions.sort()
+        positions = sorted(positions)
         for index, at in enumerate(positions):
             if pair[at] != rank:
                 continue
@@ -159,6 +165,19 @@ def merge_all(pretokens: list[bytes], ranks: dict[bytes, int], two_bytes: np.nda
     return out
 
 
+def slices(pretokens: list[tuple[str, bytes]], most_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The list in parts of ``most_bytes`` at most; a longer pre-token is a part of its own."""
+    part, size = [], 0
+    for pretoken in pretokens:
+        if part and size + len(pretoken[1]) > most_bytes:
+            yield part
+            part, size = [], 0
+        part.append(pretoken)
+        size += len(pretoken[1])
+    if part:
+        yield part
+
+
 class Encoder:
     """Encodes texts by ranks and a pre-token pattern, and decodes ids.
 
@@ -166,14 +185,14 @@ class Encoder:
     pattern and the merges run only for what is not there. Every byte needs a rank, else a KeyError is raised.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 1_000_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_bytes: int = 160 << 20) -> None:
         import regex
 
         self.ranks, self.two_bytes = ranks, two_byte_ranks(ranks)
         self.split = regex.compile(pattern).findall
         self.white = regex.compile(r"\s ").search
         self.runs = regex.compile(r"\s*\S+|\s+").findall
-        self.pieces, self.pretokens = Remembered(remembered), Remembered(remembered // 2)
+        self.pieces, self.pretokens = Remembered(most_bytes * 2 // 3), Remembered(most_bytes // 3)
         size = max(ranks.values(), default=0) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -204,8 +223,9 @@ class Encoder:
                         else:
                             ids = np.array([whole], dtype=np.int32).tobytes()
                     known[match] = ids
-        for (match, _), ids in zip(new, merge_all([data for _, data in new], self.ranks, self.two_bytes), strict=True):
-            known[match] = np.array(ids, dtype=np.int32).tobytes()
+        for some in slices(new, MERGED_BYTES):
+            for (match, _), ids in zip(some, merge_all([data for _, data in some], self.ranks, self.two_bytes), strict=True):
+                known[match] = np.array(ids, dtype=np.int32).tobytes()
         for match, ids in known.items():
             self.pretokens.put(match, ids)
         found = {piece: b"".join([known[m] for m in matches]) for piece, matches in split.items()}

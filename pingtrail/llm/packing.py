@@ -15,6 +15,7 @@ from pingtrail.llm.tokens import WordTokenizerWithSpecials, shared
 
 # Rows of one length are numbered in cells of about this many rows each.
 ROWS_PER_CELL = 50_000
+ROW = "_packing_row"
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, copies), ...) and the number of sequences filled so
 
 
@@ -149,16 +150,17 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return patterns
 
 
-def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """``pieces`` with sequence_id and offset, gapless from 0 in each sequence, in as few sequences as the plan finds.
 
     Only the counts of the lengths reach the driver. Pieces of one length are interchangeable: each gets its number among
     them (from counts of cells, so a length that holds a third of all rows is numbered by many tasks) and the
     pattern that covers that number gives its place. Lengths outside 1..capacity raise an error. Repeated pieces are
-    placed separately. An empty input gives an empty result. Columns named sequence_id or offset are replaced.
+    placed separately. An empty input gives an empty result. Columns named sequence_id, offset or ``_packing_row`` are replaced.
     """
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    pieces = stored(pieces.select(*kept), "pieces")
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset", ROW)]
+    # a number for each row, fixed in the stored table: equal rows are told apart and dealt over all cells
+    pieces = stored(pieces.select(*kept, F.monotonically_increasing_id().alias(ROW)), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
     if wrong := [n for n in counts if n is None or not 1 <= n <= capacity]:
         raise ValueError(f"lengths outside 1..{capacity}: {wrong[:5]}")
@@ -175,11 +177,11 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
     places = pieces.sparkSession.sparkContext.broadcast({k: np.array(v, dtype=np.int64) for k, v in slots.items()})
 
     cells = max(1, sum(counts.values()) // ROWS_PER_CELL)
-    dealt = pieces.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
+    dealt = pieces.withColumn("_cell", F.pmod(F.xxhash64(ROW), F.lit(cells)))
     before = Window.partitionBy(length).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     first = dealt.groupBy(length, "_cell").count().select(
         length, "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy(length, "_cell").orderBy(*order)) - 1
+    within = F.row_number().over(Window.partitionBy(length, "_cell").orderBy(ROW)) - 1
     numbered = (dealt.withColumn("_within", within).join(first, [length, "_cell"])
                 .select(*kept, (F.col("_first") + F.col("_within")).alias("_rank")))
     schema = StructType([*(pieces.schema[c] for c in kept), StructField("sequence_id", LongType()), StructField("offset", LongType())])

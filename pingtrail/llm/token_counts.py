@@ -48,7 +48,8 @@ def count_by_section(docs: DataFrame, path: str, text: str = "text", *, rule: st
                      keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row a line of each text: the columns ``keep``, section (from 0), start and end in characters, n_tokens.
 
-    Each text is encoded once as a whole, so the counts of its lines add up to its tokens. A null or empty text gives
+    Each text is encoded once as a whole, so the counts of its lines add up to its tokens. Strings like ``<|endoftext|>`` in a
+    text are plain text here, not special tokens (packing, whose ids go to a model, finds them). A null or empty text gives
     no row. A line without a token of its own counts 0. Repeated rows give repeated results; columns other than
     ``keep`` and the text are not read.
     """

@@ -23,18 +23,27 @@ def _load(path: str, plain_specials: bool = True):
 
 
 class Remembered:
-    """A two-generation memory: when the young half is full it becomes the old half."""
+    """A two-generation memory: when the young half is full it becomes the old half.
 
-    def __init__(self, entries: int) -> None:
-        self.half, self.young, self.old = entries // 2, {}, {}
+    The bound is in bytes; ``ENTRY`` is about what a key, a value and their place in a table take besides their content.
+    Keys of more than ``LONGEST`` characters are not kept, as they hardly come again.
+    """
+
+    ENTRY, LONGEST = 200, 256
+
+    def __init__(self, most_bytes: int) -> None:
+        self.half, self.bytes, self.young, self.old = most_bytes // 2, 0, {}, {}
 
     def get(self, key: str):
         found = self.young.get(key)
         return self.old.get(key) if found is None else found
 
     def put(self, key: str, value) -> None:
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
+        if len(key) > self.LONGEST:
+            return
+        if self.bytes >= self.half:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        self.bytes += self.ENTRY + 4 * len(key) + len(value)
         self.young[key] = value
 
 
@@ -55,7 +64,7 @@ class WordTokenizer:
 
     plain_specials = True
 
-    def __init__(self, path: str, entries: int = 1_500_000) -> None:
+    def __init__(self, path: str, most_bytes: int = 160 << 20) -> None:
         self.tokenizer = _load(path, self.plain_specials)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and self.plain_specials)]
         if any(re.search(r"\s", content) for content in added):
@@ -63,7 +72,7 @@ class WordTokenizer:
         # a token that is matched after normalising is in lower case there
         self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)", re.IGNORECASE).search
         self.model = self.tokenizer.model
-        self.pieces, self.parts = Remembered(entries), Remembered(entries)
+        self.pieces, self.parts = Remembered(most_bytes // 2), Remembered(most_bytes // 2)
         self.letters = {ord(chr(b)): c for b, c in byte_letters().items()}
 
     def _part(self, part: str) -> bytes:
@@ -111,12 +120,12 @@ class OffsetTokenizer:
     several tokens share belongs to each of them.
     """
 
-    def __init__(self, path: str, entries: int = 600_000) -> None:
+    def __init__(self, path: str, most_bytes: int = 160 << 20) -> None:
         from tokenizers import pre_tokenizers
 
         self.tokenizer = _load(path)
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)
-        self.known = Remembered(entries)
+        self.known = Remembered(most_bytes)
         self.white = re.compile(r"\s ").search
         self.runs = re.compile(r"\s*\S+|\s+").findall
 

@@ -3,8 +3,11 @@
 import hashlib
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_duplicates import brute_minhash, brute_repeats
 
+from pingtrail.llm.common import shared_folder, stored
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -57,6 +60,46 @@ def test_repeated_rows_and_nulls(spark):
     assert sorted(str(r.doc_id) for r in cut) == ["1", "1", "1", "2", "None", "None"]
 
 
+NAMES = ["kept_rows", "kept_id", "kept_hash", "quality_score", "lang_pred", "score", "margin", "lang_rejected", "key", "document", "kept", "class", "a b"]
+
+
+def test_columns_of_documents_survive_whatever_their_names(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for name in NAMES:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    names = {r.doc_id: r for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, FOLDER), "test-clash")
+        rows = docs.collect()
+        assert docs.columns == names[0].__fields__ and len(rows) > 50
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in NAMES)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() >= len(rows)
+
+
+def test_empty_table(spark):
+    folder = shared_folder(spark, "test-empty")
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_first_stages_on_odd_rows(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    whole = docs.where("lang IS NOT NULL").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (900_001, "12 \u00bd !!", "en", "s", 8)], docs.schema)
+    both = whole.unionByName(odd).unionByName(whole.limit(1)).unionByName(whole.limit(1))
+    first = whole.first().doc_id
+    kept = corpus_pipeline.keep_identified_languages(spark, both, FOLDER).collect()
+    assert not [r for r in kept if r.doc_id in (None, 900_001)] and sum(r.doc_id == first for r in kept) in (0, 3)
+    good = corpus_pipeline.keep_good_quality(spark, both, FOLDER).collect()
+    assert sum(r.doc_id == first for r in good) in (0, 3) and sum(r.doc_id is None for r in good) in (0, 2)
+    packed = corpus_pipeline.pack_sequences(spark, odd, FOLDER).collect()
+    assert sorted(r.length for r in packed)[:2] == [1, 1] and len(packed) == 3
+
+
 def test_run(spark):
     packed = corpus_pipeline.run(spark, FOLDER)
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and packed.count() > 0

@@ -9,11 +9,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from pingtrail.llm import bpe, packing, token_counts
 from pingtrail.llm.queries import QUERIES
-from pingtrail.llm.tokens import OffsetTokenizer, WordTokenizer
+from pingtrail.llm.tokens import OffsetTokenizer, Remembered, WordTokenizer
 
 FOLDER = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -132,6 +133,39 @@ def test_token_counts_odd_rows(frame):
         token_counts.count_by_section(docs, BYTES, rule="half")
 
 
+def test_token_counts_read_special_tokens_as_text(frame):
+    texts = ["a <|endoftext|> b\n<|endoftext|>", "<|endoftext|>"]
+    own = Tokenizer.from_file(BYTES)
+    own.encode_special_tokens = True
+    found = token_counts.count_by_section(frame(list(enumerate(texts)), "doc_id long, text string"), BYTES).collect()
+    for i, text in enumerate(texts):
+        assert sum(r.n_tokens for r in found if r.doc_id == i) == len(own.encode(text, add_special_tokens=False).ids) > 3
+
+
+def test_memories_are_bounded_by_bytes():
+    memory = Remembered(1 << 20)
+    for i in range(50_000):
+        memory.put(f"key {i}", b"x" * 40)
+        memory.put("long " * 100 + str(i), b"x" * 40)
+    assert 1000 < len(memory.young) + len(memory.old) <= (1 << 20) // Remembered.ENTRY and memory.get("key 49999") and not memory.get("key 1")
+    words, bytes_ = WordTokenizer(WORDS), bpe.Encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    for _ in range(40):
+        text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=60_000))
+        words.encode(text)
+        bytes_.encode([text])
+    held = [words.pieces, words.parts, bytes_.pieces, bytes_.pretokens]
+    assert sum(len(k) for m in held for half in (m.young, m.old) for k in half) < 3_000_000
+
+
+def test_merges_of_long_pretokens_in_parts(monkeypatch):
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    monkeypatch.setattr(bpe, "MERGED_BYTES", 300)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcé日", k=n)) for n in (10, 250, 290, 3000, 40)] + ["a" * 1500, "word other words " * 30]
+    assert [list(ids) for ids in bpe.Encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN).encode(texts)] == [own.encode_ordinary(t) for t in texts]
+
+
 def check_packing(rows, capacity):
     places = {}
     for r in rows:
@@ -148,7 +182,6 @@ def check_packing(rows, capacity):
 def test_packing_query(spark):
     rows = QUERIES["op7_packing"](spark, FOLDER).collect()
     own = Tokenizer.from_file(WORDS)
-    own.encode_special_tokens = True
     want = {}
     for doc_id, text in documents(spark).items():
         ids = [*own.encode(text, add_special_tokens=False).ids, 1]
@@ -197,6 +230,18 @@ def test_pack_numbers_rows_of_one_length_over_cells(frame, monkeypatch):
     assert check_packing(packing.pack(pieces, 13).collect(), 13) == math.ceil(101 / 3)
 
 
+def test_pack_deals_equal_rows_over_cells(frame, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_CELL", 10)
+    made = {}
+    real = packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df, name: made.setdefault(name, real(df, name)))
+    pieces = frame([(None, 0, 0, 1, 7)] * 400, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    found = packing.pack(pieces, 16).collect()
+    assert check_packing(found, 16) == 25 and len(found) == 400
+    cells = made["pieces"].groupBy(F.pmod(F.xxhash64(packing.ROW), F.lit(40)).alias("cell")).count().collect()
+    assert len(cells) > 35 and max(r["count"] for r in cells) < 30
+
+
 def test_packing_finds_special_tokens_in_texts(frame):
     own, rng = Tokenizer.from_file(WORDS), random.Random(5)
     texts = ["see <|endoftext|> here x<|startoftext|>y", "<|endoftext|><|endoftext|>", "<|EndOfText|> A<|endoftext|>!!", "<|endoftext|", *odd_texts(300)]
