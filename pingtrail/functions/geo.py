@@ -18,7 +18,8 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     p1, p2 = F.radians(col(lat1)), F.radians(col(lat2))
     dp, dl = p2 - p1, F.radians(col(lon2)) - F.radians(col(lon1))
     h = F.sin(dp / 2) * F.sin(dp / 2) + F.cos(p1) * F.cos(p2) * F.sin(dl / 2) * F.sin(dl / 2)
-    return 2 * EARTH_RADIUS * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    # least() passes over nulls
+    return F.when(h.isNotNull(), 2 * EARTH_RADIUS * F.asin(F.least(F.sqrt(h), F.lit(1.0))))
 
 
 def _bind(value: Column, body) -> Column:
@@ -29,7 +30,7 @@ def _bind(value: Column, body) -> Column:
 def geodesic_m(lat1, lon1, lat2, lon2, iters: int = 8) -> Column:
     """Vincenty inverse distance in metres with a fixed number of iterations.
 
-    Coincident points give 0. Where the iteration has not settled (near-antipodal points) the
+    Coincident points give 0; a missing coordinate gives null. Where the iteration has not settled (near-antipodal points) the
     great-circle distance is returned.
     """
     lat1, lon1, lat2, lon2 = (col(c).cast("double") for c in (lat1, lon1, lat2, lon2))

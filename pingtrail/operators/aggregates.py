@@ -114,7 +114,7 @@ def vanishing_bearing(
     joined = df.join(departures, key, "right").where(
         (F.col("ts") >= F.col("ts_depart")) & (F.col("recvDeployName") == station)
     )
-    used = joined.distinct().withColumn("sig_norm", normalised_signal("sig", **bounds))
+    used = joined.withColumn("sig_norm", normalised_signal("sig", **bounds))
     return bearing_summary(used, [key, "recvDeployName", "recvDeployLat", "recvDeployLon"])
 
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pingtrail.operators.quantiles import group_quantiles
 from pingtrail.session import checkpointed, measured
 
 __all__ = [
     "bootstrap_slope", "breakpoint", "count_profile", "group_quantiles", "ols", "poisson_glm",
-    "quantile_fit",
+    "quantile_fit", "quantile_lines",
 ]
 
 
@@ -165,6 +166,181 @@ def quantile_fit(
     )
 
 
+def quantile_lines(df: DataFrame, x: str, y: str, taus: list[float], most_rows: int = 20_000) -> DataFrame:
+    """One row (tau, intercept, slope) for each of ``taus``, 0 and 1 included: exact linear quantile regressions, all in the same passes.
+
+    Equal (x, y) are counted first. For 0 < tau < 1 each fit keeps a band of residuals in which its line must lie. Rows above or below
+    the band enter as sums alone, as only their side matters. Of the rows in the band at most about ``most_rows`` a fit, picked by
+    hash, reach the driver, where their fit is solved exactly; it narrows the band to a few per cent of its rows. Once all rows of the band
+    are there the line is final if every row outside lies on its side, which one more pass checks. If not, the band is made wider
+    and twice as many rows may be fetched. So the number of passes grows with the logarithm of the rows.
+
+    tau 0 and 1 are the limits: of all lines below (above) every row the one with the least sum of residuals. It runs along
+    the edge of the convex hull at the mean of x, which is found by bridging: the row farthest beyond the line through a left and a
+    right row replaces the one on its side, until no row lies beyond.
+
+    Rows with a null or NaN are not used. Without any row the result is empty; with one x only a ValueError is raised. Where several
+    lines are equally good one of them is returned.
+    """
+    if any(not 0 <= t <= 1 for t in taus):
+        raise ValueError("tau must be from 0 to 1")
+    spark = df.sparkSession
+    values = df.select(F.nanvl(F.col(x).cast("double"), F.lit(None)).alias("x"), F.nanvl(F.col(y).cast("double"), F.lit(None)).alias("y")).dropna()
+    used = measured(values.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    whole = used.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"),
+                     F.sum(F.col("x") * F.col("n")).alias("x")).first()
+    schema = "tau double, intercept double, slope double"
+    if not whole["rows"]:
+        return spark.createDataFrame([], schema)
+    if whole["low"] == whole["high"]:
+        raise ValueError("the slope is not identified: x is constant")
+    lines = {t: _hull_edge(used, 1 if t == 0 else -1, whole["x"] / whole["n"]) for t in {t for t in taus if t in (0, 1)}}
+    bands = {t: (0.0, 0.0, -math.inf, math.inf) for t in {t for t in taus if 0 < t < 1}}
+    limits = dict.fromkeys(bands, most_rows)
+
+    def widen(t: float, centre: tuple[float, float]) -> None:
+        low, high = bands[t][2:]
+        wider = 4 * max((abs(v) for v in (low, high) if math.isfinite(v)), default=0.0) + 1e-9
+        bands[t] = (*centre, -wider if math.isfinite(low) else low, wider if math.isfinite(high) else high)
+        limits[t] *= 2
+
+    for step in range(60):
+        todo = [t for t in sorted(bands) if t not in lines]
+        if not todo:
+            break
+        sums = _around(used, [(bands[t], None) for t in todo])
+        chosen = _inside(used, [(bands[t], s["rows"], limits[t]) for t, s in zip(todo, sums, strict=True)], step)
+        found = {}
+        for t, s, rows in zip(todo, sums, chosen, strict=True):
+            line = _small_fit(t, rows, s["above"], s["above_x"], s["below"], s["below_x"])
+            if line is None:  # the line is not in the band
+                widen(t, bands[t][:2])
+            elif s["rows"] <= limits[t]:
+                found[t] = line
+            else:  # a part of the band: narrow it around the new line
+                rest = sorted(q - line[0] - line[1] * p for p, q, _ in rows)
+                at, reach = sum(r < 0 for r in rest), int(3 * math.sqrt(len(rest) * limits[t] / most_rows)) + 2
+                bands[t] = (*line, rest[at - reach] if at >= reach else -math.inf, rest[at + reach] if at + reach < len(rest) else math.inf)
+                if 4 * reach > len(rest):  # too few rows to narrow it by
+                    limits[t] *= 2
+        checks = _around(used, [(bands[t], found[t]) for t in found]) if found else []
+        for (t, line), check in zip(found.items(), checks, strict=True):
+            if check["wrong"]:
+                widen(t, line)
+            else:
+                lines[t] = line
+    else:
+        raise ValueError("no settled lines")
+    return spark.createDataFrame([(float(t), *map(float, lines[t])) for t in taus], schema)
+
+
+def _residual(line) -> Column:
+    return F.col("y") - F.lit(float(line[0])) - F.lit(float(line[1])) * F.col("x")
+
+
+def _around(used: DataFrame, bands: list) -> list[dict]:
+    """For each band the rows in it, count and sum of x above and below it, and the rows outside that lie on the wrong side of a line."""
+    out = []
+    for i, (band, line) in enumerate(bands):
+        r, n = _residual(band), F.col("n")
+        above, below = r > band[3], r < band[2]
+        parts = {"rows": F.count_if(~above & ~below), "above": F.sum(F.when(above, n)), "above_x": F.sum(F.when(above, n * F.col("x"))),
+                 "below": F.sum(F.when(below, n)), "below_x": F.sum(F.when(below, n * F.col("x")))}
+        if line is not None:
+            parts["wrong"] = F.count_if((above & (_residual(line) < 0)) | (below & (_residual(line) > 0)))
+        out += [F.coalesce(c, F.lit(0)).alias(f"{k}_{i}") for k, c in parts.items()]
+    row = used.agg(*out).first()
+    return [{k: row[f"{k}_{i}"] for k in ("rows", "above", "above_x", "below", "below_x", *(["wrong"] if bands[i][1] is not None else []))} for i in range(len(bands))]
+
+
+def _inside(used: DataFrame, bands: list, step: int) -> list[list[tuple[float, float, float]]]:
+    """(x, y, weight) of the rows of each band, or of about as many as its limit, by hash, with weights to make up for the rest."""
+    draw = F.pmod(F.xxhash64("x", "y", F.lit(step)), F.lit(1 << 30))
+    picks = []
+    for i, (band, rows, limit) in enumerate(bands):
+        r = _residual(band)
+        here = (r >= band[2]) & (r <= band[3])
+        picks.append(F.when(here if rows <= limit else here & (draw < int((1 << 30) * limit / rows)), F.lit(i)))
+    found: list[list] = [[] for _ in bands]
+    for row in used.select(F.explode(F.array_compact(F.array(*picks))).alias("fit"), "x", "y", "n").collect():
+        scale = max(1.0, bands[row["fit"]][1] / bands[row["fit"]][2])
+        found[row["fit"]].append((row["x"], row["y"], row["n"] * scale))
+    return found
+
+
+def _small_fit(tau: float, rows: list, above: float, above_x: float, below: float, below_x: float) -> tuple[float, float] | None:
+    """Exact fit of a few weighted rows beside many whose side of the line is known; None if these pull it away without end.
+
+    The loss is convex in the slope (with the best intercept for each), so its slope is halved in on; the best line then
+    runs through two of the rows next to it.
+    """
+    if not rows:
+        return None
+    x, y, w = (np.array(c, dtype=float) for c in zip(*rows, strict=True))
+    lean, lean_x = tau * above - (1 - tau) * below, tau * above_x - (1 - tau) * below_x
+    target = tau * w.sum() + lean
+    if not 0 < target < w.sum():
+        return None
+
+    def at(b: float):
+        r = y - b * x
+        order = np.argsort(r, kind="stable")
+        k = min(int(np.searchsorted(np.cumsum(w[order]), target * (1 - 1e-14))), len(order) - 1)
+        a = r[order[k]]
+        pull = np.where(r > a, tau, tau - 1) * w
+        pull[r == a] = 0
+        tie = r == a
+        rest = -lean - pull.sum()  # what the rows on the line must pull
+        return a, -(pull @ x + rest * np.average(x[tie], weights=w[tie])) - lean_x
+
+    def loss(a: float, b: float) -> float:
+        r = y - a - b * x
+        return float(w @ (np.maximum(tau * r, (tau - 1) * r)) - lean * a - lean_x * b)
+
+    spread = (y.max() - y.min() + 1e-300) / max(x.max() - x.min(), 1e-300)
+    low, high = -spread, spread
+    for _ in range(60):
+        if at(low)[1] <= 0 <= at(high)[1]:
+            break
+        low, high = 2 * low, 2 * high
+    else:
+        return None
+    for _ in range(200):
+        middle = (low + high) / 2
+        if middle in (low, high):
+            break
+        if at(middle)[1] > 0:
+            high = middle
+        else:
+            low = middle
+    best = min(((loss(at(b)[0], b), at(b)[0], b) for b in (low, high)))
+    near = np.argsort(np.abs(y - best[1] - best[2] * x), kind="stable")[:6]
+    for i in near:
+        for j in near:
+            if x[i] < x[j]:
+                b = (y[j] - y[i]) / (x[j] - x[i])
+                best = min(best, (loss(y[i] - b * x[i], b), y[i] - b * x[i], b))
+    return float(best[1]), float(best[2])
+
+
+def _hull_edge(used: DataFrame, side: int, middle: float) -> tuple[float, float]:
+    """The line along the lower (side 1) or upper (side -1) convex hull of all rows at ``middle``; a pass for each corner it moves over."""
+    height = F.col("y") * side
+    ends = used.agg(F.min_by(F.struct("x", "y"), F.struct("x", height)).alias("a"), F.min_by(F.struct("x", "y"), F.struct(-F.col("x"), height)).alias("b")).first()
+    left, right = (ends["a"]["x"], ends["a"]["y"] * side), (ends["b"]["x"], ends["b"]["y"] * side)
+    while True:
+        slope = (right[1] - left[1]) / (right[0] - left[0])
+        beyond = height - F.lit(slope) * F.col("x")
+        far = used.agg(F.min_by(F.struct("x", "y"), beyond).alias("p"), F.min(beyond).alias("d")).first()
+        point = (far["p"]["x"], far["p"]["y"] * side)
+        if far["d"] >= min(left[1] - slope * left[0], right[1] - slope * right[0]) or point in (left, right):
+            return side * (left[1] - slope * left[0]), side * slope
+        if point[0] <= middle:
+            left = point
+        else:
+            right = point
+
+
 def breakpoint(df: DataFrame, x: str, y: str, grid: list[float]) -> DataFrame:
     """One row (psi, rss, intercept, slope, slope_change): best single-break fit over ``grid``.
 

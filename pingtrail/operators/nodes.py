@@ -108,7 +108,7 @@ def weighted_location(
     located = per_node.groupBy("TagId", "freq").agg(
         (F.sum(w * F.col("node_lng")) / F.sum(w)).alias("avg_x"),
         (F.sum(w * F.col("node_lat")) / F.sum(w)).alias("avg_y"),
-        F.count_distinct("NodeId").alias("unique_nodes"),
+        F.count("NodeId").alias("unique_nodes")  # a row is a node,
     )
     return located.where(F.col("unique_nodes") > min_nodes)
 
@@ -125,7 +125,7 @@ def calibrate(
 
 
 def fit_relation(calibrated: DataFrame) -> DataFrame:
-    """One row: RSSI = intercept + slope x ln(distance)."""
+    """One row: RSSI = intercept + slope x ln(distance), and the range of distances that it was fitted on."""
     used = calibrated.where("distance > 0 AND TagRSSI IS NOT NULL").select(
         "TagRSSI", F.log("distance").alias("x")
     )
@@ -134,19 +134,31 @@ def fit_relation(calibrated: DataFrame) -> DataFrame:
         F.regr_intercept("TagRSSI", "x").alias("intercept"),
         F.regr_r2("TagRSSI", "x").alias("r2"),
         F.count(F.lit(1)).alias("n"),
+        F.exp(F.min("x")).alias("nearest"),
+        F.exp(F.max("x")).alias("farthest"),
     )
 
 
+def predicted_distance(relation: DataFrame, rssi: Column) -> Column:
+    """Metres at which the relation (one row) expects this signal."""
+    of = lambda c: relation.select(c).scalar()
+    log = F.try_divide(rssi - of("intercept"), of("slope"))
+    if {"nearest", "farthest"} <= set(relation.columns):
+        log = F.least(F.greatest(log, F.log(of("nearest"))), F.log(of("farthest")))
+    return F.when(rssi.isNotNull(), F.exp(log))
+
+
 def multilaterate(resampled: DataFrame, relation: DataFrame) -> DataFrame:
     """Least-squares position per tag and bin from distances predicted by ``relation`` (one row).
 
+    Where the relation tells the range it was fitted on (nearest, farthest), distances stay within it: a logarithm that
+    is extrapolated soon leaves the earth.
+
     Linearised range equations: two normal equations from grouped sums, solved in closed form. Null
     below three nodes or when they are collinear. Window and sums share one exchange on (tag, bin),
     whose groups hold one row per node.
     """
     bin_nodes = Window.partitionBy("TagId", "freq")
-    slope = relation.select("slope").scalar()
-    intercept = relation.select("intercept").scalar()
     x, y = local_xy_m("node_lat_mode", "node_lng_mode", "lat0", "lng0")
     pts = (
         resampled.withColumns(
@@ -155,7 +167,7 @@ def multilaterate(resampled: DataFrame, relation: DataFrame) -> DataFrame:
                 "lng0": F.avg("node_lng_mode").over(bin_nodes),
             }
         )
-        .withColumn("d", F.exp((F.col("TagRSSI_max") - intercept) / slope))
+        .withColumn("d", predicted_distance(relation, F.col("TagRSSI_max")))
         .withColumns({"x": x, "y": y})
         .withColumn("q", F.col("x") * F.col("x") + F.col("y") * F.col("y")
                     - F.col("d") * F.col("d"))

@@ -387,7 +387,7 @@ SUN_NAMES = ["ts_since_rise", "ts_to_rise", "ts_since_set", "ts_to_set"]
     "Q4_simultaneous_with_sun",
     q(DET, TRANS, NEAR, THREE, BURST,
       """pools AS (SELECT motusTagID, (us + 10800000000) - (us + 10800000000) % 21600000000 AS us,
-        count(*) AS n FROM burst GROUP BY ALL HAVING count(*) >= 1)""",
+        count(*) AS n FROM burst GROUP BY ALL HAVING count(*) > 2)""",
       *relative_sun("pools", "36.37e0", "-102.8e0"),
       body="SELECT motusTagID, ts, n, " + ", ".join(r6(c, c, 4) for c in SUN_NAMES) + " FROM rel"),
 )
@@ -396,7 +396,7 @@ def _(t):
         "motusTagID", "ts", "recvDeployName", "sig", "hitID", "antBearing", "port"
     )
     rows = an.angulated(used, 18000, 17640, 14400, 7200, slice_s=WEEK)
-    pooled = an.pooled_with_sun(rows, 21600, 1)
+    pooled = an.pooled_with_sun(rows, 21600)
     return pooled.select("motusTagID", "ts", "n", *[F.round(c, 4).alias(c) for c in SUN_NAMES])
 
 
@@ -410,25 +410,23 @@ def _(t):
         sum(w * sin(radians(antBearing))) AS s, sum(w * cos(radians(antBearing))) AS c,
         count(w * antBearing) = count(*) AS complete, count(*) AS n,
         (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000e0 AS seconds_used FROM (
-            SELECT *, (sig + 78.0691e0) / (78.0691e0 - 17.8707e0) AS w FROM detections
-            WHERE antBearing IS NOT NULL) d
+            SELECT *, (sig + 78.0691e0) / (78.0691e0 - 17.8707e0) AS w FROM detections) d
         JOIN departures p ON d.motusTagID = p.motusTagID AND ts >= ts_depart
         WHERE speciesEN IS NOT NULL AND tagDeployTest = 0 AND tagProjName = 'Plains'
         AND recvDeployName = 'Tumbleweed' GROUP BY ALL)"""),
 )
 def _(t):
-    yagi = flt.with_bearing(t.detections)
-    return an.vanishing(yagi, t.departures, "Tumbleweed", "Plains")
+    return an.vanishing(t.detections, t.departures, "Tumbleweed", "Plains")
 
 
 @query(
     "A9_circular_mean",
-    q(DET, body=f"""SELECT recvDeployName, {r6(wrap360('degrees(atan2(avg(sin(radians(antBearing))),'
-        ' avg(cos(radians(antBearing)))))'), 'mean_bearing')} FROM detections
-        WHERE antBearing IS NOT NULL GROUP BY recvDeployName"""),
+    q(DET, body=f"""SELECT recvDeployName, {r6('CASE WHEN count(antBearing) = count(*) THEN '
+        + wrap360('degrees(atan2(avg(sin(radians(antBearing))), avg(cos(radians(antBearing)))))') + ' END', 'mean_bearing')}
+        FROM detections GROUP BY recvDeployName"""),
 )
 def _(t):
-    return flt.with_bearing(t.detections).groupBy("recvDeployName").agg(
+    return t.detections.groupBy("recvDeployName").agg(
         circular_mean("antBearing").alias("mean_bearing")
     )
 

@@ -21,11 +21,9 @@ DET, TAGS, DEPS, RECV = "detections", "tags", "tag_deployments", "receiver_deplo
 
 
 @query("J3_left_join_on_tag", q(DET, "departures", body="""SELECT hitID, d.motusTagID,
-    epoch_us(ts_depart) AS ts_depart FROM detections d LEFT JOIN (SELECT * FROM departures
-    WHERE ts_depart >= TIMESTAMP '2024-01-06 12:00:00') p ON d.motusTagID = p.motusTagID"""))
+    epoch_us(ts_depart) AS ts_depart FROM detections d LEFT JOIN departures p ON d.motusTagID = p.motusTagID"""))
 def _(t):
-    late = t.departures.where("ts_depart >= '2024-01-06 12:00:00'")
-    return t.detections.select("hitID", "motusTagID").join(late, "motusTagID", "left")
+    return t.detections.select("hitID", "motusTagID").join(t.departures, "motusTagID", "left")
 
 
 @query("J4_right_join_filtered", q(DET, "departures", body="""SELECT hitID, p.motusTagID
@@ -325,6 +323,12 @@ def _(t):
     return models.quantile_fit(_activity(t), "runLen", "ts_since_rise", 0.5)
 
 
+@query("M4_quantile_regression_all_taus")
+def _(t):
+    """Lines at tau 0, 0.1, ... 1, fitted in the same passes."""
+    return models.quantile_lines(_activity(t), "runLen", "ts_since_rise", _TAUS)
+
+
 _GRID = [0.5 * i for i in range(2, 46)]
 
 

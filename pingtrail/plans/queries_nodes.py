@@ -12,6 +12,7 @@ from pingtrail.plans import analyses as an
 from pingtrail.plans.oracle import LABELS, NODES_CTE, query as q, r6, solar_day, sun
 from pingtrail.plans.queries_events import TIME_OF_DAY, TWILIGHT
 from pingtrail.plans.registry import query, scratch
+from pingtrail.session import measured
 from pingtrail.streaming import streams
 
 DET = "detections"
@@ -66,14 +67,12 @@ def _(t):
 
 @query("L2_sunrise_sunset_per_detection", q(DET,
     f"""dated AS (SELECT hitID, recvDeployLat, recvDeployLon,
-        {solar_day('ts', 'recvDeployLon')} AS day FROM detections
-        WHERE recvDeployLat IS NOT NULL AND recvDeployLon IS NOT NULL)""",
+        {solar_day('ts', 'recvDeployLon')} AS day FROM detections)""",
     f"cal AS ({sun('dated', 'day', 'recvDeployLat', 'recvDeployLon', RISE_SET)})",
     body="""SELECT hitID, CAST(floor(sunrise / 1000e0) AS BIGINT) AS sunrise,
         CAST(floor(sunset / 1000e0) AS BIGINT) AS sunset FROM cal"""))
 def _(t):
-    placed = t.detections.where("recvDeployLat IS NOT NULL AND recvDeployLon IS NOT NULL")
-    lit = solar.with_sun(placed.select("hitID", "ts", "recvDeployLat", "recvDeployLon"))
+    lit = solar.with_sun(t.detections.select("hitID", "ts", "recvDeployLat", "recvDeployLon"))
     return lit.select(
         "hitID",
         *[F.floor(F.unix_micros(c) / 1000.0).cast("bigint").alias(c) for c in RISE_SET],
@@ -119,11 +118,10 @@ _EAST, _NORTH = _utm_sql("recvDeployLat", "recvDeployLon")
 
 
 @query("L6_utm_projection", q(DET, body=f"""SELECT hitID, {r6(_EAST, 'easting', 3)},
-    {r6(_NORTH, 'northing', 3)} FROM detections WHERE recvDeployLat IS NOT NULL"""))
+    {r6(_NORTH, 'northing', 3)} FROM detections"""))
 def _(t):
     east, north = geo.to_utm("recvDeployLat", "recvDeployLon", 13)
-    placed = t.detections.where("recvDeployLat IS NOT NULL")
-    return placed.select(
+    return t.detections.select(
         "hitID", F.round(east, 3).alias("easting"), F.round(north, 3).alias("northing")
     )
 
@@ -155,24 +153,22 @@ def vincenty_sql(source: str, p1: tuple[str, str], p2: tuple[str, str], iters: i
 
 
 PLACED = f"""placed AS (SELECT hitID, recvDeployLat AS a1, recvDeployLon AS o1, tagDepLat AS a2,
-    tagDepLon AS o2 FROM {DET} WHERE recvDeployLat IS NOT NULL)"""
+    tagDepLon AS o2 FROM {DET})"""
 
 
 @query("L5_geodesic_distance", q(DET, PLACED, *vincenty_sql("placed", ("a1", "o1"), ("a2", "o2")),
     body=f"SELECT hitID, {r6('m / 1000', 'km', 5)} FROM measured"))
 def _(t):
-    placed = t.detections.where("recvDeployLat IS NOT NULL")
     km = geo.geodesic_m("recvDeployLat", "recvDeployLon", "tagDepLat", "tagDepLon") / 1000.0
-    return placed.select("hitID", F.round(km, 5).alias("km"))
+    return t.detections.select("hitID", F.round(km, 5).alias("km"))
 
 
-@query("L5_haversine_distance", q(DET, PLACED, body=f"""SELECT hitID, {r6('''2 * 6371.0088e0 * asin(
-    least(sqrt(sin(radians(a2 - a1) / 2) ** 2 + cos(radians(a1)) * cos(radians(a2))
-    * sin(radians(o2 - o1) / 2) ** 2), 1))''', 'km', 5)} FROM placed"""))
+@query("L5_haversine_distance", q(DET, PLACED, body=f"""SELECT hitID, {r6('''CASE WHEN a1 + o1 + a2 + o2 IS NOT NULL THEN
+    2 * 6371.0088e0 * asin(least(sqrt(sin(radians(a2 - a1) / 2) ** 2 + cos(radians(a1)) * cos(radians(a2))
+    * sin(radians(o2 - o1) / 2) ** 2), 1)) END''', 'km', 5)} FROM placed"""))
 def _(t):
-    placed = t.detections.where("recvDeployLat IS NOT NULL")
     km = geo.haversine_m("recvDeployLat", "recvDeployLon", "tagDepLat", "tagDepLon") / 1000.0
-    return placed.select("hitID", F.round(km, 5).alias("km"))
+    return t.detections.select("hitID", F.round(km, 5).alias("km"))
 
 
 # ---- node activity ------------------------------------------------------------------------------
@@ -321,16 +317,20 @@ def _(t):
 @query("N4_signal_distance_relation", q("beeps", "calibration", NODES_CTE, CALIBRATED, body=f"""SELECT
     {r6('regr_slope(TagRSSI, ln(distance))', 'slope')},
     {r6('regr_intercept(TagRSSI, ln(distance))', 'intercept')},
-    {r6('regr_r2(TagRSSI, ln(distance))', 'r2')}, count(*) AS n FROM cal WHERE distance > 0"""))
+    {r6('regr_r2(TagRSSI, ln(distance))', 'r2')}, count(*) AS n,
+    {r6('min(distance)', 'nearest', 4)}, {r6('max(distance)', 'farthest', 3)} FROM cal WHERE distance > 0"""))
 def _(t):
-    return nd.fit_relation(nd.calibrate(t.beeps, t.calibration, t.nodes, 172800.0))
+    fit = nd.fit_relation(nd.calibrate(t.beeps, t.calibration, t.nodes, 172800.0))
+    return fit.withColumns({"nearest": F.round("nearest", 4), "farthest": F.round("farthest", 3)})
 
 
-@query("N5_multilateration", q("beeps", NODES_CTE, resampled_sql(),
+@query("N5_multilateration", q("beeps", "calibration", NODES_CTE, CALIBRATED, resampled_sql(),
+    """rel AS (SELECT regr_slope(TagRSSI, ln(distance)) AS slope, regr_intercept(TagRSSI, ln(distance)) AS intercept,
+        ln(min(distance)) AS low, ln(max(distance)) AS high FROM cal WHERE distance > 0)""",
     """pts AS (SELECT *, x * x + y * y - d * d AS q FROM (SELECT *,
         6371008.8e0 * radians(node_lng_mode - lng0) * cos(radians(lat0)) AS x,
-        6371008.8e0 * radians(node_lat_mode - lat0) AS y, exp((mx + 20) / -10e0) AS d FROM (
-        SELECT *, avg(node_lat_mode) OVER w AS lat0, avg(node_lng_mode) OVER w AS lng0 FROM res
+        6371008.8e0 * radians(node_lat_mode - lat0) AS y, exp(least(greatest((mx - intercept) / slope, low), high)) AS d FROM (
+        SELECT *, avg(node_lat_mode) OVER w AS lat0, avg(node_lng_mode) OVER w AS lng0 FROM res, rel
         WINDOW w AS (PARTITION BY TagId, freq))))""",
     """sums AS (SELECT TagId, freq, count(*) AS n_nodes, any_value(lat0) AS lat0,
         any_value(lng0) AS lng0, covar_samp(x, x) AS xx, covar_samp(y, y) AS yy,
@@ -343,7 +343,8 @@ def _(t):
         / (2 * (xx * yy - xy * xy)) / (6371008.8e0 * cos(radians(lat0)))) END''', 'lng', 5)}
         FROM sums"""))
 def _(t):
-    relation = t.spark.range(1).select(F.lit(-10.0).alias("slope"), F.lit(-20.0).alias("intercept"))
+    """Calibrate, relate, locate: distances come from the relation that the calibration sessions give."""
+    relation = measured(nd.fit_relation(nd.calibrate(t.beeps, t.calibration, t.nodes, 172800.0)))
     out = nd.multilaterate(nd.resample_beeps(t.beeps, t.nodes, THIRTY), relation)
     return out.withColumns({"lat": F.round("lat", 5), "lng": F.round("lng", 5)})
 
@@ -371,17 +372,17 @@ def _drained(t, stream):
     epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id
     ORDER BY ts) <= 3600000000 THEN 0 ELSE 1 END AS brk FROM events))""", body="""SELECT motusTagID,
     min(us) AS first_ts, max(us) AS last_ts, count(*) AS n_pings, count(DISTINCT event_type)
-    AS w_towers FROM ev GROUP BY motusTagID, g
-    HAVING (max(us) + 3600000000) // 1000 <= (SELECT max(us) - 3600000000 FROM ev) // 1000"""))
+    AS w_towers FROM ev GROUP BY motusTagID, g"""))
 def _(t):
-    return _drained(t, streams.stream_sessions(_events_stream(t), "1 hour", "1 hour"))
+    folder = scratch(t.spark)
+    streams.run_session_parts(_events_stream(t), folder, scratch(t.spark), "1 hour")
+    return streams.read_sessions(t.spark, folder, 3600)
 
 
 @query("T2_streaming_resample", f"""SELECT TagId, NodeId, freq, max(value) AS TagRSSI_max,
     {r6('stddev_samp(value)', 'TagRSSI_sd')}, count(*) AS beep_count FROM (
         SELECT CAST(user_id AS VARCHAR) AS TagId, event_type AS NodeId, value,
         {binned('ts', 86400)} AS freq FROM events)
-    WHERE freq + 86400000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)
     GROUP BY TagId, NodeId, freq""")
 def _(t):
     schema = t.source("events").schema
@@ -390,7 +391,10 @@ def _(t):
         F.col("user_id").cast("string").alias("TagId"), F.col("event_type").alias("NodeId"),
         F.col("ts").cast("timestamp").alias("Time"), F.col("value").alias("TagRSSI"),
     )
-    return _drained(t, streams.stream_resample(beeps, "1 day", "1 hour"))
+    folder = scratch(t.spark)
+    binned_beeps = streams.stream_resample(beeps, "1 day", "1 hour")
+    streams.run_upserts(binned_beeps, folder, scratch(t.spark))
+    return streams.read_upserts(t.spark, folder, binned_beeps.schema, ["TagId", "NodeId", "freq"])
 
 
 @query("T3_streaming_new_rows", q(DET, body="SELECT hitID, motusTagID FROM detections"))

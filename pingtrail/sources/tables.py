@@ -69,6 +69,14 @@ def columns_of(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame(rows, "column STRING, type STRING")
 
 
+def filled_columns(df: DataFrame) -> DataFrame:
+    """(column, type, filled, n): how many of all rows have a value in each column, in one pass."""
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(df.schema)])
+    lines = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"c{i}").alias("filled"))
+                      for i, f in enumerate(df.schema)])
+    return counts.select("n", F.inline(lines)).select("column", "type", "filled", "n")
+
+
 def tables_of(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
 

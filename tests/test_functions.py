@@ -145,3 +145,11 @@ def test_local_plane(spark):
     want_y = math.radians(0.01) * geo.EARTH_RADIUS
     assert got[1] == pytest.approx(want_y)
     assert got[0] == pytest.approx(want_y * math.cos(math.radians(36.5)))
+
+
+def test_missing_coordinates_have_no_distance(spark):
+    from pingtrail.functions import geo
+
+    df = spark.createDataFrame([(None, 1.0), (1.0, None)], "a DOUBLE, b DOUBLE").withColumns({"c": F.lit(3.0), "d": F.lit(4.0)})
+    for distance in (geo.haversine_m, geo.geodesic_m):
+        assert [r[0] for r in df.select(distance("a", "b", "c", "d")).collect()] == [None, None]

@@ -68,6 +68,67 @@ def test_quantile_fit(spark):
         assert mine <= loss(fit["intercept"] + da, fit["slope"] + db) + 1e-3
 
 
+def _loss(tau, rows, a, b):
+    x, y = np.array(rows).T
+    r = y - a - b * x
+    return float(np.maximum(tau * r, (tau - 1) * r).sum())
+
+
+def _brute_lines(rows, taus):
+    """Some best line runs through two rows: all of these are tried."""
+    lines = [(y1 - (y2 - y1) / (x2 - x1) * x1, (y2 - y1) / (x2 - x1)) for x1, y1 in set(rows) for x2, y2 in set(rows) if x1 < x2]
+    out = {}
+    for t in taus:
+        if 0 < t < 1:
+            out[t] = min(_loss(t, rows, a, b) for a, b in lines)
+        else:
+            side = 1 if t == 0 else -1
+            fit = [(sum(side * (y - a - b * x) for x, y in rows)) for a, b in lines if min(side * (y - a - b * x) for x, y in rows) >= -1e-9]
+            out[t] = min(fit)
+    return out
+
+
+TAUS = [i / 10 for i in range(11)]
+
+
+@pytest.mark.parametrize("most_rows", [50, 20_000])
+def test_quantile_lines_against_all_pairs(spark, most_rows):
+    rng = np.random.default_rng(most_rows)
+    for kind in range(3):
+        x = rng.integers(0, 7, 100).astype(float) if kind else rng.uniform(-3, 9, 100)
+        y = np.round(2 + 0.4 * x + rng.standard_t(2, 100) * (1 + np.abs(x) / 3), 1 if kind == 2 else 12)
+        rows = [(float(a), float(b)) for a, b in zip(x, y)]
+        df = spark.createDataFrame([*rows, (None, 1.0), (1.0, None), (float("nan"), 2.0)], "x DOUBLE, y DOUBLE")
+        lines = models.quantile_lines(df, "x", "y", TAUS, most_rows).collect()
+        want = _brute_lines(rows, TAUS)
+        assert [r["tau"] for r in lines] == TAUS
+        for r in lines:
+            t, a, b = r["tau"], r["intercept"], r["slope"]
+            if 0 < t < 1:
+                assert _loss(t, rows, a, b) == pytest.approx(want[t], rel=1e-9), (kind, t)
+            else:
+                side = 1 if t == 0 else -1
+                rest = [side * (q - a - b * p) for p, q in rows]
+                assert min(rest) >= -1e-9 and sum(rest) == pytest.approx(want[t], rel=1e-9)
+
+
+def test_quantile_lines_narrow_large_bands(spark):
+    # more rows than reach the driver; known answer: the rows lie on parallel lines, equally many on each
+    df = spark.range(200_000).select((F.col("id") % 1000 / 100.0).alias("x"), F.floor(F.col("id") / 1000).alias("k"))
+    df = df.select("x", (3 - 0.25 * F.col("x") + F.col("k") / 10).alias("y"))
+    got = {r["tau"]: (r["intercept"], r["slope"]) for r in models.quantile_lines(df, "x", "y", [0.0, 0.25 + 1e-4, 0.9 + 1e-4, 1.0], 2000).collect()}
+    assert [v for t in sorted(got) for v in got[t]] == pytest.approx([3, -0.25, 3 + 5.0, -0.25, 3 + 18.0, -0.25, 3 + 19.9, -0.25], abs=1e-6)
+
+
+def test_quantile_lines_of_odd_tables(spark):
+    empty = spark.createDataFrame([(None, 1.0)], "x DOUBLE, y DOUBLE")
+    assert models.quantile_lines(empty, "x", "y", TAUS).collect() == []
+    with pytest.raises(ValueError):
+        models.quantile_lines(spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "x DOUBLE, y DOUBLE"), "x", "y", TAUS)
+    two = models.quantile_lines(spark.createDataFrame([(0.0, 1.0), (2.0, 5.0)] * 3, "x DOUBLE, y DOUBLE"), "x", "y", TAUS).collect()
+    assert all((r["intercept"], r["slope"]) == pytest.approx((1, 2)) for r in two)
+
+
 def test_breakpoint(spark):
     rng = np.random.default_rng(2)
     x = rng.uniform(0, 10, 500)

@@ -86,6 +86,26 @@ def test_natural_join_matches_nulls(spark):
     assert got == [(1, None, 7), (2, "x", None)]
 
 
+def test_interval_join_of_long_and_open_sessions(spark):
+    day = 86400
+    sessions = [("ten years", "t", 0.0, 3650.0 * day), ("open end", "t", 1700.0 * day, None), ("open start", "t", None, 40.0 * day), ("always", "t", None, None),
+                ("backwards", "t", 9.0 * day, 8.0 * day), ("other", "u", None, None)] + [(f"m{i}", "t", i * 11.3 * day, i * 11.3 * day + 60) for i in range(300)]
+    points = [(i, "t", i * 0.7 * day + 5) for i in range(5200)] + [(-1, "t", 11.3 * day + 60), (-2, "t", None), (-3, None, 1.0), (-4, "v", 1.0)]
+    seconds = lambda c: F.timestamp_micros((F.col(c) * 1_000_000).cast("long"))
+    right = spark.createDataFrame(sessions, "s STRING, TagId STRING, start DOUBLE, end DOUBLE")
+    left = spark.createDataFrame(points, "p LONG, TagId STRING, Time DOUBLE")
+    timed = right.withColumns({"start": seconds("start"), "end": seconds("end")})
+    got = joins.interval_join(left.withColumn("Time", seconds("Time")), timed, ["TagId"], "Time", "start", "end", 60.0)
+    want = [(p, s) for s, tag, a, b in sessions for p, t, at_ in points
+            if t == tag and at_ is not None and (a is None or a <= at_) and (b is None or at_ <= b) and (a is None or b is None or a <= b)]
+    assert sorted((r["p"], r["s"]) for r in got.select("p", "s").collect()) == sorted(want) and len(want) > 10_000
+    # ten years of one-minute cells are five million; the cover is some dozen rows
+    spread = joins.interval_cells(timed, "start", "end", 60.0, (0, 3650 * 1440))
+    rows = {r["s"]: r["n"] for r in spread.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(rows.values()) <= 30 * 7 and sum(rows.values()) <= 2 * 301 + 5 * 210
+    assert joins.interval_join(left.limit(0).withColumn("Time", seconds("Time")), timed, ["TagId"], "Time", "start", "end").count() == 0
+
+
 def test_interval_join_bounds_and_hot_key(spark):
     pings = spark.createDataFrame(
         [(i, "t" if i % 3 else "u", at(i * 60)) for i in range(300)],

@@ -131,6 +131,69 @@ def test_stream_resample_equals_batch(spark, tmp_path):
     assert sorted(got.select(*cols).collect()) == sorted(want.collect())
 
 
+PINGS = "hitID BIGINT, motusTagID BIGINT, ts TIMESTAMP, recvDeployName STRING, port STRING"
+
+
+def _pings():
+    rows = [(i, i % 3, at(i * 1.5 + (i // 40) * 100), ["A", "B", None][i % 3], "1") for i in range(300)]
+    rows += [(1000 + i, None, at(i * 20.0), "A", "1") for i in range(9)]
+    return rows[::2] + rows[1::2]  # every session is spread over several arrivals, the last ones late by all of the time
+
+
+def _sessions(spark, rows, gap=5):
+    df = spark.createDataFrame(rows, PINGS)
+    return ses.event_counts(ses.sessionize(df, gap=gap))
+
+
+def test_session_parts_lose_nothing_and_survive_restarts(spark, tmp_path, monkeypatch):
+    rows = _pings()
+    _arrivals(spark, tmp_path / "in", rows[:200], PINGS, 2)
+    source = lambda: streams.read_stream(spark, str(tmp_path / "in"), PINGS, files=1)
+    out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
+    streams.run_session_parts(source(), out, marks, "5 seconds")
+    _arrivals(spark, tmp_path / "in", rows[200:], PINGS, 3)
+    real, calls = streams.session_parts, []
+
+    def broken(pings, gap, key):
+        calls.append(1)
+        if len(calls) == 2:  # after the batch was half written
+            real(pings.limit(3), gap, key).write.parquet(f"{out}/batch=3")
+            raise RuntimeError("lost")
+        return real(pings, gap, key)
+
+    monkeypatch.setattr(streams, "session_parts", broken)
+    with pytest.raises(Exception):
+        streams.run_session_parts(source(), out, marks, "5 seconds")
+    monkeypatch.setattr(streams, "session_parts", real)
+    streams.run_session_parts(source(), out, marks, "5 seconds")
+    want = _sessions(spark, rows)
+    columns = ["motusTagID", "first_ts", "last_ts", "n_pings", "w_towers"]
+    expected = sorted(want.select(*columns).collect(), key=str)
+    assert sorted(streams.read_sessions(spark, out, 5).select(*columns).collect(), key=str) == expected and len(expected) > 10
+    # a compacted log reads the same, also with later arrivals beside it
+    late = [(5000, 1, at(3.0), "Z", "1"), (5001, 9, at(9000), None, "1")]
+    streams.compact_sessions(spark, out, str(tmp_path / "compact"), 5)
+    real(spark.createDataFrame(late, PINGS), "5 seconds").write.parquet(f"{tmp_path}/compact/batch=7")
+    expected = sorted(_sessions(spark, rows + late).select(*columns).collect(), key=str)
+    assert sorted(streams.read_sessions(spark, str(tmp_path / "compact"), 5).select(*columns).collect(), key=str) == expected
+
+
+def test_upserts_show_open_windows(spark, tmp_path):
+    schema = "Time TIMESTAMP, TagId STRING, NodeId STRING, TagRSSI DOUBLE"
+    rows = [(at(i * 7), IDS[i % 2], ["N0", "N1", None][i % 3], -50.0 - i % 9) for i in range(400)]
+    _arrivals(spark, tmp_path / "in", rows[:250], schema, 2)
+    out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
+    binned = lambda: streams.stream_resample(streams.read_stream(spark, str(tmp_path / "in"), schema, files=1))
+    streams.run_upserts(binned(), out, marks)
+    _arrivals(spark, tmp_path / "in", rows[250:], schema, 2)
+    streams.run_upserts(binned(), out, marks)
+    got = streams.read_upserts(spark, out, binned().schema, ["TagId", "NodeId", "freq"])
+    want = known_beeps(spark.createDataFrame(rows, schema)).groupBy("TagId", "NodeId", F.window("Time", "3 minutes")["start"].alias("freq")).agg(
+        F.max("TagRSSI").alias("TagRSSI_max"), F.round(F.stddev_samp("TagRSSI"), 9).alias("TagRSSI_sd"), F.count(F.lit(1)).alias("beep_count"))
+    got = got.withColumn("TagRSSI_sd", F.round("TagRSSI_sd", 9))
+    assert sorted(got.select(*want.columns).collect(), key=str) == sorted(want.collect(), key=str)
+
+
 def test_stream_drops_repeats(spark, tmp_path):
     schema = "hitID BIGINT, ts TIMESTAMP"
     rows = [(i % 50, at(i % 50)) for i in range(150)]
