@@ -14,40 +14,50 @@ from pingtrail.operators.slicing import HOUR, with_halo, with_neighbours, with_s
 from pingtrail.session import checkpointed
 
 
+#: A key as two columns that are never null.
+KEYED = ["_k", "_void"]
+
+
+def keyed(df: DataFrame, key: str) -> list[Column]:
+    """``KEYED`` for a key of numbers or text: its value and whether it is missing.
+
+    Windows and joins on these need no null-safe rewriting, so they share one partitioning and sort as plain columns do.
+    """
+    filler = F.lit(0).cast(df.schema[key].dataType)
+    return [F.coalesce(F.col(key), filler).alias("_k"), F.col(key).isNull().alias("_void")]
+
+
 def session_marks(
     df: DataFrame, key: str, ts: str, gap: float, slice_s: float = HOUR
 ) -> DataFrame:
-    """(key, ts, event_id) for each distinct time of a key; a new event starts after a gap > ``gap``.
+    """(_k, _void, _t, event_id) for each distinct time of a key; a new event starts after a gap > ``gap``.
 
     The event of a ping depends on its time only, so copies and same-instant pings collapse before
     any window. Windows run per (key, slice); each slice hands on its first and last time and its
     number of starts, one row, from which the numbering offset of the slice follows. Pings without a key
     are a group of their own; a ping without a time has no mark.
     """
-    timed = df.where(F.col(ts).isNotNull()).select(key, F.col(ts).alias("_t")).distinct()
+    timed = df.where(F.col(ts).isNotNull()).select(*keyed(df, key), F.col(ts).alias("_t")).distinct()
     marks = with_slice(timed, "_t", slice_s)
-    near = Window.partitionBy(key, "_slice").orderBy("_t")
+    near = Window.partitionBy(*KEYED, "_slice").orderBy("_t")
     upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wide = us_of(gap)
     start = (micros("_t") - micros(F.lag("_t").over(near)) > wide).cast("int")
     local = marks.withColumn("_start", F.coalesce(start, F.lit(0))).withColumn(
         "_n", F.sum("_start").over(upto)
     )
-    edges = local.groupBy(key, "_slice").agg(
+    edges = local.groupBy(*KEYED, "_slice").agg(
         F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.sum("_start").alias("_starts")
     )
-    by_slice = Window.partitionBy(key).orderBy("_slice")
+    by_slice = Window.partitionBy(*KEYED).orderBy("_slice")
     jump = micros("_first") - micros(F.lag("_last").over(by_slice))
     edges = edges.withColumn("_opens", F.when(jump <= wide, 0).otherwise(1))
     done = F.sum(F.col("_opens") + F.col("_starts")).over(
         by_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    base = edges.select(
-        F.col(key).alias("_k"), F.col("_slice").alias("_s"), (done - F.col("_starts")).alias("_base")
-    )
-    on = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s"))
-    return local.join(base, on).select(
-        key, F.col("_t"), (F.col("_base") + F.col("_n")).alias("event_id")
+    base = edges.select(*KEYED, "_slice", (done - F.col("_starts")).alias("_base"))
+    return local.join(base, [*KEYED, "_slice"]).select(
+        *KEYED, "_t", (F.col("_base") + F.col("_n")).alias("event_id")
     )
 
 
@@ -62,9 +72,9 @@ def sessionize(
 
     Pings without a key are numbered as one group; a ping without a time stays with a null number.
     """
-    marks = session_marks(df, key, ts, gap, slice_s).withColumnRenamed(key, "_k")
-    on = df[key].eqNullSafe(F.col("_k")) & (df[ts] == F.col("_t"))
-    return df.join(marks, on, "left").drop("_k", "_t")
+    marks = session_marks(df, key, ts, gap, slice_s)
+    timed = df.select("*", *keyed(df, key), F.col(ts).alias("_t"))
+    return timed.join(marks, [*KEYED, "_t"], "left").drop(*KEYED, "_t")
 
 
 def event_counts(events: DataFrame, key: str = "motusTagID") -> DataFrame:
@@ -73,7 +83,10 @@ def event_counts(events: DataFrame, key: str = "motusTagID") -> DataFrame:
     Pings combine to antennas first, so that an event of any length arrives as a few records; null
     counts as a value. Towers and events then share one exchange.
     """
-    event = [key, "event_id"]
+    return _counted(events, [key, "event_id"])
+
+
+def _counted(events: DataFrame, event: list[str]) -> DataFrame:
     antennas = events.groupBy(*event, "recvDeployName", "port").agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         F.count(F.lit(1)).alias("n_pings"),
@@ -91,11 +104,10 @@ def event_counts(events: DataFrame, key: str = "motusTagID") -> DataFrame:
 
 def with_event_counts(events: DataFrame, key: str = "motusTagID") -> DataFrame:
     """Attach the tower and antenna counts of the event to each of its rows."""
-    counts = event_counts(events, key).select(
-        F.col(key).alias("_k"), F.col("event_id").alias("_e"), "w_towers", "w_antennas"
-    )
-    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("event_id").eqNullSafe(F.col("_e"))
-    return events.join(counts, same).drop("_k", "_e")
+    # numbers count from 1, so 0 stands for none
+    tagged = events.select("*", *keyed(events, key), F.coalesce("event_id", F.lit(0)).alias("_e"))
+    counts = _counted(tagged, [*KEYED, "_e"]).select(*KEYED, "_e", "w_towers", "w_antennas")
+    return tagged.join(counts, [*KEYED, "_e"]).drop(*KEYED, "_e")
 
 
 def transitions(
