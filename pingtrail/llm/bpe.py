@@ -185,7 +185,7 @@ class Encoder:
     pattern and the merges run only for what is not there. Every byte needs a rank, else a KeyError is raised.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_bytes: int = 160 << 20) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_bytes: int = 320 << 20) -> None:
         import regex
 
         self.ranks, self.two_bytes = ranks, two_byte_ranks(ranks)

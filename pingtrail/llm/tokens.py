@@ -64,7 +64,7 @@ class WordTokenizer:
 
     plain_specials = True
 
-    def __init__(self, path: str, most_bytes: int = 160 << 20) -> None:
+    def __init__(self, path: str, most_bytes: int = 256 << 20) -> None:
         self.tokenizer = _load(path, self.plain_specials)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and self.plain_specials)]
         if any(re.search(r"\s", content) for content in added):
@@ -120,7 +120,7 @@ class OffsetTokenizer:
     several tokens share belongs to each of them.
     """
 
-    def __init__(self, path: str, most_bytes: int = 160 << 20) -> None:
+    def __init__(self, path: str, most_bytes: int = 256 << 20) -> None:
         from tokenizers import pre_tokenizers
 
         self.tokenizer = _load(path)
