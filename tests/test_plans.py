@@ -39,7 +39,7 @@ def test_windows_run_per_slice(spark):
     # the wide rows of sessionize shuffle on (tag, time), never on the tag alone
     plan = plan_of(ses.sessionize(used))
     alone = [line for line in plan.splitlines()
-             if re.search(r"Exchange hashpartitioning\(motusTagID#\d+L, \d+\)", line)]
+             if re.search(r"Exchange hashpartitioning\(_k#\d+L, _void#\d+, \d+\)", line)]
     # only the one-row-per-slice table is gathered per tag
     assert len(alone) == 1
 
