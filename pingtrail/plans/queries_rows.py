@@ -8,7 +8,7 @@ from pingtrail.functions import angles, timeutil as tu
 from pingtrail.operators import filters as flt
 from pingtrail.plans.oracle import LABELS, OFFSETS, query as q, r6, wrap360
 from pingtrail.plans.registry import query, scratch
-from pingtrail.sources import sinks, tables as src
+from pingtrail.sources import paging, sinks, tables as src
 
 DET = "detections"
 BASIC = "hitID, motusTagID, epoch_us(ts) AS ts, " + r6("sig", "sig") + ", recvDeployName"
@@ -70,6 +70,27 @@ def _(t):
     return t.spark.read.parquet(folder)
 
 
+def _paged_copy(t):
+    """Detections copied in pages, stopped after two rounds and taken up again, with the rows and the folder."""
+    rows, folder = t.detections.select("hitID", "batchID", "motusTagID"), scratch(t.spark)
+    paging.copy_pages(rows, folder, size=250, most_rounds=2)
+    paging.copy_pages(rows, folder, size=250)
+    return rows, folder
+
+
+@query("S7_paged_copy", det("true", "hitID, batchID, motusTagID"))
+def _(t):
+    rows, folder = _paged_copy(t)
+    return paging.read_pages(t.spark, folder, rows.schema)
+
+
+@query("S7_page_cursors", q(DET, body="""SELECT batchID, max(hitID) AS last, true AS done, CAST(count(DISTINCT floor(before / 250)) AS BIGINT) AS pages
+    FROM (SELECT batchID, hitID, coalesce(sum(n) OVER (PARTITION BY batchID ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM (SELECT batchID, floor(hitID / 250) AS cell, max(hitID) AS hitID, count(*) AS n FROM detections GROUP BY 1, 2)) GROUP BY 1"""))
+def _(t):
+    return paging.page_cursors(*_paged_copy(t))
+
+
 LISTED = {"hitID": "bigint", "motusTagID": "bigint", "ts": "timestamp", "sig": "double", "recvDeployName": "string", "runLen": "int",
           "antBearing": "double", "recvDeployLat": "double", "speciesEN": "string"}
 
