@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,7 +12,7 @@ from pingtrail.operators.quantiles import group_quantiles
 from pingtrail.session import checkpointed, measured
 
 __all__ = [
-    "bootstrap_slope", "breakpoint", "count_profile", "group_quantiles", "ols", "poisson_glm",
+    "bootstrap_bca", "bootstrap_slope", "breakpoint", "count_fits", "count_profile", "group_quantiles", "ols", "poisson_glm",
     "quantile_fit", "quantile_lines",
 ]
 
@@ -398,39 +399,53 @@ def breakpoint(df: DataFrame, x: str, y: str, grid: list[float]) -> DataFrame:
     return fits.agg(best.alias("b")).select("b.*")
 
 
-def bootstrap_slope(
-    df: DataFrame, x: str, y: str, cluster: str, reps: int = 1000, level: float = 0.95,
-    seed: int = 17,
-) -> DataFrame:
-    """One row (estimate, lower, upper, reps): percentile interval of the slope of y ~ x.
-
-    Whole clusters are resampled with Poisson(1) weights drawn from a hash of (replicate, cluster).
-    Rows are first reduced to one record of sums per cluster; only those are replicated.
-    """
+def _cluster_sums(df: DataFrame, x: str, y: str, cluster: str) -> DataFrame:
     used = df.select(
         F.col(cluster).cast("string").alias("g"), F.col(x).cast("double").alias("x"),
         F.col(y).cast("double").alias("y"),
     ).dropna()
-    per = used.groupBy("g").agg(
+    return used.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"),
         F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"),
     )
+
+
+_SUMS = ("n", "x", "y", "xx", "xy")
+
+
+def _slope(n, x, y, xx, xy) -> Column:
+    det = n * xx - x * x
+    return F.when(det > 0, (n * xy - x * y) / det)
+
+
+def _replicates(per: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(rep, slope): the slope of all clusters as replicate 0, and of ``reps`` draws of clusters with Poisson(1) weights.
+
+    A weight depends on the MD5 of "seed:replicate:cluster" alone, so that draws are the same in any partitioning.
+    """
     drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", "g"), F.lit(1_000_003)) / 1_000_003.0
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), "g")
+    u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
     weight, tail, mass = F.lit(0), 0.0, math.exp(-1.0)
     for k in range(1, 12):
         tail += mass
         weight = weight + (u >= tail).cast("int")
         mass /= k
     drawn = drawn.withColumn("w", F.when(F.col("rep") == 0, F.lit(1)).otherwise(weight))
-    sums = drawn.groupBy("rep").agg(
-        *[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "x", "y", "xx", "xy")]
-    )
-    det = F.col("n") * F.col("xx") - F.col("x") * F.col("x")
-    slopes = sums.select(
-        "rep",
-        F.when(det > 0, (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / det).alias("slope"),
-    )
+    sums = drawn.groupBy("rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in _SUMS])
+    return sums.select("rep", _slope(*map(F.col, _SUMS)).alias("slope"))
+
+
+def bootstrap_slope(
+    df: DataFrame, x: str, y: str, cluster: str, reps: int = 1000, level: float = 0.95,
+    seed: int = 17,
+) -> DataFrame:
+    """One row (estimate, lower, upper, reps): percentile interval of the slope of y ~ x.
+
+    Whole clusters are resampled with Poisson(1) weights drawn from a hash of (replicate, cluster).
+    Rows are first reduced to one record of sums per cluster; only those are replicated.
+    """
+    slopes = _replicates(_cluster_sums(df, x, y, cluster), reps, seed)
     side = (1 - level) / 2
     boot = F.when(F.col("rep") > 0, F.col("slope"))
     # `reps` values in all, so the built-in exact percentile is safe here
@@ -442,6 +457,45 @@ def bootstrap_slope(
     )
 
 
+def bootstrap_bca(
+    df: DataFrame, x: str, y: str, cluster: str, reps: int = 1000, level: float = 0.95, seed: int = 17,
+) -> DataFrame:
+    """One row (estimate, bias, acceleration, lower, upper, reps): bias-corrected and accelerated interval of the slope of y ~ x.
+
+    Draws are those of :func:`bootstrap_slope`. The bias correction is the normal quantile of the share of draws below the estimate,
+    those equal to it counting half. The acceleration comes from the slopes without one cluster, each from the total sums less the
+    cluster's own, so no row is read again. Draws and left-out slopes without a slope (one x only) are not used. Where all draws lie on one
+    side of the estimate, or no cluster can be left out, bounds are null. The driver sees one row of totals and one of moments.
+    """
+    per = measured(_cluster_sums(df, x, y, cluster))
+    slopes = measured(_replicates(per, reps, seed))
+    total = per.agg(*[F.sum(c).alias(c) for c in _SUMS]).first()
+    out = per.select(_slope(*[F.lit(total[c]) - F.col(c) for c in _SUMS]).alias("v")) if total["n"] else per.select(F.lit(None).cast("double").alias("v"))
+    mean = out.agg(F.avg("v")).first()[0]
+    off = F.lit(mean) - F.col("v")
+    cubes, squares = out.agg(F.sum(off * off * off), F.sum(off * off)).first()
+    estimate = slopes.where("rep = 0").agg(F.max("slope")).first()[0]
+    boot = slopes.where("rep > 0 AND slope IS NOT NULL")
+    below, equal, n = boot.agg(F.count_if(F.col("slope") < F.lit(estimate)), F.count_if(F.col("slope") == F.lit(estimate)), F.count(F.lit(1))).first()
+    share = (below + equal / 2) / n if n else 0.0
+    if not 0 < share < 1 or not squares:
+        schema = "estimate double, bias double, acceleration double, lower double, upper double, reps long"
+        return df.sparkSession.createDataFrame([(estimate, None, None, None, None, n)], schema)
+    normal = NormalDist()
+    bias, acceleration = normal.inv_cdf(share), cubes / (6 * squares**1.5)
+
+    def at(p: float) -> float:
+        z = bias + normal.inv_cdf(p)
+        return normal.cdf(bias + z / (1 - acceleration * z))
+
+    side = (1 - level) / 2
+    return boot.agg(
+        F.lit(estimate).alias("estimate"), F.lit(bias).alias("bias"), F.lit(acceleration).alias("acceleration"),
+        F.percentile("slope", at(side)).alias("lower"), F.percentile("slope", at(1 - side)).alias("upper"),
+        F.count(F.lit(1)).alias("reps"),
+    )
+
+
 def count_profile(df: DataFrame, column: str, shift: float = 1.0) -> DataFrame:
     """Moments of the shifted count and the negative-binomial and gamma parameters they imply."""
     c = F.col(column) + shift
@@ -455,3 +509,78 @@ def count_profile(df: DataFrame, column: str, shift: float = 1.0) -> DataFrame:
         F.try_divide(mean * mean, var).alias("gamma_shape"),
         F.try_divide(mean, var).alias("gamma_rate"),
     )
+
+
+def _polygamma(x, order: int, log=F.log):
+    """Digamma (order 0) or trigamma (order 1) of a positive column or number: eight steps of the recurrence, then the asymptotic series."""
+    shift, x8 = 0.0, x + 8
+    for i in range(8):
+        shift = shift + (1 / (x + i) if order == 0 else 1 / ((x + i) * (x + i)))
+    r = 1 / (x8 * x8)
+    if order == 0:
+        return log(x8) - 0.5 / x8 - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r * (1 / 132))))) - shift
+    return 1 / x8 + r / 2 + r / x8 * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * (5 / 66))))) + shift
+
+
+def _settle(start: float, step, tol: float = 1e-12, max_iter: int = 100) -> float:
+    """Newton's method for a positive number, on its logarithm and by at most one unit a step."""
+    at = start
+    for _ in range(max_iter):
+        move = max(-1.0, min(1.0, step(at)))
+        at *= math.exp(move)
+        if abs(move) < tol:
+            return at
+    raise ValueError(f"no convergence after {max_iter} steps")
+
+
+def count_fits(df: DataFrame, column: str, shift: float = 1.0) -> DataFrame:
+    """One row of maximum-likelihood fits of the shifted count, with standard errors: n, nb_size, nb_size_se, nb_mu, nb_mu_se,
+    gamma_shape, gamma_shape_se, gamma_rate, gamma_rate_se.
+
+    Values are counted once; each Newton step for the negative binomial's size is one aggregate over the different values, with digamma
+    and trigamma as column arithmetic. The gamma shape needs two sums alone. Null counts are not used. Without a finite maximum the
+    columns of a family are null: for the negative binomial unless values are whole, not negative and vary by more than their mean
+    (divisor n), for the gamma unless values are positive and not all equal.
+    """
+    c = F.col(column).cast("double") + shift
+    used = measured(df.select(F.nanvl(c, F.lit(None)).alias("v")).dropna().groupBy("v").agg(F.count(F.lit(1)).alias("k")))
+    v, k = F.col("v"), F.col("k")
+    s = used.agg(
+        F.sum("k").alias("n"), F.sum(k * v).alias("sum"), F.min("v").alias("low"), F.max("v").alias("high"), F.max(F.abs(v - F.floor(v))).alias("part"),
+        F.sum(F.when(v > 0, k * F.log(v))).alias("logs"),
+    ).first()
+    n = s["n"] or 0
+    size = size_se = mu = mu_se = shape = shape_se = rate = rate_se = None
+    mean = s["sum"] / n if n else 0.0
+    spread = used.agg(F.sum(k * (v - mean) * (v - mean))).first()[0] / n if n else 0.0
+    if n and s["low"] >= 0 and not s["part"] and spread > mean:
+        def moments(r: float):
+            row = used.agg(
+                F.sum(k * (_polygamma(v + r, 0) - _polygamma(r, 0, math.log))).alias("first"),
+                F.sum(k * (_polygamma(v + r, 1) - _polygamma(r, 1, math.log))).alias("second")).first()
+            score = row["first"] + n * math.log(r / (r + mean))
+            return score, row["second"] + n * (1 / r - 1 / (r + mean))
+
+        def towards(r: float) -> float:
+            # in t = log r the score is r * g and its slope r * g + r^2 * g'
+            score, slope = moments(r)
+            bend = r * score + r * r * slope
+            return -r * score / bend if bend < 0 else math.copysign(0.5, score)
+
+        size, mu = _settle(mean * mean / (spread - mean), towards), mean
+        size_se, mu_se = 1 / math.sqrt(-moments(size)[1]), math.sqrt(mu * (1 + mu / size) / n)
+    if n and s["low"] > 0 and s["high"] > s["low"]:
+        gap = math.log(mean) - s["logs"] / n
+
+        def closer(a: float) -> float:
+            return -(math.log(a) - _polygamma(a, 0, math.log) - gap) / (1 - a * _polygamma(a, 1, math.log))
+
+        shape = _settle((3 - gap + math.sqrt((gap - 3) ** 2 + 24 * gap)) / (12 * gap), closer)
+        rate = shape / mean
+        # inverse of the information of (shape, rate)
+        bend = _polygamma(shape, 1, math.log)
+        left = n * (shape * bend - 1)
+        shape_se, rate_se = math.sqrt(shape / left), rate * math.sqrt(bend / left)
+    row = (n, size, size_se, mu, mu_se, shape, shape_se, rate, rate_se)
+    names = ("nb_size", "nb_size_se", "nb_mu", "nb_mu_se", "gamma_shape", "gamma_shape_se", "gamma_rate", "gamma_rate_se")
+    return df.sparkSession.createDataFrame([row], "n long, " + ", ".join(f"{c} double" for c in names))

@@ -215,3 +215,100 @@ def test_quantiles_take_one_way_for_any_size(spark, accuracy):
     for n, vs in groups.items():
         for t in taus:
             assert got[n, t] == pytest.approx(np.quantile(vs, t))
+
+
+def _plain_draws(rows, reps, seed=17):
+    """Slopes of all clusters and of each draw, and the slopes without one cluster, by plain Python."""
+    import hashlib
+    import math
+
+    clusters = sorted({r[0] for r in rows})
+    sums = {g: np.array([(1, x, y, x * x, x * y) for c, x, y in rows if c == g]).sum(axis=0) for g in clusters}
+    tails = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(11)])
+
+    def slope(s):
+        return (s[0] * s[4] - s[1] * s[2]) / (s[0] * s[3] - s[1] ** 2)
+
+    def weight(rep, g):
+        return int((int(hashlib.md5(f"{seed}:{rep}:{g}".encode()).hexdigest()[:8], 16) / 2**32 >= tails).sum())
+
+    whole = sum(sums.values())
+    return slope(whole), [slope(sum(weight(i, g) * sums[g] for g in clusters)) for i in range(1, reps + 1)], [slope(whole - s) for s in sums.values()]
+
+
+def test_bootstrap_bca_against_plain_python(spark):
+    from statistics import NormalDist
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(25):
+        x = rng.uniform(0, 10, 200 if g == 0 else 6)  # one cluster holds more than half of the rows
+        rows += [(f"t{g}", float(a), float(b)) for a, b in zip(x, 1 + 0.3 * x + rng.exponential(2 + g / 5, len(x)))]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0), ("t1", None, 1.0)], "g STRING, x DOUBLE, y DOUBLE").repartition(6)
+    got = models.bootstrap_bca(df, "x", "y", "g", reps=300).first()
+    estimate, draws, left_out = _plain_draws(rows, 300)
+    normal, off = NormalDist(), np.mean(left_out) - np.array(left_out)
+    bias = normal.inv_cdf(np.mean(np.array(draws) < estimate))
+    a = (off**3).sum() / (6 * (off**2).sum() ** 1.5)
+    ends = [normal.cdf(bias + (bias + z) / (1 - a * (bias + z))) for z in (normal.inv_cdf(0.025), normal.inv_cdf(0.975))]
+    want = [estimate, bias, a, *np.quantile(draws, ends), 300]
+    assert list(got) == pytest.approx(want, rel=1e-9)
+    plain = models.bootstrap_slope(df, "x", "y", "g", reps=300).first()
+    assert (plain["lower"], plain["upper"]) == pytest.approx(tuple(np.quantile(draws, [0.025, 0.975])), rel=1e-9)
+
+
+def test_bootstrap_bca_without_spread(spark):
+    schema = "g STRING, x DOUBLE, y DOUBLE"
+    line = [(f"t{i // 3}", float(i), 2.0 * i) for i in range(9)]
+    got = models.bootstrap_bca(spark.createDataFrame(line[:3], schema), "x", "y", "g", reps=20).first()
+    assert got["estimate"] == pytest.approx(2) and got["lower"] is None
+    empty = models.bootstrap_bca(spark.createDataFrame([], schema), "x", "y", "g", reps=20).first()
+    assert empty["estimate"] is None and empty["upper"] is None and empty["reps"] == 0
+
+
+def test_count_fits_are_the_best_of_a_fine_search(spark):
+    import math
+
+    rng = np.random.default_rng(6)
+    counts = [int(v) for v in rng.negative_binomial(1.7, 0.2, 900)]
+    df = spark.createDataFrame([(v,) for v in [*counts, None]], "n INT").repartition(5)
+    got = models.count_fits(df, "n").first()
+    data = np.array(counts) + 1.0
+    n, mean = len(data), data.mean()
+
+    def nb(r):
+        return sum(math.lgamma(v + r) - math.lgamma(r) - math.lgamma(v + 1) for v in data) + n * r * math.log(r / (r + mean)) + data.sum() * math.log(mean / (r + mean))
+
+    def gamma(a):
+        return n * (a * math.log(a / mean) - math.lgamma(a)) + (a - 1) * np.log(data).sum() - a * n
+
+    def best(f, low, high):
+        ratio = (math.sqrt(5) - 1) / 2
+        for _ in range(80):
+            p, q = high - ratio * (high - low), low + ratio * (high - low)
+            low, high = (low, q) if f(p) > f(q) else (p, high)
+        return (low + high) / 2
+
+    def bend(f, at):
+        h = at * 1e-3
+        return -(f(at + h) - 2 * f(at) + f(at - h)) / h**2
+
+    r, a = best(nb, 0.1, 50), best(gamma, 0.1, 50)
+    assert got["n"] == 900 and got["nb_mu"] == pytest.approx(mean) and got["gamma_rate"] == pytest.approx(a / mean, rel=1e-5)
+    assert (got["nb_size"], got["gamma_shape"]) == pytest.approx((r, a), rel=1e-5)
+    assert nb(got["nb_size"]) >= nb(r) - 1e-6 and gamma(got["gamma_shape"]) >= gamma(a) - 1e-6
+    # the rate is at its best for each shape, so the bend of the profile gives the shape's error
+    assert got["gamma_shape_se"] == pytest.approx(1 / math.sqrt(bend(gamma, a)), rel=1e-3)
+    assert got["nb_size_se"] == pytest.approx(1 / math.sqrt(bend(nb, r)), rel=1e-3)
+
+
+def test_count_fits_without_a_maximum(spark):
+    def fit(values):
+        return models.count_fits(spark.createDataFrame([(v,) for v in values], "n DOUBLE"), "n", 0.0).first()
+
+    even = fit([4.0, 5.0, 5.0, 6.0])
+    assert even["nb_size"] is None and even["gamma_shape"] > 0
+    assert fit([0.0, 9.0, 9.0, 40.0])["gamma_shape"] is None and fit([0.5, 9.0, 40.0])["nb_size"] is None
+    assert fit([3.0, 3.0])["gamma_rate"] is None
+    nothing = fit([None])
+    assert nothing["n"] == 0 and nothing["nb_mu"] is None and nothing["gamma_shape"] is None
