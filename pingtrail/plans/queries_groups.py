@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pingtrail.functions.solar import time_to_sun
@@ -286,12 +288,39 @@ def _(t):
     return fit.withColumn("aic", F.round("aic", 3))
 
 
-@query("M2_poisson_regression")
+# Newton's method on the slope; each tag's intercept follows from it
+_POISSON = [
+    """obs2 AS MATERIALIZED (SELECT CAST(motusTagID AS VARCHAR) AS g, ts_since_rise AS x, CAST(n AS DOUBLE) AS y FROM rel
+        WHERE motusTagID IS NOT NULL AND ts_since_rise IS NOT NULL AND n IS NOT NULL)""",
+    """steps AS (SELECT 0 AS i, 0e0 AS beta UNION ALL SELECT i + 1, beta + greatest(-1e0, least(1e0, score / info)) FROM (
+        SELECT i, beta, sum(xy - y * s1 / s0) AS score, sum(y * (s2 / s0 - s1 / s0 * s1 / s0)) AS info FROM (
+            SELECT i, beta, g, sum(y) AS y, sum(x * y) AS xy, sum(exp(beta * x)) AS s0, sum(x * exp(beta * x)) AS s1,
+                sum(x * x * exp(beta * x)) AS s2 FROM steps, obs2 WHERE i < 15 GROUP BY i, beta, g) GROUP BY i, beta))""",
+    """levels AS MATERIALIZED (SELECT g, beta, count(*) AS n, sum(y) AS y, sum(exp(beta * x)) AS s0, sum(x * exp(beta * x)) / sum(exp(beta * x)) AS mean,
+        sum(x * x * exp(beta * x)) / sum(exp(beta * x)) AS square FROM obs2, (SELECT beta FROM steps WHERE i = 15) GROUP BY g, beta)""",
+    """alphas AS MATERIALIZED (SELECT *, CASE WHEN y > 0 THEN ln(y / s0) ELSE CAST('-Infinity' AS DOUBLE) END AS alpha FROM levels)""",
+    """base AS (SELECT g AS base, alpha AS alpha0, mean AS mean0, y AS y0 FROM alphas WHERE g = (SELECT min(g) FROM alphas WHERE y > 0))""",
+    """known AS (SELECT 1 / sum(y * (square - mean * mean)) AS v, sum(n) FILTER (y > 0) - count(*) FILTER (y > 0) - 1 AS df FROM alphas)""",
+    """pearson AS (SELECT sum((obs2.y - exp(alpha + beta * x)) * (obs2.y - exp(alpha + beta * x)) / exp(alpha + beta * x)) AS p
+        FROM obs2 JOIN alphas ON obs2.g = alphas.g WHERE alphas.y > 0)""",
+]
+
+
+def _poisson_sql(scale: str) -> str:
+    text = q(DET, *_ACT, *_POISSON, body=f"""SELECT 'ts_since_rise' AS term, {r6('beta', 'estimate')}, {r6(f'{scale} * sqrt(v)', 'std_error')}
+        FROM steps, known, pearson WHERE i = 15 UNION ALL
+        SELECT CASE WHEN g = base THEN '(Intercept)' ELSE g END, round(CASE WHEN g = base THEN alpha ELSE alpha - alpha0 END, 6) + 0,
+            round({scale} * sqrt(CASE WHEN y = 0 THEN NULL WHEN g = base THEN 1 / y + v * mean * mean
+                ELSE 1 / y + 1 / y0 + v * (mean - mean0) * (mean - mean0) END), 6) + 0 FROM alphas, base, known, pearson""")
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("M2_poisson_regression", _poisson_sql("1e0"))
 def _(t):
     return models.poisson_glm(_activity(t), "ts_since_rise", "runLen", "motusTagID")
 
 
-@query("M3_quasi_poisson_regression")
+@query("M3_quasi_poisson_regression", _poisson_sql("sqrt(p / df)"))
 def _(t):
     return models.poisson_glm(_activity(t), "ts_since_rise", "runLen", "motusTagID", quasi=True)
 
@@ -354,11 +383,64 @@ def _(t):
     )
 
 
-@query("M6_bootstrap_slope")
+_SLOPE = "CASE WHEN n * xx - x * x > 0 THEN (n * xy - x * y) / (n * xx - x * x) END"
+_TAILS = ", ".join(f"{sum(math.exp(-1) / math.factorial(j) for j in range(k))!r}e0" for k in range(1, 12))
+# draws of whole tags, each with a Poisson(1) weight from the hash of its name
+_DRAWS = [
+    """per AS MATERIALIZED (SELECT CAST(motusTagID AS VARCHAR) AS g, CAST(count(*) AS DOUBLE) AS n, sum(ts_since_rise) AS x, CAST(sum(n) AS DOUBLE) AS y,
+        sum(ts_since_rise * ts_since_rise) AS xx, sum(ts_since_rise * n) AS xy FROM rel
+        WHERE motusTagID IS NOT NULL AND ts_since_rise IS NOT NULL AND n IS NOT NULL GROUP BY 1)""",
+    f"""weighed AS (SELECT per.*, rep, CASE WHEN rep = 0 THEN 1 ELSE len(list_filter([{_TAILS}], lambda t:
+        CAST('0x' || substr(md5('17:' || rep || ':' || g), 1, 8) AS BIGINT) / 4294967296e0 >= t)) END AS w FROM per, range(0, 1001) AS r(rep))""",
+    f"""slopes AS MATERIALIZED (SELECT rep, {_SLOPE} AS slope FROM (SELECT rep, sum(w * n) AS n, sum(w * x) AS x, sum(w * y) AS y, sum(w * xx) AS xx,
+        sum(w * xy) AS xy FROM weighed GROUP BY rep))""",
+]
+
+
+@query("M6_bootstrap_slope", q(DET, *_ACT, *_DRAWS, body=f"""SELECT {r6('max(slope) FILTER (rep = 0)', 'estimate')},
+    {r6('quantile_cont(slope, 0.025) FILTER (rep > 0)', 'lower')}, {r6('quantile_cont(slope, 0.975) FILTER (rep > 0)', 'upper')},
+    count(slope) FILTER (rep > 0) AS reps FROM slopes"""))
 def _(t):
     return models.bootstrap_slope(_activity(t), "ts_since_rise", "runLen", "motusTagID", reps=1000)
 
 
+def _normal_cdf(z: str) -> str:
+    """Series of the normal distribution function in odd powers over double factorials."""
+    term = f"exp((2 * k + 1) * ln(abs({z})) + k * ln(2e0) + lgamma(k + 1e0) - lgamma(2e0 * k + 2))"
+    return (f"(0.5e0 + CASE WHEN {z} = 0 THEN 0e0 ELSE sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi())"
+            f" * list_sum(list_transform(range(0, 120), lambda k: {term})) END)")
+
+
+# left out one by one, and the normal quantiles by halving
+_BCA = [
+    f"""left_out AS (SELECT {_SLOPE} AS v FROM (SELECT a.n - per.n AS n, a.x - per.x AS x, a.y - per.y AS y, a.xx - per.xx AS xx, a.xy - per.xy AS xy
+        FROM per, (SELECT sum(n) AS n, sum(x) AS x, sum(y) AS y, sum(xx) AS xx, sum(xy) AS xy FROM per) a))""",
+    """accel AS (SELECT sum((m - v) ** 3) / (6 * sum((m - v) ** 2) ** 1.5e0) AS a FROM left_out, (SELECT avg(v) AS m FROM left_out))""",
+    """share AS (SELECT max(e) AS e, (count(*) FILTER (slope < e) + count(*) FILTER (slope = e) / 2e0) / count(*) AS s
+        FROM slopes, (SELECT slope AS e FROM slopes WHERE rep = 0) WHERE rep > 0 AND slope IS NOT NULL)""",
+    """halves AS (SELECT 0 AS i, p, -8e0 AS low, 8e0 AS high FROM (SELECT s AS p FROM share UNION SELECT 0.025e0 UNION SELECT 0.975e0)
+        UNION ALL SELECT i + 1, p, CASE WHEN c < p THEN mid ELSE low END, CASE WHEN c < p THEN high ELSE mid END
+        FROM (SELECT *, """ + _normal_cdf("mid") + """ AS c FROM (SELECT *, (low + high) / 2 AS mid FROM halves WHERE i < 60)))""",
+    """z AS (SELECT max(low) FILTER (p = s) AS bias, max(low) FILTER (p = 0.025e0) AS z1, max(low) FILTER (p = 0.975e0) AS z2 FROM halves, share WHERE i = 60)""",
+    """moved AS MATERIALIZED (SELECT e, a, bias, bias + (bias + z1) / (1 - a * (bias + z1)) AS m1, bias + (bias + z2) / (1 - a * (bias + z2)) AS m2
+        FROM z, accel, share)""",
+    f"""ends AS (SELECT e, a, bias, {_normal_cdf('m1')} AS p1, {_normal_cdf('m2')} AS p2 FROM moved)""",
+    """ranked AS (SELECT slope, row_number() OVER (ORDER BY slope) - 1 AS place, count(*) OVER () AS n FROM slopes WHERE rep > 0 AND slope IS NOT NULL)""",
+]
+
+
+def _between(p: str) -> str:
+    """Quantile at ``p`` between neighbouring ranks."""
+    return f"sum(slope * greatest(0e0, 1 - abs(place - {p} * (n - 1))))"
+
+
+@query("M6_bootstrap_bca", q(DET, *_ACT, *_DRAWS, *_BCA, body=f"""SELECT {r6('max(e)', 'estimate')}, {r6('max(bias)', 'bias')},
+    {r6('max(a)', 'acceleration')}, {r6(_between('p1'), 'lower')}, {r6(_between('p2'), 'upper')}, count(*) AS reps
+    FROM ranked, ends""").replace("WITH ", "WITH RECURSIVE ", 1))
+def _(t):
+    return models.bootstrap_bca(_activity(t), "ts_since_rise", "runLen", "motusTagID", reps=1000)
+
+
 @query("M7_count_profile", q(DET, body=f"""SELECT n, {r6('m', 'mean')}, {r6('v', 'var')},
     {r6('m * m / (v - m)', 'nb_size')}, {r6('m', 'nb_mu')}, {r6('m * m / v', 'gamma_shape')},
     {r6('m / v', 'gamma_rate')} FROM (SELECT count(runLen) AS n, avg(runLen + 1e0) AS m,
@@ -367,6 +449,39 @@ def _(t):
     return models.count_profile(t.detections, "runLen")
 
 
+def _polygamma_sql(x: str, order: int) -> str:
+    """Digamma or trigamma: twenty steps of the recurrence, then the asymptotic series."""
+    y, power = f"({x} + 20e0)", order + 1
+    shift = f"list_sum(list_transform(range(0, 20), lambda j: 1 / ({x} + j) ** {power}))"
+    if order == 0:
+        return f"(ln{y} - 0.5e0 / {y} - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) - {shift})"
+    return f"(1 / {y} + 1 / (2 * {y} ** 2) + 1 / (6 * {y} ** 3) - 1 / (30 * {y} ** 5) + 1 / (42 * {y} ** 7) + {shift})"
+
+
+_SCORE = [
+    """counted AS MATERIALIZED (SELECT runLen + 1e0 AS v, CAST(count(*) AS DOUBLE) AS k FROM detections WHERE runLen IS NOT NULL GROUP BY 1)""",
+    """whole AS MATERIALIZED (SELECT n, m, logs, ln(m) - logs AS gap, (SELECT sum(k * (v - m) * (v - m)) / n FROM counted) AS spread
+        FROM (SELECT sum(k) AS n, sum(k * v) / sum(k) AS m, sum(k * ln(v)) / sum(k) AS logs FROM counted))""",
+    f"""sizes AS (SELECT 0 AS i, m * m / (spread - m) AS r, n, m, 0e0 AS bend FROM whole UNION ALL
+        SELECT i + 1, r * exp(greatest(-1e0, least(1e0, -r * g / (r * g + r * r * h)))), n, m, h FROM (
+            SELECT i, r, n, m, sum(k * ({_polygamma_sql('(v + r)', 0)} - {_polygamma_sql('r', 0)})) + n * ln(r / (r + m)) AS g,
+                sum(k * ({_polygamma_sql('(v + r)', 1)} - {_polygamma_sql('r', 1)})) + n * (1 / r - 1 / (r + m)) AS h
+            FROM sizes, counted WHERE i < 25 GROUP BY i, r, n, m))""",
+    f"""shapes AS (SELECT 0 AS i, 0.5e0 / gap AS a, gap, n, m FROM whole UNION ALL
+        SELECT i + 1, a * exp(greatest(-1e0, least(1e0, -(ln(a) - {_polygamma_sql('a', 0)} - gap) / (1 - a * {_polygamma_sql('a', 1)})))), gap, n, m
+        FROM shapes WHERE i < 25)""",
+    f"""shape AS (SELECT a, n, m, {_polygamma_sql('a', 1)} AS t FROM shapes WHERE i = 25)""",
+]
+
+
+@query("M7_count_fits", q(DET, *_SCORE, body=f"""SELECT CAST(s.n AS BIGINT) AS n, {r6('r', 'nb_size')}, {r6('1 / sqrt(-bend)', 'nb_size_se')},
+    {r6('s.m', 'nb_mu')}, {r6('sqrt(s.m * (1 + s.m / r) / s.n)', 'nb_mu_se')}, {r6('a', 'gamma_shape')}, {r6('sqrt(a / (s.n * (a * t - 1)))', 'gamma_shape_se')},
+    {r6('a / s.m', 'gamma_rate')}, {r6('a / s.m * sqrt(t / (s.n * (a * t - 1)))', 'gamma_rate_se')}
+    FROM sizes s, shape WHERE s.i = 25""").replace("WITH ", "WITH RECURSIVE ", 1))
+def _(t):
+    return models.count_fits(t.detections, "runLen")
+
+
 # ---- sun-relative time of every detection -------------------------------------------------------
 
 
