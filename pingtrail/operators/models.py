@@ -6,14 +6,14 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pingtrail.operators.quantiles import group_quantiles
 from pingtrail.session import checkpointed, measured
 
 __all__ = [
     "bootstrap_bca", "bootstrap_slope", "breakpoint", "count_fits", "count_profile", "group_quantiles", "ols", "poisson_glm",
-    "quantile_fit", "quantile_lines",
+    "quantile_fit", "quantile_lines", "segmented",
 ]
 
 
@@ -399,6 +399,79 @@ def breakpoint(df: DataFrame, x: str, y: str, grid: list[float]) -> DataFrame:
     return fits.agg(best.alias("b")).select("b.*")
 
 
+def segmented(df: DataFrame, x: str, y: str, cells: int = 256) -> DataFrame:
+    """One row (n, psi, psi_se, rss, intercept, slope, slope_change): the least-squares line of two joined pieces, its break free to lie anywhere.
+
+    Between two neighbouring values of x the best break has a closed form: where the lines fitted on either side cross, if they cross
+    there, else one of the two values. So all candidates follow from sums over the rows up to each value, and no start value or grid is
+    needed. Equal x become one record of sums first. Sums run in two levels: within about ``cells`` ranges of x, cut at its
+    quantiles, and over the totals of the ranges, of which there are ``cells`` at most.
+
+    psi_se is the error of the crossing of two lines with independent errors; null with four rows or fewer, or one x on a side. Of equally
+    good breaks the smallest counts. Rows with a null or NaN are not used. With fewer than three different x the result is empty.
+    """
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    used = measured(df.select(value(x).alias("x"), value(y).alias("y")).dropna().groupBy("x").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy")))
+    schema = "n long, psi double, psi_se double, rss double, intercept double, slope double, slope_change double"
+    spark = df.sparkSession
+    means = used.agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("x"), F.sum("y").alias("y")).first()
+    if means["values"] < 3:
+        return spark.createDataFrame([], schema)
+    x0, y0 = means["x"] / means["n"], means["y"] / means["n"]
+    cuts = sorted(set(used.approxQuantile("x", [i / cells for i in range(1, cells)], 0.2 / cells)))
+    n, at, up = F.col("n"), F.col("x") - x0, F.col("y") - y0 * F.col("n")
+    cell = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("x")))
+    sums = used.select(
+        cell.alias("cell"), at.alias("at"), n.cast("double").alias("n"), (n * at).alias("x"), up.alias("y"), (n * at * at).alias("xx"), (at * up).alias("xy"),
+        (F.col("yy") - 2 * y0 * F.col("y") + y0 * y0 * n).alias("yy"))
+    names = ("n", "x", "y", "xx", "xy", "yy")
+    in_cell = Window.partitionBy("cell").orderBy("at")
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
+    totals = measured(sums.groupBy("cell").agg(*[F.sum(c).alias(c) for c in names], F.min("at").alias("first")))
+    whole = totals.agg(*[F.sum(c).alias(c) for c in names]).first()
+    offsets = totals.select("cell", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}_0") for c in names],
+                            F.lead("first").over(Window.orderBy("cell")).alias("next_cell"))
+    left = sums.select("cell", "at", *[F.sum(c).over(in_cell).alias(c) for c in names], F.lead("at").over(in_cell).alias("next"))
+    left = left.join(F.broadcast(offsets), "cell").select(
+        F.col("at"), F.coalesce("next", "next_cell").alias("next"), *[(F.col(c) + F.col(f"{c}_0")).alias(c) for c in names]).where("next IS NOT NULL")
+    a = {c: F.col(c) for c in names}
+    b = {c: F.lit(whole[c]) - F.col(c) for c in names}
+
+    def centred(s: dict) -> tuple[Column, Column, Column]:
+        return s["xx"] - s["x"] * s["x"] / s["n"], s["xy"] - s["x"] * s["y"] / s["n"], s["yy"] - s["y"] * s["y"] / s["n"]
+
+    def line(s: dict) -> dict[str, Column]:
+        cxx, cxy, cyy = centred(s)
+        # one value of x alone leaves rounding errors of its sums
+        slope = F.when(cxx > 1e-12 * (s["xx"] + 1e-300), cxy / cxx)
+        return {"b": slope, "a": (s["y"] - slope * s["x"]) / s["n"], "rss": cyy - slope * cxy, "m": s["x"] / s["n"], "cxx": F.when(slope.isNotNull(), cxx), "n": s["n"]}
+
+    sides = left.select("*", F.struct(*[c.alias(k) for k, c in line(a).items()]).alias("l"), F.struct(*[c.alias(k) for k, c in line(b).items()]).alias("r"))
+    cross = F.try_divide(F.col("l.a") - F.col("r.a"), F.col("r.b") - F.col("l.b"))
+    free = F.when((cross > F.col("at")) & (cross < F.col("next")), F.struct(
+        (F.col("l.rss") + F.col("r.rss")).alias("rss"), cross.alias("psi"), F.col("l.a").alias("a"), F.col("l.b").alias("b"), (F.col("r.b") - F.col("l.b")).alias("d")))
+    # the break at the value itself: a hinge that the rows to the right of it share
+    psi = F.col("at")
+    h, hh = b["x"] - psi * b["n"], b["xx"] - 2 * psi * b["x"] + psi * psi * b["n"]
+    xh, hy = b["xx"] - psi * b["x"], b["xy"] - psi * b["y"]
+    total = whole["n"]
+    cxx, cxy, cyy = whole["xx"] - whole["x"] ** 2 / total, whole["xy"] - whole["x"] * whole["y"] / total, whole["yy"] - whole["y"] ** 2 / total
+    chh, cxh, chy = hh - h * h / total, xh - h * whole["x"] / total, hy - h * whole["y"] / total
+    det = F.lit(cxx) * chh - cxh * cxh
+    slope, change = (F.lit(cxy) * chh - chy * cxh) / det, (chy * F.lit(cxx) - F.lit(cxy) * cxh) / det
+    fixed = F.when(det > 1e-9 * F.lit(cxx) * chh, F.struct(
+        (F.lit(cyy) - slope * F.lit(cxy) - change * chy).alias("rss"), psi.alias("psi"),
+        ((F.lit(whole["y"]) - slope * F.lit(whole["x"]) - change * h) / total).alias("a"), slope.alias("b"), change.alias("d")))
+    best = sides.select(F.explode(F.array_compact(F.array(free, fixed))).alias("f"), "l", "r").agg(F.min_by(F.struct("f", "l", "r"), F.col("f")).alias("k")).select("k.*")
+    rest = lambda s: 1 / F.col(f"{s}.n") + F.try_divide((F.col("f.psi") - F.col(f"{s}.m")) * (F.col("f.psi") - F.col(f"{s}.m")), F.col(f"{s}.cxx"))
+    error = F.sqrt(F.greatest(F.col("f.rss"), F.lit(0.0)) / (total - 4) * (rest("l") + rest("r"))) if total > 4 else F.lit(None).cast("double")
+    return best.where("f IS NOT NULL").select(
+        F.lit(means["n"]).alias("n"), (F.col("f.psi") + x0).alias("psi"), F.try_divide(error, F.abs(F.col("f.d"))).alias("psi_se"),
+        F.greatest(F.col("f.rss"), F.lit(0.0)).alias("rss"), (F.col("f.a") - F.col("f.b") * x0 + y0).alias("intercept"),
+        F.col("f.b").alias("slope"), F.col("f.d").alias("slope_change"))
+
+
 def _cluster_sums(df: DataFrame, x: str, y: str, cluster: str) -> DataFrame:
     used = df.select(
         F.col(cluster).cast("string").alias("g"), F.col(x).cast("double").alias("x"),

@@ -383,6 +383,41 @@ def _(t):
     )
 
 
+# the break is where the lines of both sides cross, or at a value of x
+_SEGMENTS = [
+    """xs AS (SELECT ts_since_rise AS x, CAST(n AS DOUBLE) AS y FROM rel WHERE ts_since_rise IS NOT NULL AND n IS NOT NULL)""",
+    """mid AS MATERIALIZED (SELECT avg(x) AS x0, avg(y) AS y0 FROM xs)""",
+    """pts AS MATERIALIZED (SELECT x - x0 AS px, CAST(count(*) AS DOUBLE) AS n, sum(x - x0) AS x, sum(y - y0) AS y, sum((x - x0) * (x - x0)) AS xx,
+        sum((x - x0) * (y - y0)) AS xy, sum((y - y0) * (y - y0)) AS yy FROM xs, mid GROUP BY 1)""",
+    """tot AS (SELECT sum(n) AS tn, sum(x) AS tx, sum(y) AS ty, sum(xx) AS txx, sum(xy) AS txy, sum(yy) AS tyy FROM pts)""",
+    """cum AS MATERIALIZED (SELECT * FROM (SELECT px, lead(px) OVER (ORDER BY px) AS next, sum(n) OVER w AS n1, sum(x) OVER w AS x1, sum(y) OVER w AS y1,
+        sum(xx) OVER w AS xx1, sum(xy) OVER w AS xy1, sum(yy) OVER w AS yy1 FROM pts WINDOW w AS (ORDER BY px)), tot WHERE next IS NOT NULL)""",
+    """parted AS (SELECT *, tn - n1 AS n2, tx - x1 AS x2, ty - y1 AS y2, txx - xx1 AS xx2, txy - xy1 AS xy2, tyy - yy1 AS yy2 FROM cum)""",
+    """var AS (SELECT *, xx1 - x1 * x1 / n1 AS c1, xx2 - x2 * x2 / n2 AS c2, xy1 - x1 * y1 / n1 AS p1, xy2 - x2 * y2 / n2 AS p2 FROM parted)""",
+    """lines AS (SELECT *, CASE WHEN c1 > 1e-12 * xx1 THEN p1 / c1 END AS b1, CASE WHEN c2 > 1e-12 * xx2 THEN p2 / c2 END AS b2 FROM var)""",
+    """crossed AS (SELECT *, (y1 / n1 - b1 * x1 / n1 - y2 / n2 + b2 * x2 / n2) / nullif(b2 - b1, 0) AS c FROM lines)""",
+    """hinged AS (SELECT *, x2 - px * n2 AS h, xx2 - 2 * px * x2 + px * px * n2 - (x2 - px * n2) ** 2 / tn AS chh,
+        xx2 - px * x2 - (x2 - px * n2) * tx / tn AS cxh, xy2 - px * y2 - (x2 - px * n2) * ty / tn AS chy,
+        txx - tx * tx / tn AS cxx, txy - tx * ty / tn AS cxy, tyy - ty * ty / tn AS cyy FROM crossed)""",
+    """solved AS (SELECT *, (cxy * chh - chy * cxh) / (cxx * chh - cxh * cxh) AS hb, (chy * cxx - cxy * cxh) / (cxx * chh - cxh * cxh) AS hd FROM hinged)""",
+    """tried AS (SELECT c AS psi, yy1 - y1 * y1 / n1 - b1 * p1 + yy2 - y2 * y2 / n2 - b2 * p2 AS rss, (y1 - b1 * x1) / n1 AS a, b1 AS b, b2 - b1 AS d,
+            n1, n2, x1, x2, c1, c2, tn FROM solved WHERE c > px AND c < next
+        UNION ALL SELECT px, cyy - hb * cxy - hd * chy, (ty - hb * tx - hd * h) / tn, hb, hd, n1, n2, x1, x2,
+            CASE WHEN b1 IS NOT NULL THEN c1 END, CASE WHEN b2 IS NOT NULL THEN c2 END, tn FROM solved
+            WHERE cxx * chh - cxh * cxh > 1e-9 * cxx * chh)""",
+]
+
+
+@query("M5_segmented", q(DET, *_ACT, *_SEGMENTS, body=f"""SELECT CAST(tn AS BIGINT) AS n, {r6('psi + x0', 'psi', 4)},
+    {r6('sqrt(rss / (tn - 4) * (1 / n1 + (psi - x1 / n1) ** 2 / c1 + 1 / n2 + (psi - x2 / n2) ** 2 / c2)) / abs(d)', 'psi_se', 4)},
+    {r6('rss', 'rss', 3)}, {r6('a - b * x0 + y0', 'intercept', 4)}, {r6('b', 'slope', 4)}, {r6('d', 'slope_change', 4)}
+    FROM tried, mid ORDER BY rss, psi LIMIT 1"""))
+def _(t):
+    """The break lies anywhere."""
+    fit = models.segmented(_activity(t), "ts_since_rise", "runLen")
+    return fit.select("n", F.round("rss", 3).alias("rss"), *[F.round(c, 4).alias(c) for c in ("psi", "psi_se", "intercept", "slope", "slope_change")])
+
+
 _SLOPE = "CASE WHEN n * xx - x * x > 0 THEN (n * xy - x * y) / (n * xx - x * x) END"
 _TAILS = ", ".join(f"{sum(math.exp(-1) / math.factorial(j) for j in range(k))!r}e0" for k in range(1, 12))
 # draws of whole tags, each with a Poisson(1) weight from the hash of its name

@@ -312,3 +312,37 @@ def test_count_fits_without_a_maximum(spark):
     assert fit([3.0, 3.0])["gamma_rate"] is None
     nothing = fit([None])
     assert nothing["n"] == 0 and nothing["nb_mu"] is None and nothing["gamma_shape"] is None
+
+
+def _hinge(x, y, psi):
+    m = np.column_stack([np.ones_like(x), x, np.maximum(x - psi, 0)])
+    beta, *_ = np.linalg.lstsq(m, y, rcond=None)
+    return ((y - m @ beta) ** 2).sum(), beta
+
+
+@pytest.mark.parametrize("kind", ["continuous", "ties", "noise"])
+def test_segmented_beats_every_break_of_a_fine_search(spark, kind):
+    rng = np.random.default_rng(len(kind))
+    x = rng.uniform(100, 110, 300) if kind != "ties" else rng.integers(0, 12, 300) + 0.0
+    mid = 106.2 if kind != "ties" else 6.4
+    y = rng.normal(0, 0.4, 300) + (0 if kind == "noise" else 1 + 0.5 * x - 1.5 * np.maximum(x - mid, 0))
+    df = spark.createDataFrame([*((float(a), float(b)) for a, b in zip(x, y)), (None, 1.0), (1.0, None), (float("nan"), 2.0)], "x DOUBLE, y DOUBLE")
+    for cells in (3, 256):
+        fit = models.segmented(df, "x", "y", cells).first()
+        rss, beta = _hinge(x, y, fit["psi"])
+        assert fit["n"] == 300 and fit["rss"] == pytest.approx(rss, rel=1e-7)
+        assert [fit["intercept"], fit["slope"], fit["slope_change"]] == pytest.approx(beta, rel=1e-4, abs=1e-6)
+        grid = np.linspace(x.min(), x.max(), 1500)[1:-1]
+        assert fit["rss"] <= min(_hinge(x, y, p)[0] for p in grid) * (1 + 1e-9)
+    if kind != "noise":
+        assert fit["psi"] == pytest.approx(mid, abs=0.2)
+        # the linearised model: break as a fourth parameter
+        m = np.column_stack([np.ones_like(x), x, np.maximum(x - fit["psi"], 0), -fit["slope_change"] * (x > fit["psi"])])
+        assert fit["psi_se"] == pytest.approx(np.sqrt(np.linalg.inv(m.T @ m)[3, 3] * fit["rss"] / 296), rel=1e-5)
+
+
+def test_segmented_of_odd_tables(spark):
+    fit = lambda rows: models.segmented(spark.createDataFrame(rows, "x DOUBLE, y DOUBLE"), "x", "y").collect()
+    assert fit([]) == [] and fit([(1.0, 1.0), (2.0, 3.0), (2.0, 4.0)]) == []
+    row = fit([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (3.0, 1.0), (4.0, 0.0)])[0]
+    assert (row["psi"], row["slope"], row["slope_change"]) == pytest.approx((2, 1, -2)) and row["rss"] == pytest.approx(0, abs=1e-9)
