@@ -8,10 +8,15 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pingtrail.llm.common import map_arrow, shared_folder, stored
+from pingtrail.llm.common import BATCH_BYTES, map_arrow_parts, shared_folder, stored
 
-# Most records of one archive file.
+# Most bytes of one archive before compression, but for a single record that is larger, and most records.
+ARCHIVE_BYTES = 128 << 20
 RECORDS = 8192
+# Records of up to so many bytes share archives; each class has as many records a file as the bytes above allow.
+CLASSES = [ARCHIVE_BYTES // RECORDS << 4 * i for i in range(4)]
+# Archive bytes that one task of the reader is given on average.
+TASK_BYTES = 256 << 20
 STEP = 1 << 18
 END = "\r\n\r\n"
 # The profile that the format names for revisits by payload digest, and the alphabet of base 32.
@@ -29,7 +34,7 @@ def payload_digest(payload: Column) -> Column:
 
 def records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0,
             date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """One column, record: each page as a WARC record without the line ends behind it.
+    """Columns record, each page as a WARC record without the line ends behind it, and most_bytes, which it stays within.
 
     The payload is the html in UTF-8, empty if null. Of pages with equal payloads of ``least_bytes`` or more, those with the
     smallest page id are responses (null ids come last) and the others revisit it, with the HTTP head but no payload; smaller
@@ -54,12 +59,25 @@ def records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), name(F.col("first").cast("string")))).otherwise(""),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
-        F.lit(END), block).alias("record"))
+        F.lit(END), block).alias("record"),
+        # heads are less than 2 KiB without the address
+        (F.col("bytes") + F.octet_length("uri") + 2048).alias("most_bytes"))
 
 
 def write_monolithic(warc_records: DataFrame, folder: str) -> str:
-    """Write records as archives that are one gzip stream each; an empty table gives no archive."""
-    (warc_records.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(folder))
+    """Write records as archives that are one gzip stream each; an empty table gives no archive.
+
+    ``warc_records`` has the columns record and most_bytes. Spark's writer closes a file after a number of records, not of bytes.
+    So records are written by classes of size, a job for each that occurs, with a number that keeps a file within
+    ``ARCHIVE_BYTES``; beyond the last class a file holds one record. The classes are found from the lengths alone.
+    """
+    above = [F.col("most_bytes") > limit for limit in CLASSES]
+    size = sum((c.cast("int") for c in above), F.lit(0))
+    present = [r[0] for r in warc_records.select(size.alias("size")).distinct().collect()]  # len(CLASSES) + 1 at most
+    for i in sorted(present) or [0]:
+        most = ARCHIVE_BYTES // CLASSES[i] if i < len(CLASSES) else 1
+        (warc_records.where(size == i).select("record").write.mode("append")
+         .option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", most).text(folder))
     return folder
 
 
@@ -106,39 +124,48 @@ def member(record: bytes) -> bytes:
     return out if out[-1] == 0 else out + member(b"")
 
 
+def slices(rows, names: tuple[str, ...]):
+    """Rows, the last value of each being bytes, as columns in slices that end once they hold ``BATCH_BYTES`` or 1000 rows."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= BATCH_BYTES or len(held) == 1000:
+            yield dict(zip(names, map(list, zip(*held, strict=True)), strict=True))
+            held, size = [], 0
+    if held:
+        yield dict(zip(names, map(list, zip(*held, strict=True)), strict=True))
+
+
 def normalise(spark: SparkSession, monolithic: str, folder: str) -> str:
     """Rewrite archives to one gzip member a record, with an index of the members' offsets beside each.
 
     Below ``folder`` lie ``kind=warc/archive=N`` with the members of one archive in order and ``kind=index/archive=N`` with its
     index, a gzip member that holds one JSON line a record: offset, length, record id and type. Each input file is
-    inflated once, by one task. Spark's text writer is the only sink that takes bytes as they are; it must end
+    inflated once, by one task, and its members leave the task in slices of bounded bytes. Spark's text writer is the only sink that takes bytes as they are; it must end
     every line with something, so each member's last byte, zero, is given to it as the line end.
     """
     files = spark.read.format("binaryFile").load(monolithic).select("path", "content")
 
     def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"kind": [], "archive": [], "place": [], "bytes": []}
-
-            def row(kind: str, archive: str, place: int, data: bytes) -> None:
-                for name, value in zip(out, (kind, archive, place, data[:-1]), strict=True):
-                    out[name].append(value)
-
+        def members(path: str, content: bytes):
+            archive = path.rsplit("/", 1)[-1].split(".", 1)[0]
+            offset, lines = 0, []
+            for place, record in enumerate(inflated_records(content)):
+                data = member(record)
+                head = fields(record[:record.index(END.encode())])
+                lines.append(json.dumps({"offset": offset, "length": len(data), "id": head["warc-record-id"], "type": head["warc-type"]}))
+                yield "warc", archive, place, data[:-1]
+                offset += len(data)
+            yield "index", archive, 0, member("\n".join(lines).encode())[:-1]
+
+        def work(batch: pa.RecordBatch):
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                archive = path.rsplit("/", 1)[-1].split(".", 1)[0]
-                offset, lines = 0, []
-                for place, record in enumerate(inflated_records(content.as_buffer().to_pybytes())):
-                    data = member(record)
-                    head = fields(record[:record.index(END.encode())])
-                    lines.append(json.dumps({"offset": offset, "length": len(data), "id": head["warc-record-id"], "type": head["warc-type"]}))
-                    row("warc", archive, place, data)
-                    offset += len(data)
-                row("index", archive, 0, member("\n".join(lines).encode()))
-            return out
+                yield from slices(members(path, content.as_buffer().to_pybytes()), ("kind", "archive", "place", "bytes"))
 
         return work
 
-    rows = map_arrow(files, make, "kind string, archive string, place long, bytes binary")
+    rows = map_arrow_parts(files, make, "kind string, archive string, place long, bytes binary")
     (rows.sortWithinPartitions("kind", "archive", "place").select("kind", "archive", F.col("bytes").cast("string").alias("value"))
      .write.partitionBy("kind", "archive").option("lineSep", "\0").text(folder))
     return folder
@@ -148,6 +175,8 @@ def read_by_index(spark: SparkSession, folder: str) -> DataFrame:
     """The records of normalised archives, each inflated by itself at its offset in the index.
 
     Columns: record_id, record_type, refers_to, uri, payload_digest, payload_bytes (of the full payload, also for revisits), payload.
+    An archive meets its index in one task; the number of tasks grows with the bytes of all archives, and records leave a task
+    in slices of bounded bytes.
     """
     schema = ("record_id string, record_type string, refers_to string, uri string, payload_digest string, "
               "payload_bytes long, payload binary")
@@ -156,26 +185,30 @@ def read_by_index(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     content = files.where("kind = 'warc'").select("archive", "content")
     index = files.where("kind = 'index'").select("archive", F.col("content").alias("index"))
+    total = files.where("kind = 'warc'").agg(F.sum("length")).first()[0] or 0  # lengths only: contents are not read for it
+    tasks = -(-total // TASK_BYTES)
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        content, index = content.repartition(tasks, "archive"), index.repartition(tasks, "archive")
 
     def make():
-        def work(batch: pa.RecordBatch) -> dict:
+        def inflated(data: memoryview, lines: bytes):
+            for line in zlib.decompress(lines, GZIP).decode().splitlines():
+                at = json.loads(line)
+                record = zlib.decompressobj(GZIP).decompress(data[at["offset"]:at["offset"] + at["length"]])
+                head, rest = record[:-len(END)].split(END.encode(), 1)
+                http, payload = rest.split(END.encode(), 1)
+                named, inner = fields(head), fields(http)
+                yield (named["warc-record-id"], named["warc-type"], named.get("warc-refers-to"), named["warc-target-uri"],
+                       named["warc-payload-digest"], int(inner["content-length"]), payload)
+
+        def work(batch: pa.RecordBatch):
             names = ("record_id", "record_type", "refers_to", "uri", "payload_digest", "payload_bytes", "payload")
-            rows = []
             for data, lines in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = memoryview(data.as_buffer())
-                for line in zlib.decompress(lines, GZIP).decode().splitlines():
-                    at = json.loads(line)
-                    record = zlib.decompressobj(GZIP).decompress(data[at["offset"]:at["offset"] + at["length"]])
-                    head, rest = record[:-len(END)].split(END.encode(), 1)
-                    http, payload = rest.split(END.encode(), 1)
-                    named, inner = fields(head), fields(http)
-                    rows.append((named["warc-record-id"], named["warc-type"], named.get("warc-refers-to"), named["warc-target-uri"],
-                                 named["warc-payload-digest"], int(inner["content-length"]), payload))
-            return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else dict.fromkeys(names, [])
+                yield from slices(inflated(memoryview(data.as_buffer()), lines), names)
 
         return work
 
-    return map_arrow(content.join(index, "archive").select("content", "index"), make, schema)
+    return map_arrow_parts(content.join(index, "archive").select("content", "index"), make, schema)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

@@ -77,6 +77,23 @@ def test_archives_are_plain_gzip_with_members_at_their_offsets(spark, frame):
     assert seen == 40
 
 
+def test_archives_are_bounded_by_bytes(spark, frame, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 16)
+    monkeypatch.setattr(warc, "CLASSES", [1 << 12, 1 << 14])
+    monkeypatch.setattr(warc, "TASK_BYTES", 1 << 10)
+    folder = shared_folder(spark, "test-bounded")
+    html = {i: chr(97 + i % 26) * (100_000 if i == 50 else 9_000 if i % 5 == 0 else i) for i in range(101)}
+    pages = frame([(i, "u" * (20_000 if i == 7 else 3), h) for i, h in html.items()], "page_id long, url string, html string").coalesce(1)
+    warc.write_monolithic(warc.records(pages, least_bytes=1 << 30), f"{folder}/in")
+    archives = [gzip.open(p).read() for p in glob.glob(f"{folder}/in/*.gz")]
+    for data in archives:
+        assert len(data) <= 1 << 16 or data.count(b"WARC/1.1\r\n") == 1
+    assert sum(data.count(b"WARC/1.1\r\n") for data in archives) == 101
+    warc.normalise(spark, f"{folder}/in", f"{folder}/out")
+    back = warc.read_by_index(spark, f"{folder}/out").collect()
+    assert {int(r.record_id[10:-1]): bytes(r.payload).decode() for r in back} == html and len(back) == 101
+
+
 def test_truncated_archives_are_reported():
     whole = gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
     assert len(list(warc.inflated_records(whole + whole))) == 2
