@@ -46,17 +46,7 @@ def session_marks(
     local = marks.withColumn("_start", F.coalesce(start, F.lit(0))).withColumn(
         "_n", F.sum("_start").over(upto)
     )
-    edges = local.groupBy(*KEYED, "_slice").agg(
-        F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.sum("_start").alias("_starts")
-    )
-    by_slice = Window.partitionBy(*KEYED).orderBy("_slice")
-    jump = micros("_first") - micros(F.lag("_last").over(by_slice))
-    edges = edges.withColumn("_opens", F.when(jump <= wide, 0).otherwise(1))
-    done = F.sum(F.col("_opens") + F.col("_starts")).over(
-        by_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    base = edges.select(*KEYED, "_slice", (done - F.col("_starts")).alias("_base"))
-    return local.join(base, [*KEYED, "_slice"]).select(
+    return local.join(_slice_bases(local, "_t", gap), [*KEYED, "_slice"]).select(
         *KEYED, "_t", (F.col("_base") + F.col("_n")).alias("event_id")
     )
 
@@ -77,6 +67,34 @@ def sessionize(
     return timed.join(marks, [*KEYED, "_t"], "left").drop(*KEYED, "_t")
 
 
+def sessionize_sliced(stored: DataFrame, ts: str = "ts", gap: float = 2.5) -> DataFrame:
+    """``sessionize`` for a table that ``sinks.write_sliced`` stored: pings stay in their buckets, nothing but slices is shuffled.
+
+    Windows run over the stored (key, slice) groups; each slice hands on one row, from which its first number follows.
+    """
+    near = Window.partitionBy(*KEYED, "_slice").orderBy(ts)
+    upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = (micros(ts) - micros(F.lag(ts).over(near)) > us_of(gap)).cast("int")
+    local = stored.withColumn("_start", F.coalesce(start, F.lit(0))).withColumn("_n", F.sum("_start").over(upto))
+    based = local.join(_slice_bases(local, ts, gap), [*KEYED, "_slice"], "left")
+    number = F.when(F.col(ts).isNotNull(), F.col("_base") + F.col("_n"))
+    return based.withColumn("event_id", number).drop(*KEYED, "_slice", "_start", "_n", "_base")
+
+
+def _slice_bases(local: DataFrame, ts: str, gap: float) -> DataFrame:
+    """(_k, _void, _slice, _base): the number of the event that each slice's first ping belongs to."""
+    edges = local.groupBy(*KEYED, "_slice").agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_start").alias("_starts")
+    ).where("_first IS NOT NULL")
+    by_slice = Window.partitionBy(*KEYED).orderBy("_slice")
+    jump = micros("_first") - micros(F.lag("_last").over(by_slice))
+    edges = edges.withColumn("_opens", F.when(jump <= us_of(gap), 0).otherwise(1))
+    done = F.sum(F.col("_opens") + F.col("_starts")).over(
+        by_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return edges.select(*KEYED, "_slice", (done - F.col("_starts")).alias("_base"))
+
+
 def event_counts(events: DataFrame, key: str = "motusTagID") -> DataFrame:
     """Per event: first and last time, pings, distinct towers and (tower, port) antennas.
 
@@ -118,18 +136,29 @@ def transitions(
     Among rows sharing key, time and station only the first can be a transition, so they are
     reduced to it by a combining aggregate before the ordered pass. Rows without a key are one group.
     """
-    others = [c for c in df.columns if c not in (key, ts, "recvDeployName")]
-    row = F.struct(*others)
+    return _transitions(df, [key], [key], ts, slice_s, sliced=False)
+
+
+def transitions_sliced(stored: DataFrame, ts: str = "ts") -> DataFrame:
+    """``transitions`` for a table that ``sinks.write_sliced`` stored; only the rims of slices are shuffled."""
+    return _transitions(stored, KEYED, [*KEYED, "_slice"], ts, HOUR, sliced=True).drop(*KEYED)
+
+
+def _transitions(
+    df: DataFrame, key: list[str], group: list[str], ts: str, slice_s: float, sliced: bool
+) -> DataFrame:
+    same = [*group, ts, "recvDeployName"]
+    row = F.struct(*[c for c in df.columns if c not in same])
     strongest = F.struct(F.isnull("sig"), -F.col("sig"), F.col("hitID"))
     firsts = (
-        df.groupBy(key, ts, "recvDeployName")
+        df.groupBy(*same)
         .agg(F.min_by(row, strongest).alias("_row"))
-        .select(key, ts, "recvDeployName", "_row.*")
+        .select(*same, "_row.*")
     )
     order = [F.col(ts).asc(), F.col("recvDeployName").asc_nulls_last()]
     seen = with_neighbours(
-        firsts, [key], ts, order, 1,
-        lambda w: {"_prev": F.lag("recvDeployName").over(w)}, slice_s,
+        firsts, key, ts, order, 1,
+        lambda w: {"_prev": F.lag("recvDeployName").over(w)}, slice_s, sliced,
     )
     return seen.where(F.col("recvDeployName") != F.col("_prev")).drop("_prev")
 

@@ -37,6 +37,7 @@ def with_neighbours(
     reach: int,
     derive: Callable[[WindowSpec], dict[str, Column]],
     slice_s: float = HOUR,
+    sliced: bool = False,
 ) -> DataFrame:
     """Append lag/lead columns of at most ``reach`` rows, exactly as over the whole key.
 
@@ -44,7 +45,7 @@ def with_neighbours(
     their slice are finished there. For the first and last ``reach`` rows of a slice, the first and
     last 2 x ``reach`` rows of all slices form a short sequence per key in which their neighbours
     are still adjacent: a slice's head follows the previous slice's tail, and its own next rows are
-    kept too. Both branches read the same exchange.
+    kept too. Both branches read the same exchange. ``sliced`` rows have their ``_slice`` already, as stored tables do.
     """
     near = Window.partitionBy(*key, "_slice").orderBy(*order)
     far = Window.partitionBy(*key).orderBy(*order)
@@ -54,7 +55,7 @@ def with_neighbours(
     def ends(n: int) -> Column:
         return F.lag(one, n).over(near).isNull() | F.lead(one, n).over(near).isNull()
 
-    marked = with_slice(df, ts, slice_s).withColumns(
+    marked = (df if sliced else with_slice(df, ts, slice_s)).withColumns(
         {**derive(near), "_edge": ends(reach), "_rim": ends(2 * reach)}
     )
     inner = marked.where(~F.col("_edge"))

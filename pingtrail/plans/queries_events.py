@@ -6,6 +6,8 @@ scaled up from their defaults of seconds to hours.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pingtrail.functions import solar
@@ -17,7 +19,8 @@ from pingtrail.operators.slicing import running_total, with_slice
 from pingtrail.plans import analyses as an
 from pingtrail.plans.oracle import OFFSETS, query as q, r6, solar_day, sun, wrap360
 from pingtrail.plans.queries_rows import SECTOR_SQL, rounded_sql
-from pingtrail.plans.registry import query
+from pingtrail.plans.registry import query, scratch
+from pingtrail.sources import sinks
 from pingtrail.sources.sinks import ordered_track
 
 DET = "detections"
@@ -179,6 +182,24 @@ def _(t):
     return trans(t).select("hitID", "motusTagID", "recvDeployName", "port")
 
 
+def sliced(t, *columns):
+    folder = scratch(t.spark)
+    return sinks.write_sliced(t.detections.select(*columns), f"sliced_{uuid.uuid4().hex}", folder, slice_s=WEEK)
+
+
+@query("S6_sliced_sessions", q(DET, events_of("detections"), body="SELECT hitID, motusTagID, event_id FROM ev"))
+def _(t):
+    stored = sliced(t, "hitID", "motusTagID", "ts")
+    return ses.sessionize_sliced(stored, gap=GAP).select("hitID", "motusTagID", "event_id")
+
+
+@query("S6_sliced_transitions",
+       q(DET, TRANS, body="SELECT hitID, motusTagID, recvDeployName, port FROM trans"))
+def _(t):
+    stored = sliced(t, "hitID", "motusTagID", "ts", "recvDeployName", "port", "sig")
+    return ses.transitions_sliced(stored).select("hitID", "motusTagID", "recvDeployName", "port")
+
+
 @query("W4_near_simultaneous",
        q(DET, TRANS, NEAR, body="SELECT hitID, motusTagID, us AS ts FROM near"))
 def _(t):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pingtrail.functions.solar import time_to_sun
 from pingtrail.operators import aggregates as agg, deployments as dep, filters as flt
-from pingtrail.operators import models
+from pingtrail.operators import incidence as inc, models
 from pingtrail.operators.quantiles import column_profile, group_quantiles
 from pingtrail.plans import analyses as an
 from pingtrail.plans.oracle import query as q, r6
@@ -202,6 +202,41 @@ def _(t):
     return agg.incidence(t.detections, min_points=5)
 
 
+DENSE = """kept AS (SELECT * FROM (SELECT DISTINCT motusTagID, epoch_us(tsCorrected) AS us, recvDeployLat AS lat, recvDeployLon AS lon
+    FROM detections) QUALIFY count(*) OVER (PARTITION BY motusTagID) > 4)"""
+POINTS = """ids AS (SELECT *, row_number() OVER (ORDER BY us NULLS FIRST, lat NULLS FIRST, lon NULLS FIRST) AS point_id
+    FROM (SELECT us, lat, lon, count(*) AS n_tags FROM kept GROUP BY us, lat, lon)),
+    cells AS (SELECT k.motusTagID, (point_id - 1) // 32768 + 1 AS block, (point_id - 1) % 32768 AS pos, n_tags FROM kept k JOIN ids i
+    ON k.us IS NOT DISTINCT FROM i.us AND k.lat IS NOT DISTINCT FROM i.lat AND k.lon IS NOT DISTINCT FROM i.lon)"""
+
+
+def dense(t):
+    return inc.dense_incidence(t.detections, min_points=5)
+
+
+@query("R7_dense_blocks", q(DET, DENSE, POINTS, """bytes AS (SELECT motusTagID, block, pos // 8 AS byte, count(*) AS n,
+    sum(1 << (pos % 8)) AS v FROM cells GROUP BY ALL),
+    gaps AS (SELECT *, byte - lag(byte, 1, -1) OVER (PARTITION BY motusTagID, block ORDER BY byte) - 1 AS gap FROM bytes)""",
+    body="""SELECT motusTagID, block, sum(n)::BIGINT AS n_present,
+    sha256(from_hex(rpad(string_agg(repeat('00', gap) || printf('%02X', v::INT), '' ORDER BY byte), 8192, '0'))) AS bits_sha256
+    FROM gaps GROUP BY motusTagID, block"""))
+def _(t):
+    blocks, _ = dense(t)
+    return blocks.select("motusTagID", "block", "n_present", F.sha2("bits", 256).alias("bits_sha256"))
+
+
+@query("R7_dense_points", q(DET, DENSE, POINTS, body="""SELECT us AS tsCorrected, lat AS recvDeployLat, lon AS recvDeployLon,
+    n_tags, point_id FROM ids"""))
+def _(t):
+    return dense(t)[1]
+
+
+@query("R7_dense_sums", q(DET, DENSE, POINTS, body="""SELECT motusTagID, count(*) AS n_points,
+    count(*) FILTER (n_tags = 1) AS n_alone FROM cells GROUP BY motusTagID"""))
+def _(t):
+    return inc.tag_sums(*dense(t))
+
+
 @query("R8_split_date_time", q(DET, body="""SELECT hitID, strftime(ts, '%Y-%m-%d') AS Date,
     strftime(ts, '%H:%M:%S') AS Time FROM detections WHERE strftime(ts, '%H:%M:%S') > '13:00:00'"""))
 def _(t):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pingtrail.operators.sessions import KEYED, keyed
+from pingtrail.operators.slicing import HOUR, with_slice
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("nullValue", "NA").csv(path)
@@ -26,6 +29,26 @@ def write_snapshot(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     df.write.mode(mode).parquet(path)
 
 
+def write_sliced(
+    df: DataFrame, table: str, path: str, key: str = "motusTagID", ts: str = "ts",
+    slice_s: float = HOUR, buckets: int | None = None,
+) -> DataFrame:
+    """Store ``df`` as a table in buckets of (key, time slice), sorted by these and time, and return a reader over it.
+
+    The pings are shuffled once, here; sessions and transitions over the table (``sessionize_sliced``,
+    ``transitions_sliced``) then read each bucket in place. A key with most of the rows is spread by its slices. Beside the
+    columns of ``df`` the table has the key as ``_k`` and ``_void`` and ``_slice``; rows without a time are in slice 0.
+    ``buckets`` should give files of some 100 MB to 1 GB; the default is the session's number of shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [*KEYED, "_slice"]
+    rows = with_slice(df.select("*", *keyed(df, key)), ts, slice_s).repartition(n, *by)
+    (rows.write.mode("errorifexists").bucketBy(n, by[0], *by[1:]).sortBy(*by, ts)
+     .option("path", path).saveAsTable(table, format="parquet"))
+    return spark.table(table)
+
+
 def new_rows(
     existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = ("hitID",),
     batch: str | None = None,

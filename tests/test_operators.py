@@ -1,6 +1,7 @@
 """Filters, joins, summaries, node operators and metadata on hand-made rows."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -206,6 +207,51 @@ def test_incidence_and_split(spark):
     assert split == {1: (2, 4), 2: (1, None)}
 
 
+def test_dense_incidence_equals_the_sparse_form(spark):
+    from pingtrail.operators import incidence as inc
+
+    rng = random.Random(9)
+    spots = [(at(i), rng.choice([36.0, 36.1, None]), -102.0) for i in range(400)] + [(None, None, None), (None, 36.0, None)]
+    rows = [(1, *p) for p in spots] + [(2 + i % 9, *rng.choice(spots)) for i in range(300)] + [(50, at(9000), 1.0, 1.0)]
+    df = spark.createDataFrame(rows + rows[:50], "motusTagID INT, tsCorrected TIMESTAMP, recvDeployLat DOUBLE, recvDeployLon DOUBLE")
+    df = df.repartition(5)
+    blocks, points = inc.dense_incidence(df)
+    lowest = lambda p: tuple((x is not None, x or 0 if not hasattr(x, "timestamp") else x.timestamp()) for x in p)
+    kept = {}
+    for tag, *p in rows:
+        kept.setdefault(tag, set()).add(tuple(p))
+    kept = {k: v for k, v in kept.items() if len(v) >= 5}
+    order = sorted(set().union(*kept.values()), key=lowest)
+    found = {r["point_id"]: (r["tsCorrected"], r["recvDeployLat"], r["recvDeployLon"]) for r in points.collect()}
+    assert found == dict(enumerate(order, 1))
+    sums = {r["point_id"]: r["n_tags"] for r in points.collect()}
+    assert sums == {i: sum(p in v for v in kept.values()) for i, p in found.items()}
+    got = {}
+    for r in blocks.collect():
+        bits = {8 * i + j for i, byte in enumerate(r["bits"]) for j in range(8) if byte >> j & 1}
+        assert len(bits) == r["n_present"]
+        got.setdefault(r["motusTagID"], set()).update(found[(r["block"] - 1) * 32768 + b + 1] for b in bits)
+    assert got == kept
+    alone = {k: sum(1 for p in v if sum(p in w for w in kept.values()) == 1) for k, v in kept.items()}
+    assert {r["motusTagID"]: (r["n_points"], r["n_alone"]) for r in inc.tag_sums(blocks, points).collect()} == {
+        k: (len(v), alone[k]) for k, v in kept.items()}
+    twice = df.where("motusTagID = 1").unionByName(df.where("motusTagID = 1").withColumn("motusTagID", F.lit(3)))
+    assert [tuple(r) for r in inc.tag_sums(*inc.dense_incidence(twice)).orderBy("motusTagID").collect()] == [(1, len(kept[1]), 0), (3, len(kept[1]), 0)]
+    empty, none = inc.dense_incidence(df.limit(0))
+    assert empty.count() == 0 and none.count() == 0 and inc.tag_sums(empty, none).count() == 0
+
+
+def test_numbers_have_no_gaps_over_many_partitions(spark):
+    from pingtrail.operators.incidence import numbered
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = numbered(spark.range(0, 20_000, 2).select((F.col("id") * 7919 % 100_003).alias("x")), ["x"], "n").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [r["n"] for r in sorted(rows)] == list(range(1, 10_001))
+
+
 def grid(spark):
     nodes = [(f"N{i}", 36.48 + 0.002 * (i % 3), -102.66 + 0.002 * (i // 3)) for i in range(9)]
     return nodes, spark.createDataFrame(nodes, "NodeId STRING, lat DOUBLE, lng DOUBLE")

@@ -1,6 +1,7 @@
 """Shapes of the physical plans: what must not appear, and what must be shared."""
 
 import re
+import uuid
 
 import pytest
 
@@ -44,6 +45,45 @@ def test_windows_run_per_slice(spark):
     assert len(alone) == 1
 
 
+def above_scans_of(plan: str, column: str) -> list[str]:
+    """The operators above each scan that reads ``column``, by the indentation of the printed tree."""
+    lines, found = plan.splitlines(), []
+    for i, line in enumerate(lines):
+        if "FileScan" in line and f"{column}#" in line:
+            depth = re.search(r"[A-Za-z]", line).start()
+            for upper in reversed(lines[:i]):
+                at = re.search(r"[A-Za-z(*]", upper)
+                if at and at.start() < depth:
+                    depth = at.start()
+                    found.append(upper)
+    return found
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
+def test_sliced_tables_are_not_shuffled_again(spark, tmp_path, broadcast):
+    from pingtrail.sources import sinks
+
+    used = Tables(spark, FOLDER).detections.select("hitID", "motusTagID", "ts", "recvDeployName", "sig")
+    table = f"sliced_{uuid.uuid4().hex}"
+    stored = sinks.write_sliced(used, table, str(tmp_path / "t"), buckets=16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        rows = ses.sessionize_sliced(stored, gap=3600.0)
+        plan = plan_of(rows)
+        above = above_scans_of(plan, "hitID")
+        assert above and not any("Exchange" in line for line in above), plan
+        # what is shuffled is one row a slice
+        shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert shuffled and all(re.search(r"hashpartitioning\(_k#\d+L, _void#\d+", line) for line in shuffled)
+        plan = plan_of(ses.transitions_sliced(stored))
+        # the two readings: rows within slices, unshuffled, and the rims of slices, a bounded number a slice
+        assert len(re.findall("Exchange hashpartitioning", plan)) == 1, plan
+        want = ses.sessionize(used, gap=3600.0)
+        assert rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     from pingtrail.schemas import DETECTIONS
 

@@ -268,3 +268,21 @@ def test_pings_without_tag_or_time_stay(spark):
     got = {r["hitID"]: r["event_id"] for r in ses.sessionize(df).collect()}
     assert got == {0: 1, 1: 1, 2: 2, 3: 1, 4: 1, 5: 2, 6: None, 7: None}
     assert ses.with_event_counts(ses.sessionize(df)).count() == 8
+
+
+def test_sliced_table_gives_the_same_sessions_and_transitions(spark, tmp_path):
+    from pingtrail.sources import sinks
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, 0.0, rng.random() * 9 - 4.5, rng.random() * 20_000]),
+             rng.choice(["a", "b", None]), rng.choice([None, 1.5, 2.5])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "hitID LONG, motusTagID INT, s DOUBLE, recvDeployName STRING, sig DOUBLE")
+    df = df.select("hitID", "motusTagID", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")).alias("ts"), "recvDeployName", "sig")
+    for part, frame in (("all", df), ("none", df.limit(0)), ("untimed", df.where("ts IS NULL"))):
+        table = f"sliced_test_{part}_{tmp_path.name.replace('-', '_')}"
+        stored = sinks.write_sliced(frame, table, str(tmp_path / part), slice_s=60.0, buckets=4)
+        assert sorted(map(str, ses.sessionize_sliced(stored, gap=5.0).collect())) == sorted(
+            map(str, ses.sessionize(frame, gap=5.0, slice_s=100.0).collect()))
+        found = ses.transitions_sliced(stored)
+        want = ses.transitions(frame, slice_s=100.0).select(*found.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
