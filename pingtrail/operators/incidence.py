@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pingtrail.operators.aggregates import incidence
 from pingtrail.session import measured
@@ -40,13 +40,15 @@ def incidence_blocks(kept: DataFrame, points: DataFrame, keys: list[str] = POINT
     """The rows of the dense form in blocks: tag, block, bits, n_present; blocks without presence are left out.
 
     ``kept`` is a sparse incidence and ``points`` its numbered points. Bit (point_id - 1) % 32768 of block
-    1 + (point_id - 1) div 32768 is set where the tag is present. Bits are combined before the shuffle, so a tag with most
-    of the points sends one block of 4 KiB a task and block. Null coordinates are values like others.
+    1 + (point_id - 1) div 32768 is set where the tag is present. Cells are shuffled as numbers, at most 32,768 a (tag, block),
+    and become bitmaps in the order they are sorted in: a task holds one bitmap at a time, and bitmaps are neither shuffled nor
+    sorted. Shuffled as bitmaps, sparse ones would compress so well that one task got gigabytes of them. Null coordinates are
+    values like others.
     """
     point = F.struct(*keys).alias("_point")
-    placed = kept.select(tag, point).join(points.select(point, "point_id"), "_point")
-    blocks = placed.groupBy(tag, F.bitmap_bucket_number("point_id").alias("block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("point_id")).alias("bits"))
+    placed = kept.select(tag, point).join(points.select(point, "point_id"), "_point").select(
+        tag, F.bitmap_bucket_number("point_id").alias("block"), F.bitmap_bit_position("point_id").alias("_at"))
+    blocks = placed.repartition(tag, "block").groupBy(tag, "block").agg(F.bitmap_construct_agg("_at").alias("bits"))
     return blocks.withColumn("n_present", F.bitmap_count("bits"))
 
 
@@ -59,16 +61,33 @@ def dense_incidence(
     return incidence_blocks(kept, points, keys, tag), points
 
 
+def set_in_both(a: str, b: str) -> Column:
+    """Number of bits set in both of two bitmaps of 4 KiB: words of 8 bytes are met where both have a bit."""
+    def part(bits: str, at: Column, n: int) -> Column:
+        return F.substr(F.col(bits), at, F.lit(n))
+
+    def filled(n: int):
+        none = F.unhex(F.lit("00" * n))
+        return lambda at: (part(a, at, n) != none) & (part(b, at, n) != none)
+
+    def word(bits: str, at: Column) -> Column:
+        return F.conv(F.hex(part(bits, at, 8)), 16, -10).cast("bigint")
+
+    # runs of 64 bytes first, as sparse bitmaps have few of them
+    runs = F.filter(F.sequence(F.lit(1), F.lit(4033), F.lit(64)), filled(64))
+    words = F.filter(F.flatten(F.transform(runs, lambda at: F.sequence(at, at + 56, F.lit(8)))), filled(8))
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda n, at: n + F.bit_count(word(a, at).bitwiseAND(word(b, at))))
+
+
 def tag_sums(blocks: DataFrame, points: DataFrame, tag: str = "motusTagID") -> DataFrame:
     """Per tag: n_points by bit counts, and n_alone, its points that no other tag has, from the points' own sums.
 
-    The points of one tag only form a bitmap a block, which is joined to the tags' blocks by block number. Both bitmaps of a
-    (tag, block) are then met by a bitwise aggregate, so no bit is unpacked into rows.
+    The points of one tag only form a bitmap a block, one bit a point; these are written once, so that the planner knows their
+    size, and joined to the tags' blocks by block number. Both bitmaps of a (tag, block) are met in their row, so they are not
+    sorted and no bit is unpacked into rows.
     """
-    single = points.where("n_tags = 1").groupBy(F.bitmap_bucket_number("point_id").alias("block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("point_id")).alias("alone"))
-    none = F.unhex(F.repeat(F.lit("00"), 4096))
-    pairs = blocks.join(single, "block", "left").select(
-        tag, "block", "n_present", F.explode(F.array("bits", F.coalesce("alone", none))).alias("bits"))
-    met = pairs.groupBy(tag, "block").agg(F.max("n_present").alias("n"), F.bitmap_count(F.bitmap_and_agg("bits")).alias("n_alone"))
-    return met.groupBy(tag).agg(F.sum("n").alias("n_points"), F.sum("n_alone").alias("n_alone"))
+    single = measured(points.where("n_tags = 1").groupBy(F.bitmap_bucket_number("point_id").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("point_id")).alias("alone")))
+    met = blocks.join(single, "block", "left").withColumn(
+        "n_alone", F.when(F.col("alone").isNull(), F.lit(0).cast("bigint")).otherwise(set_in_both("bits", "alone")))
+    return met.groupBy(tag).agg(F.sum("n_present").alias("n_points"), F.sum("n_alone").alias("n_alone"))

@@ -241,6 +241,34 @@ def test_dense_incidence_equals_the_sparse_form(spark):
     assert empty.count() == 0 and none.count() == 0 and inc.tag_sums(empty, none).count() == 0
 
 
+def test_bits_set_in_both_bitmaps(spark):
+    from pingtrail.operators.incidence import set_in_both
+
+    rng = random.Random(4)
+    full = b"\xff" * 4096
+    sparse = [bytes(rng.choice([0, 0, 0, 1, 128, 255]) if rng.random() < 0.01 else 0 for _ in range(4096)) for _ in range(6)]
+    dense = [bytes(rng.randrange(256) for _ in range(4096)) for _ in range(3)]
+    first, last = b"\x80" + bytes(4095), bytes(4095) + b"\x01"
+    maps = [full, bytes(4096), first, last, *sparse, *dense]
+    rows = [(bytearray(a), bytearray(b), (int.from_bytes(a) & int.from_bytes(b)).bit_count()) for a in maps for b in maps]
+    df = spark.createDataFrame(rows, "a BINARY, b BINARY, n BIGINT")
+    assert df.where(set_in_both("a", "b") == F.col("n")).count() == len(rows)
+
+
+def test_bitmaps_are_neither_shuffled_nor_sorted(spark):
+    from pingtrail.operators import incidence as inc
+
+    rows = [(i % 7, at(i), 36.0, -102.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "motusTagID INT, tsCorrected TIMESTAMP, recvDeployLat DOUBLE, recvDeployLon DOUBLE")
+    plan = inc.tag_sums(*inc.dense_incidence(df))._jdf.queryExecution().executedPlan().toString().splitlines()
+    made = [i for i, line in enumerate(plan) if "bitmap_construct_agg" in line]
+    # cells become bitmaps without an exchange or a sort between the two steps
+    assert len(made) == 2 and made[1] == made[0] + 1
+    above = plan[:made[0]]
+    assert not any(" Sort [" in line for line in above)
+    assert sum("Exchange hashpartitioning" in line for line in above) == 1  # the sums a tag
+
+
 def test_numbers_have_no_gaps_over_many_partitions(spark):
     from pingtrail.operators.incidence import numbered
 
