@@ -16,8 +16,10 @@ def write_per_tag(
     df: DataFrame, path: str, tag: str = "mfgID", ts: str = "ts", mode: str = "errorifexists"
 ) -> None:
     """One folder per tag, in one job. Ranges over (tag, time) split a tag that holds a large share
-    of the rows over several files and keep small tags together."""
-    ranged = df.repartitionByRange(tag, ts).sortWithinPartitions(tag, ts)
+    of the rows over several files and keep small tags together. There are as many ranges as the session has shuffle
+    partitions: making folders and files takes most of the time, so tasks are not merged by their few bytes."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, tag, ts).sortWithinPartitions(tag, ts)
     (
         ranged.write.mode(mode).partitionBy(tag)
         .option("header", True).option("nullValue", "NA")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -18,9 +20,10 @@ def read_table(spark: SparkSession, name: str, path: str, view: bool = True) ->
     return df
 
 
-def _raw_csv(spark: SparkSession, path: str, schema, timestamp_format: str) -> DataFrame:
+def _raw_csv(spark: SparkSession, path: str | list[str], schema, timestamp_format: str, **options: str) -> DataFrame:
     return (
         spark.read.schema(schema)
+        .options(**options)
         .option("header", True)
         .option("nullValue", "NA")
         .option("timestampFormat", timestamp_format)
@@ -45,6 +48,21 @@ def read_csv(
     return _blank_to_null(_raw_csv(spark, path, schema, timestamp_format))
 
 
+def _folder(tag: str, value: str) -> str:
+    """Name of the folder that Spark's writer gives a value of a partition column."""
+    return f"{tag}=" + re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def _is_there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("value STRING").text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def read_tags(
     spark: SparkSession,
     path: str,
@@ -53,8 +71,20 @@ def read_tags(
     tag: str = "mfgID",
     timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
 ) -> DataFrame:
-    """The listed tags of an export partitioned by tag; other folders are not opened."""
-    kept = _raw_csv(spark, path, schema, timestamp_format).where(F.col(tag).isin(list(tags)))
+    """The listed tags of an export partitioned by tag; other folders are neither listed nor opened.
+
+    Only if none of the tags has a folder, or tags are not compared as text, all folders are listed.
+    """
+    listed = list(tags)
+    found, options = path, {}
+    names = [t for t in listed if isinstance(t, str) and t]
+    text = any(f.name == tag and isinstance(f.dataType, StringType) for f in StructType.fromDDL(schema))
+    if text and len(names) == len(listed):
+        folders = [f"{path.rstrip('/')}/{_folder(tag, t)}" for t in dict.fromkeys(names)]
+        there = [f for f in folders if _is_there(spark, f)]
+        if there:
+            found, options = there, {"basePath": path}
+    kept = _raw_csv(spark, found, schema, timestamp_format, **options).where(F.col(tag).isin(listed))
     return _blank_to_null(kept, (tag,))
 
 

@@ -52,6 +52,31 @@ def test_per_tag_export(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(mfgID" in plan or "PartitionFilters: [mfgID" in plan
 
 
+def test_small_tags_are_exported_by_many_tasks(spark, tmp_path):
+    df = spark.range(400).select(F.col("id").alias("hitID"), F.format_string("%08X", F.col("id") % 80).alias("mfgID"), F.timestamp_seconds("id").alias("ts"))
+    sinks.write_per_tag(df, str(tmp_path / "tags"))
+    files = [f.name for f in (tmp_path / "tags").glob("mfgID=*/*.csv")]
+    # 400 rows are merged into one task by their bytes
+    assert len({name.split("-")[1] for name in files}) > 4 and len(files) <= 80 + 8
+
+
+def test_per_tag_reading_lists_only_the_folders_of_its_tags(spark, tmp_path):
+    odd = ["a/b", "c=d", "e f", "50%", "x*?{y}[z]^", "tab\t\"q\"", "ü", "__HIVE_DEFAULT_PARTITION__x", "back\\slash", "it's:#1"]
+    names = [*IDS, *odd, None, ""]
+    df = spark.createDataFrame([(i, names[i % len(names)], at(i)) for i in range(150)], "hitID BIGINT, mfgID STRING, ts TIMESTAMP")
+    out, schema = str(tmp_path / "tags"), "hitID BIGINT, ts TIMESTAMP, mfgID STRING"
+    sinks.write_per_tag(df, out)
+    one = tables.read_tags(spark, out, schema, [IDS[1], "not there"])
+    assert one.inputFiles() and all(f"mfgID={IDS[1]}/" in f for f in one.inputFiles())
+    want = lambda tags: sorted((i, names[i % len(names)]) for i in range(150) if names[i % len(names)] in tags)
+    for tags in ([IDS[1], "not there"], names[:-2], odd, [IDS[0]] * 2, ["not there"], ["not there", ""], [None], []):
+        got = tables.read_tags(spark, out, schema, tags)
+        assert got.columns == ["hitID", "ts", "mfgID"]
+        assert sorted((r["hitID"], r["mfgID"]) for r in got.collect()) == want([t for t in tags if t])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.read_tags(spark, str(tmp_path / "nowhere"), schema, IDS)
+
+
 def test_snapshot_and_listing(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id INT, s STRING")
     sinks.write_snapshot(df, str(tmp_path / "snap"))
